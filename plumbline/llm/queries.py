@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+import public_tokenizers
+
+from . import audio, bpe, langid, simhash
+from .common import fold, table
+
+
+def op2_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", fold("doc_id", 3).alias("fold"))
+    profiles = langid.learn(docs.filter("fold <> 1"))
+    return langid.identify(docs.select("doc_id", "text", F.coalesce(F.col("fold") == 1, F.lit(False)).alias("held_out")), profiles).drop("text").select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +22,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.media_column(table(spark, sf_dir, "documents"), with_media=False)
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
-    return {"op4_simhash": op4_simhash}
+    return {f.__name__: f for f in (op2_rank_order, op4_simhash, op6_audio, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
