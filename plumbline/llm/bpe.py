@@ -23,7 +23,7 @@ from .common import map_arrow
 #: Pieces of more bytes (a run without white space, say) are merged with a heap: the recursion's rows would grow with the square.
 LONG = 128
 #: Pieces remembered by a worker.
-KNOWN = 600_000
+KNOWN = 1_200_000
 
 #: In the end a piece's tokens are the rows of its last round.
 ENCODE = """
@@ -74,7 +74,7 @@ class Encoder:
         finally:
             self.db.unregister(name)
 
-    def encode_pieces(self, pieces: list[bytes], step: int = 20_000) -> list[list[int]]:
+    def encode_pieces(self, pieces: list[bytes], step: int = 50_000) -> list[list[int]]:
         """Ids of each piece."""
         out: list = [[self.ranks[p]] if p in self.ranks else None for p in pieces]
         todo = [i for i, x in enumerate(out) if x is None]
@@ -165,7 +165,7 @@ def _mapped(docs, path, pattern, id_col, text, fields, columns):
     def make():
         use = encoder(path, pattern)
 
-        def step(batch, most=500):
+        def step(batch, most=2000):
             for at in range(0, batch.num_rows, most):
                 part = batch.slice(at, most)
                 found = use.encode(part.column(1).to_pylist())
