@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import audio, bpe, langid, simhash
+from . import audio, bpe, langid, pii, simhash
 from .common import fold, table
 
 
@@ -22,6 +22,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+def op5_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_column(table(spark, sf_dir, "documents"), with_media=False)
 
@@ -31,7 +35,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_rank_order, op4_simhash, op6_audio, op10_bpe)}
+    return {f.__name__: f for f in (op2_rank_order, op4_simhash, op5_skip_chain, op6_audio, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
