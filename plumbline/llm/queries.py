@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import audio, bpe, langid, pii, simhash
+from . import audio, bpe, langid, pii, simhash, suffix
 from .common import fold, table
 
 
+def op1_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first", "first_doc_id")
+
+
 def op2_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", fold("doc_id", 3).alias("fold"))
     profiles = langid.learn(docs.filter("fold <> 1"))
@@ -35,7 +40,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_rank_order, op4_simhash, op5_skip_chain, op6_audio, op10_bpe)}
+    return {f.__name__: f for f in (op1_sparse_suffixes, op2_rank_order, op4_simhash, op5_skip_chain, op6_audio, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
