@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import audio, bpe, langid, pii, simhash, suffix
+from . import audio, bpe, langid, packing, pii, quality, simhash, suffix
 from .common import fold, table
 
 
@@ -22,6 +22,10 @@ def op2_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", F.coalesce(F.col("fold") == 1, F.lit(False)).alias("held_out")), profiles).drop("text").select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
@@ -35,12 +39,18 @@ def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_column(table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op9_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(fold("doc_id", 5) != 0)
+    return quality.classify(docs, quality.learn(docs, labels)).drop("text").select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sparse_suffixes, op2_rank_order, op4_simhash, op5_skip_chain, op6_audio, op10_bpe)}
+    return {f.__name__: f for f in (op1_sparse_suffixes, op2_rank_order, op3_best_fit, op4_simhash, op5_skip_chain, op6_audio, op9_byte_network, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
