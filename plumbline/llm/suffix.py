@@ -210,7 +210,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         return step
 
     marks = stored(map_arrow(source.select("rid", "text").filter(F.length("text") >= 2 * WINDOW - 1), scan, "gram long, rid long, pos long"))
-    often = marks.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1")
+    often = stored(marks.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))  # written, so that both sides of the join are plain shuffles, which Spark can split
     chosen = marks.join(often, "gram").groupBy("rid").agg(F.collect_set(F.struct("pos", (F.col("n") > group).alias("hot"))).alias("at"))
 
     def extend():
