@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import audio, bpe, langid, neighbours, packing, pii, quality, simhash, suffix
+from . import audio, bpe, html, langid, neighbours, packing, pii, quality, simhash, suffix
 from .common import fold, table
 
 
@@ -39,6 +39,10 @@ def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_column(table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op7_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
 
@@ -54,7 +58,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sparse_suffixes, op2_rank_order, op3_best_fit, op4_simhash, op5_skip_chain, op6_audio, op8_vantage_points, op9_byte_network, op10_bpe)}
+    return {f.__name__: f for f in (op1_sparse_suffixes, op2_rank_order, op3_best_fit, op4_simhash, op5_skip_chain, op6_audio, op7_host_suffixes, op8_vantage_points, op9_byte_network, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
