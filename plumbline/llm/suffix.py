@@ -262,20 +262,43 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
 
 
+def removable(spans: list[tuple[int, int, bool, bool]]) -> list[tuple[int, int]]:
+    """Word ranges to remove, of spans (start, end, first, own): all that are not first; of those whose first occurrence is in
+    the same document (own), which may overlap it, only what no first one covers."""
+    firsts = sorted((a, b) for a, b, first, _ in spans if first)
+    out = []
+    for a, b, first, own in spans:
+        if first:
+            continue
+        for x, y in firsts if own else ():
+            if a < x < b:
+                out.append((a, x))
+            if x < b and y > a:
+                a = max(a, min(y, b))
+        if a < b:
+            out.append((a, b))
+    return out
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the repeated passages that an earlier document, or an earlier place, holds already.
 
     A document of which no word is left goes; all others stay, with what is left of their text. Columns and their order stay."""
     names = docs.columns
-    later = repeated_passages(docs, id_col, text).filter("not first").groupBy("rid").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cut"))
-    rows = docs.withColumn("__rid", row_key(id_col, text)).join(later.withColumnRenamed("rid", "__rid"), "__rid", "left").select(*[f"`{c}`" for c in names], "__cut")
+    found = repeated_passages(docs, id_col, text)
+    own = F.coalesce(F.col("first_doc_id").eqNullSafe(F.col("doc_id")), F.lit(False))
+    spans = found.groupBy("rid").agg(F.collect_list(F.struct("start_word", "end_word", "first", own.alias("own"))).alias("__spans"), F.min("first").alias("f")).filter("not f")
+    rows = docs.withColumn("__rid", row_key(id_col, text)).join(spans.select(F.col("rid").alias("__rid"), "__spans"), "__rid", "left").select(*[f"`{c}`" for c in names], "__spans")
     at = names.index(text)
 
     def make():
         def step(batch):
-            texts = [cut(t, [(x["start_word"], x["end_word"]) for x in s]) if s else t for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
-            keep = pa.array([not s or t.strip() != "" for t, s in zip(texts, batch.column(len(names)).to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : -1]], names).filter(keep)
+            texts, keep = batch.column(at).to_pylist(), []
+            for i, s in enumerate(batch.column(len(names)).to_pylist()):
+                if s:
+                    texts[i] = cut(texts[i], removable([(x["start_word"], x["end_word"], x["first"], x["own"]) for x in s]))
+                keep.append(not s or texts[i].strip() != "")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(texts, pa.string()), *batch.columns[at + 1 : -1]], names).filter(pa.array(keep, pa.bool_()))
 
         return step
 
