@@ -239,7 +239,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     few = suffixes.filter("kind = 0").drop("kind").repartition("gram").sortWithinPartitions("gram", "right").mapInArrow(_compare, SPANS)
     hot = suffixes.filter("kind = 1").select("gram", "order", "rid", "pos")
     place = F.struct("order", "rid", "pos")
-    counted = hot.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b")
+    counted = stored(hot.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b"))
     id_of = lambda c: F.when(F.col(c) != _LAST, F.col(c))
     many = hot.join(counted.select("gram", "a"), "gram").select(
         id_of("order").alias("doc"), "rid", F.col("pos").alias("lo"), F.col("pos").alias("hi"), id_of("a.order").alias("first_doc"), (F.struct("rid", "pos") == F.struct("a.rid", "a.pos")).alias("first")
