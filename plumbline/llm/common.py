@@ -28,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
+    bounded(spark)
     path = f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -43,6 +44,16 @@ def forget(*frames: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of an Arrow batch at most, in place of Spark's 10,000: whole texts pass through Python, and each batch is held several times.
+BATCH_ROWS = 2000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS; Spark reads the setting when a plan is run, so it can't be an operator's own."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow where make() builds, once per task, the function that turns one batch into batches."""
 
@@ -51,6 +62,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
         for batch in batches:
             yield from step(batch)
 
+    bounded(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
