@@ -63,7 +63,7 @@ def _linked(fps: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
     while len(left) > 1:
         root, queue, left = left[0], [left[0]], left[1:]
         while queue and len(left):
-            near = np.bitwise_count(left ^ queue.pop()) <= bits
+            near = np.bitwise_count((left ^ queue.pop()).view(np.uint64)) <= bits  # of signed numbers it counts the absolute value
             if near.any():
                 found = left[near]
                 left = left[~near]
