@@ -161,15 +161,19 @@ def hex_fingerprint(fp):
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group of near duplicates: the one with the least id, of repeated rows one.
 
-    A group whose ids are all null keeps one of its rows. Columns and their order stay."""
+    A group whose ids are all null keeps one of its rows. Columns and their order stay. Texts are joined with the rows that
+    go, which are fewer than those that stay, and Spark knows how many: it moves the texts only if they are too many to send."""
     names = docs.columns
-    keyed = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    near = near_duplicates(keyed, id_col, text, keys=[id_col, "__row"])
-    # the component's fingerprint root would do as well: component_id is null only where all ids are
-    group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
-    best = near.groupBy(group.alias("g")).agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))).alias("b"))
-    kept = best.select(F.col("b.__row").alias("__row")).distinct()
-    repeated = near.groupBy("__row").agg(F.count("*").alias("__n"))
-    kept = stored(kept.join(repeated, "__row"))
-    rows = keyed.join(kept, "__row")
-    return rows.filter("__n = 1").select(*names).unionAll(rows.filter("__n > 1").dropDuplicates(["__row"]).select(*names))
+    columns = [F.col(f"`{c}`") for c in names]
+    keyed = docs.withColumns({"__row": F.xxhash64(*columns), "__row2": F.xxhash64(F.lit(1), *columns)})
+    row = ["__row", "__row2"]
+    near = stored(near_duplicates(keyed, id_col, text, keys=[id_col, *row]))
+    # component_id is null only where all ids of a component are; then each fingerprint is a group
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
+    near = near.withColumn("g", group)
+    best = near.groupBy("g").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), *row)).alias("b"))
+    best = best.select("g", F.col("b.__row").alias("r"), F.col("b.__row2").alias("r2"))
+    marked = near.join(best, "g").select(*row, ((F.col("__row") == F.col("r")) & (F.col("__row2") == F.col("r2"))).alias("best"))
+    marked = stored(marked.groupBy(*row).agg(F.count("*").alias("n"), F.max("best").alias("best")).filter("n > 1 or not best"))
+    repeated = keyed.join(marked.filter("best"), row, "left_semi").dropDuplicates(row)
+    return keyed.join(marked, row, "left_anti").select(*names).unionAll(repeated.select(*names))
