@@ -111,10 +111,12 @@ class Encoder:
         out = [b""] * len(lists)
         for at in range(0, len(lists), step):
             part = lists[at : at + step]
+            met = 0
             for word, text, n in self._query("ids", self._rows(part), "SELECT word, string_agg(hex, '' ORDER BY pos), count(*) FROM ids JOIN vocabulary USING (tok) GROUP BY word"):
-                if n != len(part[word]):
-                    raise KeyError("an id is not in the vocabulary")
+                met += n
                 out[at + word] = bytes.fromhex(text)
+            if met != sum(map(len, part)):
+                raise KeyError("an id is not in the vocabulary")
         return out
 
     def learn(self, new: list[str]) -> None:
