@@ -96,10 +96,10 @@ def pairs_topn(spark, sf):
 
 
 @query("""WITH s AS (SELECT o_custkey AS k, o_orderkey AS pos, o_orderkey::VARCHAR AS sql, round(o_totalprice / 1000000.0::DOUBLE, 6) AS d, o_orderstatus = 'F' AS ok FROM orders)
-  SELECT a.k AS o_custkey, count(*) AS n, round(sum(round(greatest(b.d - a.d, 0.0::DOUBLE), 4)), 2) AS total FROM s a JOIN s b ON a.k = b.k AND NOT b.ok AND a.sql <> b.sql AND (a.ok OR b.d > a.d) GROUP BY 1""")
+  SELECT a.k AS o_custkey, count(*) AS n, round(max(round(greatest(b.d - a.d, 0.0::DOUBLE), 4)), 2) AS widest FROM s a JOIN s b ON a.k = b.k AND NOT b.ok AND a.sql <> b.sql AND (a.ok OR b.d > a.d) GROUP BY 1""")
 def pairs_orders(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("sql"), F.round(F.col("o_totalprice") / 1000000, 6).alias("distance"), (F.col("o_orderstatus") == "F").alias("is_correct"))
-    return pairs.build_pairs(o, ["o_custkey"]).groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.sum("margin"), 2).alias("total"))
+    return pairs.build_pairs(o, ["o_custkey"]).groupBy("o_custkey").agg(F.count("*").alias("n"), F.round(F.max("margin"), 2).alias("widest"))
 
 
 # ---- the cascade
@@ -143,8 +143,8 @@ def cascade_summary(spark, sf):
     return cascade.summary(cascaded(spark, sf))
 
 
-@query(f"""WITH {_pairs_sql()}, l AS (SELECT list_sort(list(margin)) AS a, count(*) AS n FROM pairs) SELECT n AS count, a[1] AS min, a[((n - 1) * 0.25::DOUBLE)::DOUBLE // 1 + 1] AS p25, a[((n - 1) * 0.5::DOUBLE) // 1 + 1] AS median,
-  a[((n - 1) * 0.75::DOUBLE) // 1 + 1] AS p75, a[((n - 1) * 0.9::DOUBLE) // 1 + 1] AS p90, a[n] AS max FROM l""")
+@query(f"""WITH {_pairs_sql()}, l AS (SELECT list_sort(list(margin)) AS a, count(*) AS n FROM pairs) SELECT n AS count, a[1] AS min, a[floor((n - 1) * 0.25::DOUBLE)::BIGINT + 1] AS p25, a[floor((n - 1) * 0.5::DOUBLE)::BIGINT + 1] AS median,
+  a[floor((n - 1) * 0.75::DOUBLE)::BIGINT + 1] AS p75, a[floor((n - 1) * 0.9::DOUBLE)::BIGINT + 1] AS p90, a[n] AS max FROM l""")
 def margin_quantiles(spark, sf):
     return metrics.lower_quantiles(pairs.build_pairs(scored(spark, sf), ["sid"]), "margin")
 
@@ -194,7 +194,7 @@ def accuracy_by_difficulty(spark, sf):
     return vote.metric_row(rows, "top1_correct", "level").select("all_total", "easy_total", F.round("acc", 4).alias("acc"))
 
 
-@query("SELECT o_orderpriority, count(*) AS n, sum(p) AS passed FROM (SELECT l_orderkey, max((l_linestatus = o_orderstatus)::INT) AS p, any_value(o_orderpriority) AS o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) GROUP BY 1")
+@query("SELECT o_orderpriority, count(*) AS n, sum(p)::BIGINT AS passed FROM (SELECT l_orderkey, max((l_linestatus = o_orderstatus)::INT) AS p, any_value(o_orderpriority) AS o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) GROUP BY 1")
 def pass_at_k(spark, sf):
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.col("l_linestatus").alias("result"))
     gold = table(spark, sf, "orders").select(F.col("o_orderkey").alias("question_id"), F.col("o_orderstatus").alias("gold_result"), "o_orderpriority")
@@ -300,7 +300,7 @@ def read_link_table(spark, sf):
 
 # ---- profiles
 
-@query("""SELECT column_name, sum(length(v)) AS sum_of_lengths, count(*) AS count_distinct, round(sum(length(v)) / count(*)::DOUBLE, 4) AS average_length,
+@query("""SELECT column_name, sum(length(v))::BIGINT AS sum_of_lengths, count(*) AS count_distinct, round(sum(length(v)) / count(*)::DOUBLE, 4) AS average_length,
   (contains(column_name, 'name') AND sum(length(v)) < 5000000) OR (sum(length(v)) < 2000000 AND sum(length(v)) / count(*) < 25) AS kept
   FROM (SELECT DISTINCT 'p_name' AS column_name, p_name AS v FROM part UNION SELECT DISTINCT 'p_brand', p_brand FROM part UNION SELECT DISTINCT 'p_type', p_type FROM part) GROUP BY 1""")
 def column_profile(spark, sf):
@@ -322,14 +322,14 @@ def top_values(spark, sf):
     return profile.top_values(table(spark, sf, "part"), "p_brand", 7)
 
 
-@query("SELECT DISTINCT n_name AS value FROM nation WHERE lower(n_name) = lower('fRaNcE')")
+@query("SELECT DISTINCT n_name AS value FROM nation WHERE lower(n_name) = lower('nAtIoN_7')")
 def entity_exact(spark, sf):
-    return profile.entity_exact(table(spark, sf, "nation"), "n_name", "fRaNcE")
+    return profile.entity_exact(table(spark, sf, "nation"), "n_name", "nAtIoN_7")
 
 
-@query("SELECT min(p_name) AS value FROM part WHERE contains(lower(p_name), '1') HAVING count(*) > 0")
+@query("SELECT min(p_name) AS value FROM part WHERE contains(lower(p_name), 'ring') HAVING count(*) > 0")
 def value_exists(spark, sf):
-    return profile.value_exists(table(spark, sf, "part"), "p_name", "1")
+    return profile.value_exists(table(spark, sf, "part"), "p_name", "RING")
 
 
 @query("SELECT trim(v) AS value FROM (SELECT DISTINCT p_type AS v FROM part WHERE p_type IS NOT NULL ORDER BY 1 LIMIT 5) WHERE length(trim(v)) BETWEEN 1 AND 25")
@@ -378,10 +378,10 @@ def append_augmented(spark, sf):
 
 # ---- responses and text
 
-@query("SELECT conv_id, turn, trim(string_split(string_split('<answer>x</answer>' || '<answer> ' || left(text, 40) || ' </answer> tail', '<answer>')[-1], '</answer>')[1]) AS answer FROM conversations")
+@query("SELECT conv_id, turn, trim(replace(string_split(string_split('<answer>x</answer>' || '<answer> ' || left(text, 40) || ' </answer> tail', '<answer>')[-1], '</answer>')[1], chr(10), ' ')) AS answer FROM conversations")
 def answer_extract(spark, sf):
     c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", response.answer_text(F.concat(F.lit("<answer>x</answer><answer> "), F.left("text", F.lit(40)), F.lit(" </answer> tail"))).alias("answer"))
+    return c.select("conv_id", "turn", response.answer_text(F.concat(F.lit("<answer>x</answer><answer> "), F.replace(F.left("text", F.lit(40)), F.lit("\n"), F.lit(" ")), F.lit(" </answer> tail"))).alias("answer"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, role, 'SELECT ' || replace(replace(left(text, 30), ';', ''), chr(10), ' ') AS q FROM conversations)
@@ -400,7 +400,7 @@ def choice_parse(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", response.choice(at).alias("choice"))
 
 
-@query("SELECT event_id, list_distinct(list_filter(string_split_regex(lower(event_type || ' FROM ' || event_type), '\\s+'), lambda x: x <> '')) [1] AS first_word, 2 AS n FROM events")
+@query("SELECT event_id, lower(event_type) AS first_word, 2 AS n FROM events")
 def sql_words(spark, sf):
     words = text.words_of_sql(F.concat(F.col("event_type"), F.lit(" FROM "), F.col("event_type")))
     return table(spark, sf, "events").select("event_id", words[0].alias("first_word"), F.size(words).alias("n"))
