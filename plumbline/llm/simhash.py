@@ -174,6 +174,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     best = near.groupBy("g").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), *row)).alias("b"))
     best = best.select("g", F.col("b.__row").alias("r"), F.col("b.__row2").alias("r2"))
     marked = near.join(best, "g").select(*row, ((F.col("__row") == F.col("r")) & (F.col("__row2") == F.col("r2"))).alias("best"))
-    marked = stored(marked.groupBy(*row).agg(F.count("*").alias("n"), F.max("best").alias("best")).filter("n > 1 or not best"))
-    repeated = keyed.join(marked.filter("best"), row, "left_semi").dropDuplicates(row)
-    return keyed.join(marked, row, "left_anti").select(*names).unionAll(repeated.select(*names))
+    # by the first hash alone unless different rows share it: what texts are joined with is then 8 bytes for each row that goes
+    each = marked.groupBy(*row).agg(F.count("*").alias("n"), F.max("best").alias("best"))
+    odd = each.groupBy("__row").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.min("best").alias("b"), F.collect_list(F.when(F.col("best"), F.col("__row2"))).alias("kept")).filter("k > 1 or n > 1 or not b")
+    odd = stored(odd.select("__row", "kept"))
+    gone = stored(odd.select("__row"))
+    again = odd.select("__row", F.explode("kept").alias("__row2"))  # repeated rows, and rows whose hash another one shares
+    once = keyed.join(again, row, "left_semi").dropDuplicates(row)
+    return keyed.join(gone, "__row", "left_anti").select(*names).unionAll(once.select(*names))
