@@ -130,5 +130,7 @@ def distances(pairs: DataFrame, pred: str = "sql", gold: str = "gold_sql", catal
     whole = weights.component * F.col("component_f1") + weights.ted * F.col("ted") + weights.schema * F.col("schema_penalty")
     one = one.withColumn("composite", F.when(failed, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), whole)))).drop("__p", "__g", "__m")
     same = [k for k in keys if k != catalog]
-    on = [prepared[k].eqNullSafe(one[k]) for k in [*same, "__c"]]
-    return prepared.join(one, on, "left").select(*[prepared[c] for c in pairs.columns], *[one[c] for c in ("component_f1", "ted", "schema_penalty", "parse_failed", "composite")])
+    found = one.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*same, "__c"])], "component_f1", "ted", "schema_penalty", "parse_failed", "composite")
+    rows = prepared.drop("component_f1", "ted", "schema_penalty", "parse_failed", "composite")
+    joined = rows.join(found, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*same, "__c"])], "left")
+    return joined.drop("__c", *[f"__k{i}" for i in range(len(same) + 1)])
