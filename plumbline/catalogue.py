@@ -212,7 +212,7 @@ def pass_at_k(spark, sf):
 def token_f1_turns(spark, sf):
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w"))
     a, u = turns.filter("role = 'assistant'"), turns.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("w").alias("g"))
-    return a.join(u, ["conv_id", "turn"]).select("conv_id", "turn", F.round(metrics.token_f1(F.col("w"), F.col("g")), 4).alias("f1"))
+    return metrics.long_token_f1(a.join(u, ["conv_id", "turn"]), ["conv_id", "turn"], "w", "g").withColumn("f1", F.round("f1", 4))
 
 
 @query("""WITH t AS (SELECT a.p_partkey, [a.p_brand = b.p_brand, a.p_type = b.p_type, a.p_size = b.p_size] AS e FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)

@@ -8,15 +8,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 256
+RANGES, STEP = 256, 16
 
 
 def _ranged(df: DataFrame, key: Column, weight: Column, ranges: int) -> DataFrame:
     """Adds __r, the range of the key, and __base, the weight of all ranges before. A null key has a range of its own, the last."""
     cuts = df.agg(F.percentile_approx(key.cast("double"), [i / ranges for i in range(1, ranges)], 10_000).alias("__cuts"))
+    cuts = cuts.select(F.array_distinct("__cuts").alias("__cuts"))
+    # every STEP-th cut first, then the STEP cuts after the last of those under the key
+    cuts = cuts.withColumn("__coarse", F.filter("__cuts", lambda c, i: i % STEP == STEP - 1))
     rows = df.crossJoin(F.broadcast(cuts))  # one row
-    at = F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < key.cast("double")))
-    rows = rows.withColumn("__r", F.when(key.isNull(), ranges).otherwise(F.coalesce(at, F.lit(0)))).drop("__cuts")
+    under = lambda cs: F.size(F.filter(cs, lambda c: c < key.cast("double")))
+    rows = rows.withColumn("__at", under(F.col("__coarse")) * STEP)
+    at = F.col("__at") + under(F.slice("__cuts", F.col("__at") + 1, F.lit(STEP)))
+    rows = rows.withColumn("__r", F.when(key.isNull(), ranges).otherwise(F.coalesce(at, F.lit(0)))).drop("__cuts", "__coarse", "__at")
     sums = rows.groupBy("__r").agg(F.sum(weight).alias("__w"))
     base = sums.select("__r", (F.sum("__w").over(Window.orderBy("__r")) - F.col("__w")).alias("__base"))  # at most ranges + 1 rows
     return rows.join(F.broadcast(base), "__r")

@@ -155,6 +155,8 @@ def test_votes_without_valid_results(spark):
 @pytest.mark.parametrize("a, b, want", [([], [], 1.0), (["x"], [], 0.0), (["x"], ["y"], 0.0), (["x", "x", "y"], ["x", "y", "z"], 2 / 3), (["x", "x"], ["x"], 2 / 3), (None, None, 1.0)])
 def test_token_f1(spark, a, b, want):
     f = metrics.token_f1(F.col("a"), F.col("b"))
+    df = spark.createDataFrame([(1, a, b)], "i int, a array<string>, b array<string>")
+    assert metrics.long_token_f1(df, ["i"], "a", "b").first().f1 == pytest.approx(want)
     assert one(spark, f, a=(a, "array<string>"), b=(b, "array<string>")) == pytest.approx(want)
 
 
