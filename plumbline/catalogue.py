@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import response, text
-from .operators import augment, cascade, cluster, compare, linking, metrics, pairs, profile, ranking, vote
+from .functions import losses, response, text
+from .operators import augment, cascade, cluster, compare, linking, metrics, pairs, profile, ranking, search, vote
 from .plans import distance, execute
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,6 +432,26 @@ def prompt_text(spark, sf):
     return table(spark, sf, "region").select("r_regionkey", text.prompt(F.concat("r_name", F.lit("?")), schema).alias("prompt"))
 
 
+# ---- search and losses
+
+@query("""WITH t AS (SELECT p_partkey AS id, list_filter(string_split_regex(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM part),
+  p AS (SELECT id, len(w) AS length, unnest(w) AS term FROM t), i AS (SELECT term, id, count(*) AS tf, any_value(length) AS length FROM p GROUP BY 1, 2), z AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t WHERE len(w) > 0),
+  d AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(mean) AS mean FROM i, z GROUP BY term, n), q AS (SELECT r_regionkey AS q, unnest(['red', 'ring', 'brand']) AS term FROM region WHERE r_regionkey < 2),
+  s AS (SELECT q, id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN d USING (term) JOIN i USING (term) GROUP BY 1, 2)
+  SELECT q AS r_regionkey, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS rank, id, round(score, 6)::DOUBLE AS score FROM s QUALIFY rank <= 5""")
+def content_search(spark, sf):
+    part = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t"))
+    asked = table(spark, sf, "region").filter("r_regionkey < 2").select("r_regionkey", F.lit("Red ring, BRAND").alias("t"))
+    out = search.search(search.postings(part, "p_partkey", "t"), asked, "r_regionkey", "t", 5)
+    return out.select("r_regionkey", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT round(avg(ln(1 + exp(-(0.1 * (value - user_id % 7 - (value / 2 - 3)) + 0.5 * 0.2)))), 6) AS loss, round(avg((value - value / 2 > user_id % 7 - 3)::INT), 6) AS rewards_accuracy, round(avg(0.1 * (value / 2 - (user_id % 7 - 3))), 6) AS rewards_margin FROM events""")
+def preference_loss(spark, sf):
+    e = table(spark, sf, "events").select(F.col("value").alias("chosen"), (F.col("user_id") % 7).cast("double").alias("rejected"), (F.col("value") / 2).alias("ref_chosen"), F.lit(3.0).alias("ref_rejected"), F.lit(0.2).alias("margin"))
+    return losses.reward_metrics(e, 0.1, 0.5).select(*[F.round(c, 6).alias(c) for c in ("loss", "rewards_accuracy", "rewards_margin")])
+
+
 # ---- comparison and execution
 
 def _perturbed(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -510,3 +530,15 @@ def ast_components(spark, sf):
 @query()
 def composite_distance(spark, sf):
     return distance.distances(_case_rows(spark), catalog="catalog").select("case_id", *[F.round(c, 4).alias(c) for c in ("component_f1", "ted", "schema_penalty", "composite")], "parse_failed")
+
+
+@query()
+def merged_schema(spark, sf):
+    rows = _case_rows(spark).withColumn("q", F.col("case_id") % 4)
+    columns = rows.limit(1).select(F.explode("catalog").alias("table_name", "c")).select("table_name", F.posexplode("c").alias("ordinal", "column_name"))
+    return distance.merged_schema(rows, columns, ["q"], "sql", "case_id", "catalog").select("q", "table_name", F.array_join("columns", ",").alias("columns"))
+
+
+@query()
+def parsed_records(spark, sf):
+    return distance.parsed_records(_case_rows(spark)).select("case_id", "normalized_sql", "error.message")

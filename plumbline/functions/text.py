@@ -174,3 +174,24 @@ def pruned_ddl(ddl: Column, tables: Column, columns: Column | None = None) -> Co
 
         kept = F.transform(kept, slim)
     return F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, F.concat(F.lit(mark), F.array_join(kept, mark))).otherwise(ddl)
+
+
+def schema_sequence(tables: Column, keys: Column) -> Column:
+    """A database on lines of text: tables array<struct<name, columns array<struct<name, type, is_pk, comment, contents array<string>>>>>, and
+    foreign keys array<struct<from_table, from_column, to_table, to_column>>. Names with special characters are quoted."""
+    note = lambda c: F.concat(
+        F.array(c["type"]), F.when(c["is_pk"], F.array(F.lit("primary key"))).otherwise(F.array().cast("array<string>")), F.when(F.length(c["comment"]) > 0, F.array(F.concat(F.lit("comment : "), c["comment"]))).otherwise(F.array().cast("array<string>")),
+        F.when(F.size(c["contents"]) > 0, F.array(F.concat(F.lit("values : "), F.array_join(c["contents"], " , ")))).otherwise(F.array().cast("array<string>")),
+    )
+    column = lambda t, c: F.concat(quoted_if_needed(t["name"]), F.lit("."), quoted_if_needed(c["name"]), F.lit(" ( "), F.array_join(note(c), " | "), F.lit(" )"))
+    line = lambda t: F.concat(F.lit("table "), quoted_if_needed(t["name"]), F.lit(" , columns = [ "), F.array_join(F.transform(t["columns"], lambda c: column(t, c)), " , "), F.lit(" ]"))
+    q = quoted_if_needed
+    link = lambda k: F.concat(q(k["from_table"]), F.lit("."), q(k["from_column"]), F.lit(" = "), q(k["to_table"]), F.lit("."), q(k["to_column"]))
+    links = F.when(F.coalesce(F.size(keys), F.lit(0)) > 0, F.concat(F.lit("foreign keys :\n"), F.array_join(F.transform(keys, link), "\n"))).otherwise("foreign keys : None")
+    return F.array_join(F.concat(F.array(F.lit("database schema :")), F.transform(tables, line), F.array(links)), "\n")
+
+
+def matched_sequence(matches: Column) -> Column:
+    """Values found in columns, array<struct<table_name, column_name, contents array<string>>>, on lines of text."""
+    line = lambda m: F.concat(quoted_if_needed(m["table_name"]), F.lit("."), quoted_if_needed(m["column_name"]), F.lit(" ( "), F.array_join(m["contents"], " , "), F.lit(" )"))
+    return F.when(F.coalesce(F.size(matches), F.lit(0)) > 0, F.concat(F.lit("matched contents :\n"), F.array_join(F.transform(matches, line), "\n"))).otherwise("matched contents : None")

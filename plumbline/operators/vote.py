@@ -62,3 +62,24 @@ def metric_row(judgements: DataFrame, correct: str, by: str) -> DataFrame:
     for name, value in (("easy", "simple"), ("medium", "moderate"), ("hard", "challenging")):
         cols += [F.coalesce(F.avg(F.when(level == value, hit)), F.lit(0.0)).alias(name), F.count_if(level == value).alias(f"{name}_total")]
     return judgements.agg(*cols, F.avg(hit).alias("all"), F.count("*").alias("all_total"), F.avg(hit).alias("acc"))
+
+
+def valid_candidates(sqls: Column, least: int = 2) -> Column:
+    """Whether candidates (an array of texts) can be put to a vote: at least `least`, none null or under ten characters, all beginning with select."""
+    fit = F.forall(sqls, lambda s: F.coalesce((F.length(F.trim(s)) >= 10) & F.startswith(F.lower(F.trim(s)), F.lit("select")), F.lit(False)))
+    return F.coalesce((F.size(sqls) >= least) & fit, F.lit(False))
+
+
+def true_positives(judgements: DataFrame, place: str, correct: str) -> DataFrame:
+    """(tp_id): places, counted from 1, of what is correct, in order."""
+    return judgements.filter(F.col(correct) == 1).select((F.col(place) + 1).alias("tp_id")).orderBy("tp_id")
+
+
+def top2_for_prompt(votes: DataFrame, results: DataFrame, question: str = "question_id") -> DataFrame:
+    """votes with both winners' queries and what they returned: results (question, sql, shown); where the second has no result, the first's is shown."""
+    shown = results.select(question, F.col("sql").alias("__s"), F.col("shown").alias("__r")).dropDuplicates([question, "__s"])
+    rows = votes.withColumns({"sql1": F.col("top1.sql"), "sql2": F.col("top2.sql")})
+    for k in ("1", "2"):
+        part = shown.select(question, F.col("__s").alias(f"sql{k}"), F.col("__r").alias(f"shown{k}"))
+        rows = rows.join(part, [question, f"sql{k}"], "left")
+    return rows.withColumn("shown2", F.coalesce("shown2", "shown1"))

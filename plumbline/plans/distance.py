@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.linking import penalty
+from ..operators.linking import merged_columns, penalty, restored_columns
 from ..operators.metrics import WEIGHTS, component_f1
-from .analysis import columns_used, components, normalize, tables_used, tree_for
-from .sqltree import Node
+from .analysis import columns_used, components, lineage, normalize, tables_used, tree_for
+from .sqltree import Node, SqlError, parse, text_of
 
 
 @dataclass(frozen=True)
@@ -134,3 +134,38 @@ def distances(pairs: DataFrame, pred: str = "sql", gold: str = "gold_sql", catal
     rows = prepared.drop("component_f1", "ted", "schema_penalty", "parse_failed", "composite")
     joined = rows.join(found, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*same, "__c"])], "left")
     return joined.drop("__c", *[f"__k{i}" for i in range(len(same) + 1)])
+
+
+def parsed_records(df: DataFrame, sql: str = "sql") -> DataFrame:
+    """Adds normalized_sql, or error (type and message) where the text is no query. Each distinct text is parsed once."""
+
+    @F.pandas_udf("struct<normalized_sql:string,error:struct<type:string,message:string>>")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            try:
+                rows.append((text_of(parse(t)), None))
+            except SqlError as e:
+                rows.append((None, {"type": "SqlError", "message": str(e)}))
+        return pd.DataFrame(rows, columns=["normalized_sql", "error"])
+
+    once = df.select(F.col(sql).alias("__s")).distinct().withColumn("__p", read("__s")).select("__s", "__p.*")
+    return df.join(once, df[sql].eqNullSafe(once["__s"]), "left").drop("__s")
+
+
+def lineage_rows(df: DataFrame, keys: list[str], sql: str, pos: str, catalog: str) -> DataFrame:
+    """(keys, pos, table_name, column_name): what each query reads of its database's tables (catalog: map<string, array<string>>), in order."""
+
+    @F.pandas_udf("array<struct<table_name:string,column_name:string>>")
+    def trace(texts: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([[{"table_name": t, "column_name": c} for t, cs in lineage(s, {k: list(v) for k, v in dict(m or {}).items()}).items() for c in cs] for s, m in zip(texts, known, strict=True)])
+
+    rows = df.select(*keys, F.struct(F.col(pos).alias("p")).alias("at"), trace(F.col(sql), F.col(catalog)).alias("r"))
+    return rows.select(*keys, "at", F.posexplode("r").alias("i", "r")).select(*keys, F.struct("at.p", "i").alias("pos"), "r.table_name", "r.column_name")
+
+
+def merged_schema(df: DataFrame, catalog_columns: DataFrame, keys: list[str], sql: str, pos: str, catalog: str) -> DataFrame:
+    """(keys, table_name, columns): the columns that several queries of a question read, merged in order and in the catalogue's spelling."""
+    traced = lineage_rows(df, keys, sql, pos, catalog)
+    known = traced.select(*keys, "table_name").distinct()
+    return restored_columns(merged_columns(traced, known, keys), catalog_columns, keys)

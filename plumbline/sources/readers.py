@@ -118,3 +118,19 @@ def database_path(root: Column, db_id: Column, exists: Column | None = None) ->
     """root/db/db.sqlite; where exists, an array of known paths, lacks it but has root/db.sqlite, that one."""
     nested, flat = F.concat(root, F.lit("/"), db_id, F.lit("/"), db_id, F.lit(".sqlite")), F.concat(root, F.lit("/"), db_id, F.lit(".sqlite"))
     return nested if exists is None else F.when(~F.array_contains(exists, nested) & F.array_contains(exists, flat), flat).otherwise(nested)
+
+
+def tree_file_name(name: Column) -> Column:
+    """The name of the file that a batch run writes for an input: without _eval, with _ast."""
+    return F.concat(F.regexp_replace(F.regexp_replace(name, r"\.json$", ""), "_eval$", ""), F.lit("_ast.json"))
+
+
+def few_shots(lines: DataFrame, train: DataFrame) -> DataFrame:
+    """(index, examples array<struct<question, sql, evidence>>) of lines (index, value) of comma-separated places: the line's own, which must
+    be its index, then those of its examples in train (sample_id, question, SQL, evidence), in order; error where the first differs."""
+    parts = F.transform(F.split("value", ","), lambda x: F.trim(x).cast("long"))
+    rows = lines.select("index", parts.alias("p")).withColumn("error", F.when(F.col("p")[0] != F.col("index"), "the line's number is not its place"))
+    named = rows.select("index", "error", F.posexplode_outer(F.slice("p", 2, F.size("p"))).alias("i", "sample_id"))
+    met = named.join(train.select("sample_id", "question", "SQL", "evidence"), "sample_id", "left")
+    one = F.when(F.col("question").isNotNull(), F.struct("i", "question", F.col("SQL").alias("sql"), "evidence"))
+    return met.groupBy("index", "error").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.dropFields("i")).alias("examples"))

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import response, text
-from plumbline.operators import augment, cascade, cluster, compare, linking, metrics, pairs, profile, ranking, vote
+from plumbline.functions import losses, response, text
+from plumbline.operators import augment, cascade, cluster, compare, linking, metrics, pairs, profile, ranking, search, vote
 
 
 def one(spark, column, **values):
@@ -232,3 +232,40 @@ def test_holdout(spark):
     assert augment.holdout(df, 0, 1, "id").filter("held_out").count() == 0
     with pytest.raises(ValueError):
         augment.holdout(df, 1, 1, "id")
+
+
+def test_schema_text(spark):
+    column = lambda n, pk, note, values: F.struct(F.lit(n).alias("name"), F.lit("text").alias("type"), F.lit(pk).alias("is_pk"), F.lit(note).alias("comment"), (F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")).alias("contents"))
+    tables = F.array(F.struct(F.lit("a b").alias("name"), F.array(column("x", True, "", []), column("y", False, "why", ["1", "2"])).alias("columns")))
+    keys = F.array(F.struct(F.lit("a b").alias("from_table"), F.lit("x").alias("from_column"), F.lit("c").alias("to_table"), F.lit("z").alias("to_column")))
+    assert one(spark, text.schema_sequence(tables, keys)) == "database schema :\ntable `a b` , columns = [ `a b`.x ( text | primary key ) , `a b`.y ( text | comment : why | values : 1 , 2 ) ]\nforeign keys :\n`a b`.x = c.z"
+    found = F.array(F.struct(F.lit("t").alias("table_name"), F.lit("c d").alias("column_name"), F.array(F.lit("v")).alias("contents")))
+    assert one(spark, text.matched_sequence(found)) == "matched contents :\nt.`c d` ( v )" and one(spark, text.matched_sequence(F.filter(found, lambda x: F.lit(False)))) == "matched contents : None"
+
+
+def test_votes_can_be_held(spark):
+    for sqls, want in ((["select 1 from t", "SELECT 2 from t"], True), (["select 1 from t"], False), (["select 1 from t", None], False), (["select 1", "select 1 from t"], False), (["with x as y", "select 1 from t"], False)):
+        assert one(spark, vote.valid_candidates(F.col("s")), s=(sqls, "array<string>")) is want
+
+
+def test_top2_for_prompt(spark):
+    df = spark.createDataFrame([(1, i, r, f"s{r}") for i, r in enumerate("aab")], "question_id long, pos int, result string, sql string")
+    results = spark.createDataFrame([(1, "sa", "[1]"), (1, "sa", "[1]")], "question_id long, sql string, shown string")
+    r = vote.top2_for_prompt(vote.majority(df), results).first()
+    assert (r.sql1, r.sql2, r.shown1, r.shown2) == ("sa", "sb", "[1]", "[1]")
+    judged = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "place long, ok int")
+    assert [x.tp_id for x in vote.true_positives(judged, "place", "ok").collect()] == [1, 3]
+
+
+def test_search(spark):
+    texts = spark.createDataFrame([(1, "Red fox"), (2, "red red wine"), (3, "blue sea"), (4, None), (5, "")], "id long, t string")
+    asked = spark.createDataFrame([(1, "RED"), (2, "none"), (3, None), (4, "sea, red")], "q long, t string")
+    got = [(r.q, r["rank"], r.id) for r in search.search(search.postings(texts, "id", "t"), asked, "q", "t").orderBy("q", "rank").collect()]
+    assert got == [(1, 1, 2), (1, 2, 1), (4, 1, 3), (4, 2, 2), (4, 3, 1)]
+    assert one(spark, search.grams(F.lit("a b c"), 2)) == ["a b c", "a b", "b c", "a", "b", "c"]
+
+
+def test_losses(spark):
+    f = losses.margin_loss(*[F.col(c) for c in "abcdm"], beta=1.0, alpha=1.0)
+    values = lambda z, m: {"a": (z, "double"), "b": (0.0, "double"), "c": (0.0, "double"), "d": (0.0, "double"), "m": (m, "double")}
+    assert one(spark, f, **values(0.0, 0.0)) == pytest.approx(0.693147, abs=1e-6) and one(spark, f, **values(-1000.0, None)) == 1000 and one(spark, f, **values(2.0, 1.0)) == pytest.approx(0.048587, abs=1e-6)

@@ -131,3 +131,15 @@ def test_streamed_clusters(spark, tmp_path):
     q = first.writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("firsts").count() == 3
+
+
+def test_few_shots_and_names(spark):
+    lines = spark.createDataFrame([(0, "0,1,0"), (1, "7,0"), (2, "2")], "index long, value string")
+    train = spark.createDataFrame([(0, "q0", "s0", ""), (1, "q1", "s1", None)], "sample_id long, question string, SQL string, evidence string")
+    got = {r["index"]: r for r in readers.few_shots(lines, train).collect()}
+    assert [e.question for e in got[0].examples] == ["q1", "q0"] and got[0].error is None and got[1].error and got[2].examples == []
+    names = spark.createDataFrame([("3_x_eval.json",), ("gold.json",)], "n string")
+    assert [r.x for r in names.select(readers.tree_file_name(F.col("n")).alias("x")).collect()] == ["3_x_ast.json", "gold_ast.json"]
+    assert spark.range(1).select(readers.database_path(F.lit("/r"), F.lit("d")).alias("p")).first().p == "/r/d/d.sqlite"
+    flat = readers.database_path(F.lit("/r"), F.lit("d"), F.array(F.lit("/r/d.sqlite")))
+    assert spark.range(1).select(flat.alias("p")).first().p == "/r/d.sqlite"
