@@ -1,7 +1,7 @@
 """A quality classifier: a byte-level convolutional network in numpy.
 
-Filters of 8 bytes step 2 bytes through the whole text. Each is max-pooled over overlapping chunks of 512 bytes; the mean and
-the maximum over all chunks, of each filter, give one probability by a logistic layer."""
+Filters of 8 bytes step 2 bytes through the whole text. Each is max-pooled over overlapping chunks of 512 bytes; the mean, the
+maximum and the minimum over all chunks, of each filter, give one probability by a logistic layer."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ WIDTH, FILTERS = 8, 16
 BLOCK = 64  # filter positions (2 bytes each) of a block; a chunk has 4 blocks and the next begins 3 blocks on
 CHUNK, STEP = 4, 3
 #: Labelled documents the network is fitted on at most.
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 5000
 
 
 def _pairs(text: str | None) -> np.ndarray:
@@ -32,7 +32,7 @@ def _pairs(text: str | None) -> np.ndarray:
 class Network:
     def __init__(self, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
-        self.p = {"w": rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), "b": np.zeros(FILTERS, np.float32), "v": rng.normal(0, 0.2, 2 * FILTERS).astype(np.float32), "c": np.zeros(1, np.float32)}
+        self.p = {"w": rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), "b": np.zeros(FILTERS, np.float32), "v": rng.normal(0, 0.2, 3 * FILTERS).astype(np.float32), "c": np.zeros(1, np.float32)}
 
     def tables(self) -> np.ndarray:
         """What each pair of bytes adds, at each of a filter's pair positions: [WIDTH / 2, 65536, FILTERS]."""
@@ -66,7 +66,7 @@ class Network:
 
     def logit(self, chunks: np.ndarray) -> float:
         h = np.maximum(chunks + self.p["b"], 0)
-        return float(np.r_[h.mean(0), h.max(0)] @ self.p["v"] + self.p["c"][0])
+        return float(np.r_[h.mean(0), h.max(0), h.min(0)] @ self.p["v"] + self.p["c"][0])
 
     def score(self, text: str | None, tables: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(self.pooled(_pairs(text), tables)), -30, 30))))
@@ -85,12 +85,13 @@ class Network:
                     chunks, at = self.pooled(rows[i], tables, True)
                     raw = chunks + self.p["b"]
                     h = np.maximum(raw, 0)
-                    feats = np.r_[h.mean(0), h.max(0)]
+                    feats = np.r_[h.mean(0), h.max(0), h.min(0)]
                     d = (1 / (1 + np.exp(-np.clip(feats @ self.p["v"] + self.p["c"][0], -30, 30))) - labels[i]) / len(part)
                     g["v"] += d * feats
                     g["c"] += d
                     dh = np.tile(d * self.p["v"][:FILTERS] / len(h), (len(h), 1))
-                    dh[h.argmax(0), np.arange(FILTERS)] += d * self.p["v"][FILTERS:]
+                    dh[h.argmax(0), np.arange(FILTERS)] += d * self.p["v"][FILTERS : 2 * FILTERS]
+                    dh[h.argmin(0), np.arange(FILTERS)] += d * self.p["v"][2 * FILTERS :]
                     dh *= raw > 0
                     g["b"] += dh.sum(0)
                     for j in range(WIDTH // 2):
