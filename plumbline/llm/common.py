@@ -25,6 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Paths that stored() has written and nothing has deleted, in order.
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
@@ -33,6 +37,7 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
+    _written.append(path)
     return out
 
 
@@ -40,8 +45,23 @@ def forget(*frames: DataFrame | None) -> None:
     """Deletes what stored() wrote for frames that nothing reads any more."""
     for df in frames:
         if df is not None and (path := getattr(df, "_plumbline_path", None)):
-            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """stored(make()), after which what make() itself stored is deleted: it serves nothing else."""
+    known = set(_written)
+    out = stored(make())
+    for path in [p for p in _written if p not in known and p != out._plumbline_path]:
+        _delete(out.sparkSession, path)
+    return out
 
 
 #: Rows of an Arrow batch at most, in place of Spark's 10,000: whole texts pass through Python, and each batch is held several times.
