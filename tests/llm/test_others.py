@@ -122,6 +122,9 @@ def test_pipeline_on_odd_rows(spark):
         for _, stage in c.STAGES:
             docs = stored(stage(spark, docs, ""))
         assert docs.select("doc_id").distinct().count() == n
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in c.language(spark, unlabelled, "").collect()} == {2, None, 6, 8}
+    assert c.language(spark, odd, "").filter("doc_id = 8").first().lang in ("en", "fr")
 
 
 def test_registered(spark):
