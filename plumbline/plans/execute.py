@@ -7,6 +7,7 @@ import sqlite3
 import time
 import uuid
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark import InheritableThread
@@ -94,11 +95,13 @@ def same_result(spark: SparkSession, gold_sql: str, sql: str, mode: str = "bag",
 VERDICT = "case_id long, gold_sql string, sql string, status string, detail string, is_correct boolean"
 
 
-def verdicts(spark: SparkSession, cases: Iterable[tuple[int, str, str]], mode: str = "bag", timeout: float = TIMEOUT, empty_matches: bool = True) -> DataFrame:
+def verdicts(spark: SparkSession, cases: Iterable[tuple[int, str, str]], mode: str = "bag", timeout: float = TIMEOUT, empty_matches: bool = True, at_once: int = 4) -> DataFrame:
     """One row for each case (id, gold query, candidate): status success, error, timeout or gold_error, an error's message, and the
-    verdict; a candidate that fails is wrong, and without a gold result there is none. Queries run against the session's views."""
-    out = []
-    for case, gold_sql, sql in cases:
+    verdict; a candidate that fails is wrong, and without a gold result there is none. Queries run against the session's views,
+    `at_once` cases side by side."""
+
+    def judge(one: tuple[int, str, str]) -> tuple:
+        case, gold_sql, sql = one
         status, detail, correct = "success", None, None
         if problem := executable(spark, gold_sql):
             status, detail = "gold_error", problem
@@ -111,8 +114,10 @@ def verdicts(spark: SparkSession, cases: Iterable[tuple[int, str, str]], mode: s
                 status, detail, correct = "timeout", str(e), False
             except Exception as e:
                 status, detail, correct = "error", str(e)[:2000], False
-        out.append((case, gold_sql, sql, status, detail, correct))
-    return spark.createDataFrame(out, VERDICT)
+        return case, gold_sql, sql, status, detail, correct
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return spark.createDataFrame(list(pool.map(judge, cases)), VERDICT)
 
 
 # ---- SQLite
