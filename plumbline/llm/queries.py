@@ -61,5 +61,17 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_sparse_suffixes, op2_rank_order, op3_best_fit, op4_simhash, op5_skip_chain, op6_audio, op7_host_suffixes, op8_vantage_points, op9_byte_network, op10_bpe)}
 
 
+#: All windows of 50 words, without suffixes: those that occur twice, united by document and by whether they come first.
+PASSAGES = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM documents),
+ g AS (SELECT doc_id, p, md5(array_to_string(a[p + 1 : p + 50], ' ')) AS h FROM (SELECT doc_id, a, unnest(range(0, greatest(len(a) - 49, 0))) AS p FROM w)),
+ m AS (SELECT h, min(struct_pack(d := doc_id, p := p)) AS f FROM g GROUP BY h HAVING count(*) > 1),
+ r AS (SELECT doc_id, p, f.d AS of, f.d = doc_id AND f.p = p AS first FROM g JOIN m USING (h)),
+ i AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id, first ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM r),
+ u AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, first ORDER BY p) AS island FROM i)
+SELECT doc_id, min(p)::BIGINT AS start_word, (max(p) + 50)::BIGINT AS end_word, (max(p) + 50 - min(p))::BIGINT AS n_words, first, min(of) AS first_doc_id FROM u GROUP BY doc_id, first, island
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_sparse_suffixes": PASSAGES}
