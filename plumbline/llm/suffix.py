@@ -19,7 +19,7 @@ from .common import map_arrow, stored
 WINDOW, GRAM = 50, 16
 SIDE = WINDOW - GRAM  # words that a window has besides its 16-gram
 #: Suffixes compared together in a task; a more frequent 16-gram is counted window by window instead.
-GROUP = 4096
+GROUP = 1024
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _POS = 26  # bits of a word's position beside a hash
 
