@@ -172,7 +172,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
     near = near.withColumn("g", group)
     best = near.groupBy("g").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), *row)).alias("b"))
-    best = best.select("g", F.col("b.__row").alias("r"), F.col("b.__row2").alias("r2"))
+    best = stored(best.select("g", F.col("b.__row").alias("r"), F.col("b.__row2").alias("r2")))  # both sides are then plain shuffles, which Spark can split
     marked = near.join(best, "g").select(*row, ((F.col("__row") == F.col("r")) & (F.col("__row2") == F.col("r2"))).alias("best"))
     # by the first hash alone unless different rows share it: what texts are joined with is then 8 bytes for each row that goes
     each = marked.groupBy(*row).agg(F.count("*").alias("n"), F.max("best").alias("best"))
