@@ -19,18 +19,16 @@ def majority(candidates: DataFrame, question: str = "question_id", pos: str = "p
     last that was seen before top1, else the first seen after it; if the largest number is tied, or there is one result, it is
     top1 itself. A question without valid results has nulls and n_results 0. Only results, not candidates, are gathered
     for a question."""
-    counted = ballots(candidates, question, pos, result, sql)
-    one = F.struct(F.col("first"), F.col("votes"), F.col(result).alias("result"), F.col("sql"))
+    counted = candidates.groupBy(question, result).agg(F.count("*").alias("votes"), F.min(pos).alias("first"), F.min_by(sql, pos).alias("sql"))
+    one = F.when(F.col(result).isNotNull(), F.struct(F.col("first"), F.col("votes"), F.col(result).alias("result"), F.col("sql")))  # invalid ones keep their question only
     rows = counted.groupBy(question).agg(F.array_sort(F.collect_list(one)).alias("a"))
     votes = F.sort_array(F.transform("a", lambda x: x["votes"]), asc=False)
-    rows = rows.withColumns({"v1": votes[0], "v2": F.coalesce(F.get(votes, F.lit(1)), votes[0])})
-    rows = rows.withColumn("top1", F.filter("a", lambda x: x["votes"] == F.col("v1"))[0])
+    rows = rows.withColumns({"v1": F.get(votes, F.lit(0)), "v2": F.coalesce(F.get(votes, F.lit(1)), F.get(votes, F.lit(0)))})
+    rows = rows.withColumn("top1", F.get(F.filter("a", lambda x: x["votes"] == F.col("v1")), F.lit(0)))
     before = F.filter("a", lambda x: (x["votes"] == F.col("v2")) & (x["first"] < F.col("top1.first")))
     after = F.filter("a", lambda x: (x["votes"] == F.col("v2")) & (x["first"] > F.col("top1.first")))
     second = F.when(F.col("v1") == F.col("v2"), F.col("top1")).otherwise(F.coalesce(F.try_element_at(before, F.lit(-1)), F.try_element_at(after, F.lit(1))))
-    won = rows.select(question, "top1", second.alias("top2"), F.size("a").alias("n_results"))
-    asked = candidates.select(question).distinct()
-    return asked.join(won, question, "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
+    return rows.select(question, "top1", second.alias("top2"), F.size("a").alias("n_results"))
 
 
 def judged(votes: DataFrame, gold: DataFrame, question: str = "question_id", result: str = "gold_result") -> DataFrame:
