@@ -1,7 +1,8 @@
 """Ranks over a whole table without one task that sorts it all.
 
 Approximate quantiles of a numeric key cut the table into ranges; a range's rows are ranked by themselves and shifted by the
-number of rows in the ranges before. The only window over everything has one row for each range."""
+number of rows in the ranges before. The only window over everything has one row for each range. The table is read more than
+once, so that what it holds must not change from one reading to the next (as ids of partitions may)."""
 
 from __future__ import annotations
 

@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import error_kind
 from ..operators.compare import bag_equal, results_equal, set_equal, strict_equal
-from ..operators.ranking import numbered
 
 TIMEOUT = 30.0
 
@@ -75,9 +75,11 @@ def executable(spark: SparkSession, sql: str) -> str | None:
 
 
 def _placed(df: DataFrame) -> DataFrame:
-    """Rows with their place in the result's order."""
+    """Rows with their place in the result's order, which no key tells: zipWithIndex() counts partitions in order, over one
+    execution of the plan, whereas ids of partitions change when the plan is run again."""
     flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return numbered(flat.withColumn("__id", F.monotonically_increasing_id()), "__id", into="__place").drop("__id")
+    schema = T.StructType([*flat.schema.fields, T.StructField("__place", T.LongType())])
+    return df.sparkSession.createDataFrame(flat.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
 
 
 def same_result(spark: SparkSession, gold_sql: str, sql: str, mode: str = "bag", empty_matches: bool = True) -> bool:
