@@ -158,8 +158,9 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group of near duplicates: the one with the least id, of repeated rows one.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", near=near_duplicates) -> DataFrame:
+    """docs with one document of each group of near duplicates: the one with the least id, of repeated rows one. `near` finds
+    the groups and gives rows as near_duplicates does.
 
     A group whose ids are all null keeps one of its rows. Columns and their order stay. Texts are joined with the rows that
     go, which are fewer than those that stay, and Spark knows how many: it moves the texts only if they are too many to send."""
@@ -167,7 +168,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     columns = [F.col(f"`{c}`") for c in names]
     keyed = docs.withColumns({"__row": F.xxhash64(*columns), "__row2": F.xxhash64(F.lit(1), *columns)})
     row = ["__row", "__row2"]
-    near = stored(near_duplicates(keyed, id_col, text, keys=[id_col, *row]))
+    near = stored(near(keyed, id_col, text, keys=[id_col, *row]))
     # component_id is null only where all ids of a component are; then each fingerprint is a group
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
     near = near.withColumn("g", group)
