@@ -27,6 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Bytes of a Parquet row group of scratch tables: what a writing task holds in the JVM.
+ROW_GROUP = 16 << 20
+
 #: Paths that stored() has written and nothing has deleted, in order.
 _written: list[str] = []
 
@@ -36,7 +39,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     bounded(spark)
     path = f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     _written.append(path)
@@ -66,14 +69,36 @@ def settled(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
-#: Rows of an Arrow batch at most, in place of Spark's 10,000: whole texts pass through Python, and each batch is held several times.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch at most, in place of Spark's 10,000 and 64 MB: whole texts pass through Python, and each batch is held several times.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bounded(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS; Spark reads the setting when a plan is run, so it can't be an operator's own."""
+    """Lowers the session's Arrow batches to BATCH_ROWS and BATCH_BYTES, where they are larger; Spark reads the settings when a
+    plan is run, so that they can't be an operator's own."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Each name, with as many underscores before it as it needs to be none of docs' columns, in whatever case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str):
+    return F.col(quoted(name))
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: T.StructType | str) -> DataFrame:
@@ -90,4 +115,4 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
 
 def fold(column: str, parts: int):
     """crc32 of the id as text, modulo parts; null for a null id."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+    return F.crc32(col(column).cast("string").cast("binary")) % parts

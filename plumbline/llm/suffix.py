@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import col, fresh, map_arrow, stored
 
 WINDOW, GRAM = 50, 16
 SIDE = WINDOW - GRAM  # words that a window has besides its 16-gram
 #: Suffixes compared together in a task; a more frequent 16-gram is counted window by window instead.
 GROUP = 1024
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_POS = 26  # bits of a word's position beside a hash
+_POS = 30  # bits of a word's position beside a hash: a text of 2 GB, the most that Arrow takes, has fewer words
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,18 +125,18 @@ def _compare(batches):
 
     def runs(t):
         order, rid, pos = t["order"], t["rid"], t["pos"]
-        by = np.lexsort((pos, rid, t["gram"]))  # rows that repeat an id and a text count once
-        twice = by[1:][(pos[by][1:] == pos[by][:-1]) & (rid[by][1:] == rid[by][:-1]) & (t["gram"][by][1:] == t["gram"][by][:-1])]
+        by = np.lexsort((pos, rid, order, t["gram"]))  # rows that repeat an id and a text count once
+        twice = by[1:][(pos[by][1:] == pos[by][:-1]) & (rid[by][1:] == rid[by][:-1]) & (order[by][1:] == order[by][:-1]) & (t["gram"][by][1:] == t["gram"][by][:-1])]
         if len(twice):
             keep = np.ones(len(pos), bool)
             keep[twice] = False
             t = {k: v[keep] for k, v in t.items()}
             order, rid, pos = t["order"], t["rid"], t["pos"]
         row, start, first = _repeats(*(t[k] for k in fields))
-        by = np.lexsort((start, rid[row]))
+        by = np.lexsort((start, rid[row], order[row]))
         row, start, first = row[by], start[by], first[by]
         own, of = row == first, order[first]
-        new = np.flatnonzero(np.r_[True, (rid[row][1:] != rid[row][:-1]) | (start[1:] != start[:-1] + 1) | (own[1:] != own[:-1]) | (of[1:] != of[:-1])][: len(row)])
+        new = np.flatnonzero(np.r_[True, (rid[row][1:] != rid[row][:-1]) | (order[row][1:] != order[row][:-1]) | (start[1:] != start[:-1] + 1) | (own[1:] != own[:-1]) | (of[1:] != of[:-1])][: len(row)])
         end = np.r_[new[1:], len(row)] - 1
         null = lambda x: pa.array(x, pa.int64(), mask=x == _LAST)
         if not len(row):
@@ -163,14 +163,14 @@ def _compare(batches):
 
 
 def _merge(batches):
-    """Reads runs sorted by rid, first and lo; gives unions of their windows."""
+    """Reads runs sorted by doc, rid, first and lo; gives unions of their windows."""
     names = ["doc_id", "rid", "start_word", "end_word", "first", "first_doc_id"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
     now = None
     for batch in batches:
         out = []
         for doc, rid, lo, hi, of, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if now and now[1] == rid and now[4] == first and lo <= now[3]:
+            if now and now[0] == doc and now[1] == rid and now[4] == first and lo <= now[3]:
                 now[3] = max(now[3], hi + WINDOW)
                 now[5] = min((x for x in (now[5], of) if x is not None), default=None)
             else:
@@ -182,7 +182,7 @@ def _merge(batches):
 
 
 def row_key(id_col: str, text: str):
-    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text}`"))
+    return F.xxhash64(col(id_col), col(text))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
@@ -190,61 +190,78 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
     Words count from 0, ends are exclusive. `first` marks the occurrence that comes first, by document id (nulls last) and
     place: what a deduplication keeps; the others are given apart. first_doc_id is the least id that holds the first
-    occurrence of a window of the union; rid tells rows apart (row_key). Rows that repeat an id and a text count as one
-    document; a null text or one under 50 words has no windows; no rows for an empty table; other columns are not read.
+    occurrence of a window of the union; the id and rid (row_key) tell rows apart. Rows that repeat an id and a text count as
+    one document; a null text or one under 50 words has no windows; no rows for an empty table; other columns are not read,
+    whatever their names; a text may have any length that Arrow takes.
 
     A group of suffixes that share 16 words goes to a task whole, unless it has over `group` of them: then its windows are
     hashed and counted with partial sums, which a frequent passage does not overload."""
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), row_key(id_col, text).alias("rid"), F.col(f"`{text}`").cast("string").alias("text"))
+    source = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(_LAST)).alias("order"), row_key(id_col, text).alias("rid"), col(text).cast("string").alias("text"))
 
     def scan():
         def step(batch):
-            grams, rids, places = [], [], []
-            for rid, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            grams, places = [], []
+            for t in batch.column(2).to_pylist():
                 g, p, _, _ = anchors(word_hashes((t or "").encode("utf-8", "surrogatepass")))
-                grams.append(g.astype(np.int64))
-                rids.append(np.full(len(g), rid, np.int64))
+                grams.append(g.view(np.int64))
                 places.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, rids, places)], ["gram", "rid", "pos"])
+            own = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+            order, rid = (batch.column(i).to_numpy(zero_copy_only=False)[own] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(grams), order, rid, np.concatenate(places))], ["gram", "order", "rid", "pos"])
 
-        return step
+        return lambda batch: step(batch) if batch.num_rows else ()
 
-    marks = stored(map_arrow(source.select("rid", "text").filter(F.length("text") >= 2 * WINDOW - 1), scan, "gram long, rid long, pos long"))
+    marks = stored(map_arrow(source.filter(F.length("text") >= 2 * WINDOW - 1), scan, "gram long, `order` long, rid long, pos long"))
     often = stored(marks.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1"))  # written, so that both sides of the join are plain shuffles, which Spark can split
-    chosen = marks.join(often, "gram").groupBy("rid").agg(F.collect_set(F.struct("pos", (F.col("n") > group).alias("hot"))).alias("at"))
+    # a position and whether its 16-gram is frequent, in one number: sets of numbers take a fraction of the memory of sets of rows
+    chosen = marks.join(often, "gram").groupBy("order", "rid").agg(F.collect_set(F.col("pos") * 2 + (F.col("n") > group).cast("long")).alias("at"))
 
     def extend():
         def step(batch):
-            rows: list[list] = [[] for _ in range(9)]
-            for doc, rid, t, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            orders, rids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            found: list[list] = [[] for _ in range(8)]
+            sides: list[list] = [[], []]
+            for i, (t, at) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3), strict=True)):
                 words = word_hashes(t.encode("utf-8", "surrogatepass"))
                 grams, pos, least, most = anchors(words)
-                hot = {x["pos"]: x["hot"] for x in at}
-                state = np.array([hot.get(p, -1) for p in pos.tolist()], np.int8)
-                order = _LAST if doc is None else doc
-                cold = np.flatnonzero(state == 0)
-                left, right = (x.astype(">u4") for x in _context(words, pos[cold]))
-                starts = [s for i in np.flatnonzero(state == 1).tolist() for s in range(pos[i] - most[i], pos[i] - least[i] + 1)]
-                windows = _spans(words, np.array(starts, np.int64), np.array(starts, np.int64) + WINDOW, _R).astype(np.int64) if starts else np.empty(0, np.int64)
+                marked = np.sort(at.values.to_numpy(zero_copy_only=False))
+                state = np.full(len(pos), -1)
+                place = np.minimum(np.searchsorted(marked >> 1, pos), len(marked) - 1)
+                known = marked[place] >> 1 == pos
+                state[known] = marked[place[known]] & 1
+                cold, often = np.flatnonzero(state == 0), np.flatnonzero(state == 1)
+                for k, x in enumerate(_context(words, pos[cold])):
+                    sides[k].append(x.astype(">u4"))
+                sizes = most[often] - least[often] + 1  # the windows of a frequent 16-gram
+                starts = np.repeat(pos[often] - most[often] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                windows = _spans(words, starts, starts + WINDOW, _R).view(np.int64)
                 n, m = len(cold), len(starts)
-                for k, v in enumerate(((0,) * n + (1,) * m, [*grams[cold].astype(np.int64).tolist(), *windows.tolist()], [order] * (n + m), [rid] * (n + m), [*pos[cold].tolist(), *starts], [*least[cold].tolist(), *[0] * m], [*most[cold].tolist(), *[0] * m], [*(x.tobytes() for x in left), *[None] * m], [*(x.tobytes() for x in right), *[None] * m])):
-                    rows[k].extend(v)
-            kinds = [pa.int32(), *[pa.int64()] * 6, pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], ["kind", "gram", "order", "rid", "pos", "least", "most", "left", "right"])
-
-        return lambda batch, most=500: (x for at in range(0, batch.num_rows, most) for x in step(batch.slice(at, most)))
+                zero = np.zeros(m, np.int64)
+                for k, x in enumerate((np.r_[np.zeros(n, np.int32), np.ones(m, np.int32)], np.r_[grams[cold].view(np.int64), windows], np.full(n + m, orders[i]), np.full(n + m, rids[i]), np.r_[pos[cold], starts], np.r_[least[cold], zero], np.r_[most[cold], zero])):
+                    found[k].append(x)
+                found[7].append(np.r_[np.zeros(n, bool), np.ones(m, bool)])
+            none = np.concatenate(found[7])
+            rows = [pa.array(np.concatenate(x), k) for x, k in zip(found[:7], [pa.int32(), *[pa.int64()] * 6], strict=True)]
+            ends = np.r_[0, np.cumsum(~none) * (4 * SIDE)].astype(np.int32)
+            valid = pa.py_buffer(np.packbits(~none, bitorder="little").tobytes())
+            for x in sides:  # rows of windows have no context
+                rows.append(pa.Array.from_buffers(pa.binary(), len(none), [valid, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.concatenate(x).tobytes())], int(none.sum())))
+            yield pa.RecordBatch.from_arrays(rows, ["kind", "gram", "order", "rid", "pos", "least", "most", "left", "right"])
+
+        return lambda batch, most=250: (x for at in range(0, batch.num_rows, most) for x in step(batch.slice(at, most)))
 
     fields = "kind int, gram long, `order` long, rid long, pos long, least long, most long, left binary, right binary"
-    suffixes = stored(map_arrow(source.join(chosen, "rid").select("doc", "rid", "text", "at"), extend, fields))
+    # the positions of a partition's documents are hashed, so that the texts pass by them without a sort
+    suffixes = stored(map_arrow(source.join(chosen.hint("shuffle_hash"), ["order", "rid"]).select("order", "rid", "text", "at"), extend, fields))
     few = suffixes.filter("kind = 0").drop("kind").repartition("gram").sortWithinPartitions("gram", "right").mapInArrow(_compare, SPANS)
     hot = suffixes.filter("kind = 1").select("gram", "order", "rid", "pos")
     place = F.struct("order", "rid", "pos")
     counted = stored(hot.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b"))
     id_of = lambda c: F.when(F.col(c) != _LAST, F.col(c))
     many = hot.join(counted.select("gram", "a"), "gram").select(
-        id_of("order").alias("doc"), "rid", F.col("pos").alias("lo"), F.col("pos").alias("hi"), id_of("a.order").alias("first_doc"), (F.struct("rid", "pos") == F.struct("a.rid", "a.pos")).alias("first")
+        id_of("order").alias("doc"), "rid", F.col("pos").alias("lo"), F.col("pos").alias("hi"), id_of("a.order").alias("first_doc"), (place == F.col("a")).alias("first")
     )
-    runs = few.unionAll(many).repartition("rid").sortWithinPartitions("rid", "first", "lo")
+    runs = few.unionAll(many).repartition("doc", "rid").sortWithinPartitions("doc", "rid", "first", "lo")
     return runs.mapInArrow(_merge, "doc_id long, rid long, start_word long, end_word long, first boolean, first_doc_id long")
 
 
@@ -285,10 +302,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     A document of which no word is left goes; all others stay, with what is left of their text. Columns and their order stay."""
     names = docs.columns
+    key, rid, spans = fresh(docs, "passage_id", "passage_row", "passage_spans")
     found = repeated_passages(docs, id_col, text)
     own = F.coalesce(F.col("first_doc_id").eqNullSafe(F.col("doc_id")), F.lit(False))
-    spans = found.groupBy("rid").agg(F.collect_list(F.struct("start_word", "end_word", "first", own.alias("own"))).alias("__spans"), F.min("first").alias("f")).filter("not f")
-    rows = docs.withColumn("__rid", row_key(id_col, text)).join(spans.select(F.col("rid").alias("__rid"), "__spans"), "__rid", "left").select(*[f"`{c}`" for c in names], "__spans")
+    cuts = found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start_word", "end_word", "first", own.alias("own"))).alias(spans), F.min("first").alias("f")).filter("not f")
+    cuts = cuts.select(F.coalesce("doc_id", F.lit(_LAST)).alias(key), F.col("rid").alias(rid), spans)
+    rows = docs.withColumns({key: F.coalesce(col(id_col).cast("long"), F.lit(_LAST)), rid: row_key(id_col, text)}).join(cuts, [key, rid], "left").select(*map(col, names), spans)
     at = names.index(text)
 
     def make():
