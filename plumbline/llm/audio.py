@@ -13,9 +13,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import col, map_arrow, quoted
 
 #: Payloads are padded to a multiple of this many bytes.
 UNIT = 192
@@ -90,9 +89,9 @@ def _mels(rate: int) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, rate: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-    """Natural logarithms of mel energies of overlapped Hann frames [frames, MELS], and frame energies; a short signal is one frame."""
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    """Natural logarithms of mel energies of overlapped Hann frames [frames, MELS], and frame energies. Zeros follow the signal
+    so that the last frame reaches its end; a short signal is one frame."""
+    x = np.pad(x, (0, FRAME + max(0, -(-(len(x) - FRAME) // HOP)) * HOP - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     window, bank = np.hanning(FRAME).astype(np.float32), _mels(rate)
     mels, energy = np.empty((len(frames), MELS), np.float32), np.empty(len(frames), np.float32)
@@ -124,19 +123,21 @@ def features(media: bytes) -> dict:
 
 
 def tensors(found: dict) -> bytes:
-    """An Arrow IPC stream: start_s, end_s, voiced (share of frames in segments) and mel, a tensor of shape [SPAN, MELS], zero beyond the end."""
+    """An Arrow IPC stream, a row for each time span: start_s, end_s, frames, voiced (of them, those in segments), onsets
+    (segments that start there) and mel, a tensor of shape [SPAN, MELS], zero beyond the end."""
     mels = found["mels"]
     spans = -(-len(mels) // SPAN)
     block = np.zeros((spans, SPAN, MELS), np.float32)
     block.reshape(-1, MELS)[: len(mels)] = mels
-    inside = np.zeros(spans * SPAN, np.float32)
+    inside, onset = (np.zeros(spans * SPAN, np.int32) for _ in range(2))
     for a, b in found["segments"]:
         inside[a:b] = 1
+        onset[a] = 1
     starts = np.arange(spans) * SPAN
     ends = np.minimum(starts + SPAN, len(mels))
     batch = pa.RecordBatch.from_arrays(
-        [pa.array(starts * HOP / found["rate"]), pa.array(((ends - 1) * HOP + FRAME) / found["rate"]), pa.array(inside.reshape(spans, SPAN).sum(1) / (ends - starts)), pa.FixedShapeTensorArray.from_numpy_ndarray(block)],
-        ["start_s", "end_s", "voiced", "mel"],
+        [pa.array(starts * HOP / found["rate"]), pa.array(((ends - 1) * HOP + FRAME) / found["rate"]), pa.array((ends - starts).astype(np.int32)), *(pa.array(x.reshape(spans, SPAN).sum(1, dtype=np.int32)) for x in (inside, onset)), pa.FixedShapeTensorArray.from_numpy_ndarray(block)],
+        ["start_s", "end_s", "frames", "voiced", "onsets", "mel"],
     )
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as w:
@@ -144,21 +145,23 @@ def tensors(found: dict) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def summary(found: dict) -> str:
-    """frames, segments, frames in segments, then the mean of each mel band to one decimal."""
-    spans = found["segments"]
-    means = found["mels"].mean(0, dtype=np.float64)
-    return ";".join([str(len(found["mels"])), str(len(spans)), str(sum(b - a for a, b in spans)), ",".join(f"{m + 0.0:.1f}" for m in means)])
+def summary(stored: bytes) -> str:
+    """Of tensors(), read back: frames, segments, frames in segments, then the mean of each mel band to one decimal."""
+    rows = pa.ipc.open_stream(stored).read_all()
+    frames, voiced, onsets = (rows[k].to_numpy() for k in ("frames", "voiced", "onsets"))
+    mel = rows["mel"].combine_chunks().to_numpy_ndarray()
+    means = mel.sum((0, 1), dtype=np.float64) / frames.sum()  # zero beyond the end
+    return ";".join([str(frames.sum()), str(onsets.sum()), str(voiced.sum()), ",".join(f"{m + 0.0:.1f}" for m in means)])
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text", with_media: bool = True) -> DataFrame:
-    """For each document: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
-    and, if with_media, media (the stored form) and tensors (see tensors()).
+    """For each document: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (of the
+    tensors read back), tensors_sha256 and, if with_media, media (the stored form) and tensors (see tensors()).
 
     A null text counts as empty: 192 spaces. Equal texts give equal values. A null id and repeated rows stay; other columns
     are not read; an empty table gives no rows. A document is computed alone, in memory in proportion to its own length."""
-    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, tensors binary" * with_media
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tensors_sha256 string" + ", media binary, tensors binary" * with_media
+    source = docs.select(col(id_col).alias("id"), col(text).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     names = [id_col, *(x.split()[0] for x in fields.split(", "))]
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -167,12 +170,12 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
         payload, n = padded(text)
         media = to_wav(payload)
         back, _ = from_wav(media)
-        found = features(media)
-        out = [n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), summary(found)]
-        return [*out, media, tensors(found)] if with_media else out
+        stream = tensors(features(media))
+        out = [n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), summary(stream), hashlib.sha256(stream).hexdigest()]
+        return [*out, media, stream] if with_media else out
 
     def make():
-        def step(batch, most=200):
+        def step(batch, most=100):
             for at in range(0, batch.num_rows, most):
                 part = batch.slice(at, most)
                 rows = [row(t) for t in part.column(1).to_pylist()]
@@ -180,4 +183,4 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
 
         return step
 
-    return map_arrow(source, make, f"`{id_col}` {kind}, {fields}")
+    return map_arrow(source, make, f"{quoted(id_col)} {kind}, {fields}")

@@ -1,14 +1,19 @@
 """Byte-level BPE by recursive DuckDB queries.
 
-Each task splits its texts into pieces and encodes the pieces it has not met yet in one recursive query: rows
-(piece, position, token) join the merge table on neighbouring tokens, each piece contracts its leftmost pair of least
-rank, and a piece ends when no pair of it can merge. Decoding joins ids to the vocabulary and aggregates the bytes in order."""
+Each task splits its texts into pieces and encodes the pieces it has not met yet in a recursive query: rows (word,
+position, token) join the merge table on neighbouring tokens, each word contracts its leftmost pair of least rank, and a
+word ends when no pair of it can merge. The recursion keeps one row for each position (USING KEY), so that its memory
+follows the bytes. Decoding joins ids to the vocabulary and aggregates the bytes in order.
+
+Long words contract more pairs in a round, with the same result. A pair that comes first by rank and position among all
+pairs nearer than the longest token can't be reached by any other merge before its own turn: what would reach it were a
+longer token. And of the pairs of the word's least rank all are contracted that do not overlap, if their token is no part
+of a token of lesser rank, so that nothing they make comes before them."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from functools import cache
 
 import duckdb
@@ -16,28 +21,32 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import col, map_arrow, quoted
 
-#: Pieces of more bytes (a run without white space, say) are merged with a heap: the recursion's rows would grow with the square.
-LONG = 128
-#: Pieces remembered by a worker.
-KNOWN = 1_200_000
+#: Bytes of pieces encoded in one query, and the MB that DuckDB may take for them; a longer piece is a query of its own.
+STEP_BYTES, STEP_MB = 500_000, 400
+#: Bytes, about, of the pieces that a worker remembers.
+KNOWN_BYTES = 360_000_000
 
-#: In the end a piece's tokens are the rows of its last round.
+#: {part}: bytes of a part of a word, three times the longest token at least. k holds a pair's rank and position.
 ENCODE = """
-WITH RECURSIVE state(word, pos, tok, nxt, npos, round) AS (
-    SELECT word, pos, tok, lead(tok) OVER w, lead(pos) OVER w, 0 FROM pieces WINDOW w AS (PARTITION BY word ORDER BY pos)
+WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
+    SELECT word, pos, tok FROM pieces
   UNION ALL
-    (WITH best AS (SELECT s.word, min(m.tok::BIGINT * 1048576 + s.pos * 1024 + s.npos) AS k
-                   FROM state s JOIN merges m ON s.tok = m.a AND s.nxt = m.b GROUP BY s.word),
-          merged AS (SELECT s.word, s.pos, CASE WHEN s.pos = (b.k >> 10) & 1023 THEN (b.k >> 20)::INTEGER ELSE s.tok END AS tok, s.round + 1 AS round
-                     FROM state s JOIN best b ON s.word = b.word WHERE s.pos <> b.k & 1023)
-     SELECT word, pos, tok, lead(tok) OVER w, lead(pos) OVER w, round FROM merged WINDOW w AS (PARTITION BY word ORDER BY pos))
+    (WITH live AS MATERIALIZED (SELECT word, pos, tok, lead(tok) OVER w AS nxt, lead(pos) OVER w AS npos, row_number() OVER w AS n
+                                FROM state WHERE tok >= 0 WINDOW w AS (PARTITION BY word ORDER BY pos)),
+          pairs AS MATERIALIZED (SELECT l.word, l.pos, l.npos, l.n, m.tok, m.early FROM live l JOIN merges m ON l.tok = m.a AND l.nxt = m.b),
+          best AS MATERIALIZED (SELECT word, pos // {part} AS part, min(tok::BIGINT << 31 | pos) AS k, arg_min(npos, tok::BIGINT << 31 | pos) AS npos FROM pairs GROUP BY word, part),
+          first AS (SELECT word, k, npos, min(k) OVER (PARTITION BY word ORDER BY part RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS least FROM best),
+          same AS (SELECT p.word, p.pos, p.npos, p.tok, p.n - row_number() OVER (PARTITION BY p.word ORDER BY p.pos) AS run
+                   FROM pairs p JOIN (SELECT word, min(k) >> 31 AS tok FROM best GROUP BY word HAVING count(*) > 1) b ON p.word = b.word AND p.tok = b.tok WHERE NOT p.early),
+          hits AS MATERIALIZED (SELECT word, (k & 2147483647)::INTEGER AS pos, npos, (k >> 31)::INTEGER AS tok FROM first WHERE k = least
+                                UNION SELECT word, pos, npos, tok FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS nth FROM same) WHERE nth % 2 = 1),
+          changed AS (SELECT word, pos, tok FROM hits UNION ALL SELECT word, npos, -1 FROM hits)
+     SELECT l.word, l.pos, coalesce(c.tok, l.tok) FROM live l SEMI JOIN hits h ON l.word = h.word LEFT JOIN changed c ON l.word = c.word AND l.pos = c.pos)
 )
-SELECT word, list(tok ORDER BY pos) FROM state
-JOIN (SELECT word, max(round) AS round FROM state GROUP BY word) USING (word, round) GROUP BY word
+SELECT word, list(tok ORDER BY pos) FROM state WHERE tok >= 0 GROUP BY word
 """
 
 
@@ -51,15 +60,17 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.byte = [self.ranks[bytes([i])] for i in range(256)]
         rows = [(a, b, r) for token, r in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
-        self.pair = {(a, b): r for a, b, r in rows}
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        merges = pa.table({k: pa.array([x[i] for x in rows], pa.int32()) for i, k in enumerate(("a", "b", "tok"))})
+        early = {t for *parts, r in rows for t in parts if r < t}
+        self.encoding = ENCODE.replace("{part}", str(3 * max(map(len, self.ranks))))
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{STEP_MB}MB", "temp_directory": ""})
+        merges = pa.table({k: pa.array([x[i] for x in rows], pa.int32()) for i, k in enumerate(("a", "b", "tok"))} | {"early": pa.array([x[2] in early for x in rows])})
         vocabulary = pa.table({"tok": pa.array(list(self.bytes_of), pa.int32()), "hex": pa.array([x.hex() for x in self.bytes_of.values()])})
         for name, data in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", data)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.held = 0
 
     def _rows(self, lists: list) -> pa.Table:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -74,48 +85,28 @@ class Encoder:
         finally:
             self.db.unregister(name)
 
-    def encode_pieces(self, pieces: list[bytes], step: int = 50_000) -> list[list[int]]:
+    def encode_pieces(self, pieces: list[bytes], step: int = STEP_BYTES) -> list[list[int]]:
         """Ids of each piece."""
         out: list = [[self.ranks[p]] if p in self.ranks else None for p in pieces]
-        todo = [i for i, x in enumerate(out) if x is None]
-        for i in [i for i in todo if len(pieces[i]) > LONG]:
-            out[i] = self._long(pieces[i])
-        todo = [i for i in todo if out[i] is None]
-        for at in range(0, len(todo), step):
-            part = todo[at : at + step]
-            for word, ids in self._query("pieces", self._rows([[self.byte[b] for b in pieces[i]] for i in part]), ENCODE):
+        for part in _parts([i for i, x in enumerate(out) if x is None], [len(p) for p in pieces], step):
+            size = sum(len(pieces[i]) for i in part)
+            if size > step:
+                self.db.execute(f"SET memory_limit = '{STEP_MB * -(-size // step)}MB'")
+            for word, ids in self._query("pieces", self._rows([[self.byte[b] for b in pieces[i]] for i in part]), self.encoding):
                 out[part[word]] = ids
-        return out
+            if size > step:
+                self.db.execute(f"SET memory_limit = '{STEP_MB}MB'")
+        return [x or [] for x in out]
 
-    def _long(self, piece: bytes) -> list[int]:
-        """The same merges, least rank first and leftmost among equals, with a heap and links between neighbours."""
-        tok = [self.byte[b] for b in piece]
-        left, right = list(range(-1, len(tok) - 1)), [*range(1, len(tok)), -1]
-        heap = [(r, i, tok[i], tok[i + 1]) for i in range(len(tok) - 1) if (r := self.pair.get((tok[i], tok[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = right[i]
-            if tok[i] != a or j < 0 or tok[j] != b:
-                continue
-            tok[i], tok[j], right[i] = r, -1, right[j]
-            if right[j] >= 0:
-                left[right[j]] = i
-            for x, y in ((left[i], i), (i, right[i])):
-                if x >= 0 and y >= 0 and (n := self.pair.get((tok[x], tok[y]))) is not None:
-                    heapq.heappush(heap, (n, x, tok[x], tok[y]))
-        return [t for t in tok if t >= 0]
-
-    def decode_ids(self, lists: list[list[int]], step: int = 50_000) -> list[bytes]:
+    def decode_ids(self, lists: list[list[int]], step: int = STEP_BYTES) -> list[bytes]:
         """The bytes of each list of ids; ids outside the vocabulary raise KeyError."""
         out = [b""] * len(lists)
-        for at in range(0, len(lists), step):
-            part = lists[at : at + step]
+        for part in _parts(range(len(lists)), [len(x) for x in lists], step):
             met = 0
-            for word, text, n in self._query("ids", self._rows(part), "SELECT word, string_agg(hex, '' ORDER BY pos), count(*) FROM ids JOIN vocabulary USING (tok) GROUP BY word"):
+            for word, text, n in self._query("ids", self._rows([lists[i] for i in part]), "SELECT word, string_agg(hex, '' ORDER BY pos), count(*) FROM ids JOIN vocabulary USING (tok) GROUP BY word"):
                 met += n
-                out[at + word] = bytes.fromhex(text)
-            if met != sum(map(len, part)):
+                out[part[word]] = bytes.fromhex(text)
+            if met != sum(len(lists[i]) for i in part):
                 raise KeyError("an id is not in the vocabulary")
         return out
 
@@ -124,19 +115,33 @@ class Encoder:
         ids = self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in new])
         for p, x, b in zip(new, ids, self.decode_ids(ids), strict=True):
             self.known[p] = (np.array(x, "<u4").tobytes(), b)
+            self.held += 260 + 6 * len(b)
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """Each text's ids as little-endian unsigned 32-bit integers, and the bytes decoded from them."""
         split = [self.split(t or "") for t in texts]
         met = {p for x in split for p in x}
         new = [p for p in met if p not in self.known]
-        if len(self.known) + len(new) > KNOWN:  # forget what these texts do not use
+        if self.held > KNOWN_BYTES:  # forget what these texts do not use
             self.known = {p: x for p in met if (x := self.known.get(p))}
+            self.held = sum(260 + 6 * len(b) for _, b in self.known.values())
         self.learn(new)
         found = [[self.known[p] for p in x] for x in split]
         return [(b"".join([y[0] for y in x]), b"".join([y[1] for y in x])) for x in found]
 
 
+def _parts(items, sizes: list[int], step: int) -> list[list[int]]:
+    """Items in runs of at most `step` in all, by their sizes; a larger item is a run of its own."""
+    out, room = [], 0
+    for i in items:
+        if not out or sizes[i] > room:
+            out.append([])
+            room = step
+        out[-1].append(i)
+        room -= sizes[i]
+    return out
+
+
 @cache
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
@@ -146,7 +151,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     """For each document its id and ids array<int>, the tokens of the whole text.
 
     A null or empty text has an empty list; a null id and repeated rows stay; other columns are not read; an empty table
-    gives no rows. Memory holds a batch's pieces, never the corpus's."""
+    gives no rows. Memory holds a batch's pieces, never the corpus's; a piece of any length (a text without white space) is
+    one query, whose memory is in proportion to it."""
     return _mapped(docs, path, pattern, id_col, text, "ids array<int>", lambda found: [pa.array([np.frombuffer(a, "<u4").astype(np.int32) for a, _ in found], pa.list_(pa.int32()))])
 
 
@@ -160,14 +166,14 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
 
 def _mapped(docs, path, pattern, id_col, text, fields, columns):
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    source = docs.select(col(id_col).alias("id"), col(text).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     names = [id_col, *(x.split()[0] for x in fields.split(", "))]
 
     def make():
         use = encoder(path, pattern)
 
-        def step(batch, most=2000):
+        def step(batch, most=1000):
             for at in range(0, batch.num_rows, most):
                 part = batch.slice(at, most)
                 found = use.encode(part.column(1).to_pylist())
@@ -175,4 +181,4 @@ def _mapped(docs, path, pattern, id_col, text, fields, columns):
 
         return step
 
-    return map_arrow(source, make, f"`{id_col}` {kind}, {fields}")
+    return map_arrow(source, make, f"{quoted(id_col)} {kind}, {fields}")

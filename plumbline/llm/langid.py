@@ -13,36 +13,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import col, fresh, map_arrow
 
 #: N-grams in a profile and of a document.
 TOP = 400
 UNKNOWN = "und"
 
 
+#: Bits of a character in an n-gram's code: no letter has a greater code point.
+BITS = 18
+
+
 @cache
 def _letters() -> np.ndarray:
-    """An id of 10 bits for every code point, 0 for what is no letter; beyond Latin, code points share ids by remainder."""
-    ids = np.zeros(0x110000, np.uint32)
-    for i in range(0x110000):
+    """Every code point's own id, 0 for what is no letter."""
+    ids = np.zeros(0x110000, np.int64)
+    for i in range(1 << BITS):
         if chr(i).isalpha():
-            ids[i] = i if i < 0x250 else 0x250 + i % (1024 - 0x250)
+            ids[i] = i
     return ids
 
 
 def ngrams(text: str | None) -> np.ndarray:
-    """Codes of all n-grams of a whole text, repeats included: 2 bits for n, then 10 bits for each character."""
+    """Codes of all n-grams of a whole text, repeats included: 2 bits for n, then BITS bits for each character."""
     if not text:
-        return np.empty(0, np.uint32)
+        return np.empty(0, np.int64)
     ids = _letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
-    ids = np.concatenate(([0], ids, [0])).astype(np.uint32)
+    ids = np.concatenate(([0], ids, [0]))
     ids = ids[np.r_[True, (ids[1:] | ids[:-1]) != 0]]  # one 0 between words
     if len(ids) < 3:
-        return np.empty(0, np.uint32)
-    two = (ids[:-1] << 10) | ids[1:]
-    three = (two[:-1] << np.uint32(10)) | ids[2:]
+        return np.empty(0, np.int64)
+    two = (ids[:-1] << BITS) | ids[1:]
+    three = (two[:-1] << BITS) | ids[2:]
     three = three[ids[1:-1] != 0]
-    return np.concatenate((ids[ids != 0] | np.uint32(1 << 30), two | np.uint32(2 << 30), three | np.uint32(3 << 30)))
+    n = 3 * BITS
+    return np.concatenate((ids[ids != 0] | 1 << n, two | 2 << n, three | 3 << n))
 
 
 def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +61,7 @@ def counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def ranked(text: str | None, top: int) -> np.ndarray:
     """A text's most frequent n-grams, ties by code."""
     codes, counts = counted(ngrams(text))
-    order = np.sort((counts.astype(np.uint64) << np.uint64(32)) | (np.uint64(0xFFFFFFFF) - codes.astype(np.uint64)))[::-1][:top]
-    return (np.uint64(0xFFFFFFFF) - (order & np.uint64(0xFFFFFFFF))).astype(np.uint32)
+    return codes[np.argsort(-counts, kind="stable")[:top]]
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP) -> dict[str, np.ndarray]:
@@ -85,23 +89,23 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TO
                         else:
                             sums = {"c": codes, "n": counts}
                         held, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(sums["c"]), pa.string()), pa.array(sums["c"].astype(np.int64)), pa.array(sums["n"].astype(np.int64))], ["lang", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(sums["c"]), pa.string()), pa.array(sums["c"]), pa.array(sums["n"].astype(np.int64))], ["lang", "code", "n"])
 
         return step
 
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("l"))
+    rows = docs.select(col(text).cast("string").alias("t"), col(lang).cast("string").alias("l")).filter("t is not null and l is not null")
     sums = map_arrow(rows, make, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     profiles: dict[str, list[int]] = {}
     for r in sums.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).orderBy("lang", "rank").collect():
         profiles.setdefault(r.lang, []).append(r.code)
-    return {k: np.array(v, np.uint32) for k, v in profiles.items()}
+    return {k: np.array(v, np.int64) for k, v in profiles.items()}
 
 
 def predictor(profiles: dict[str, np.ndarray], top: int = TOP):
     """text -> (language, score): the score is the runner-up's distance over the sum of the two least distances."""
     langs = sorted(profiles)
-    known = np.unique(np.concatenate([profiles[x] for x in langs])) if langs else np.empty(0, np.uint32)
+    known = np.unique(np.concatenate([profiles[x] for x in langs])) if langs else np.empty(0, np.int64)
     ranks = np.full((len(langs), len(known) + 1), -1, np.int64)
     for i, x in enumerate(langs):
         ranks[i, np.searchsorted(known, profiles[x])] = np.arange(len(profiles[x]))
@@ -126,9 +130,10 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
 
     `und` with score 0 for a null text or one without a letter, or if nothing was learnt. Ties go to the first language
     in alphabetical order. Columns of docs named lang_pred or score are replaced; repeated rows stay; an empty table gives none."""
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*[f"`{c}`" for c in rest]).schema.add("lang_pred", "string").add("score", "double")
-    source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("__text"))
+    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    (plain,) = fresh(docs, "text_to_identify")
+    schema = docs.select(*map(col, rest)).schema.add("lang_pred", "string").add("score", "double")
+    source = docs.select(*map(col, rest), col(text).cast("string").alias(plain))
 
     def make():
         predict = predictor(profiles, top)

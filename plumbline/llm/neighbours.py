@@ -11,144 +11,171 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded, col
+
 SHARD, LEAF, FACTOR = 8192, 256, 0.8
-_EPS = 1e-9  # of distances computed from products
+
+
+def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, each summed by itself: equal vectors score equally wherever they are."""
+    return (a * b).sum(1)
+
+
+def distinct(ids: np.ndarray, vectors: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each (id, vector) once, and of equal vectors the `keep` least ids."""
+    vectors = vectors + 0.0  # one zero
+    _, group = np.unique(vectors, axis=0, return_inverse=True)
+    by = np.lexsort((ids, group := group.reshape(-1)))
+    group, ids = group[by], ids[by]
+    once = np.r_[True, (group[1:] != group[:-1]) | (ids[1:] != ids[:-1])][: len(ids)]
+    by, group, ids = by[once], group[once], ids[once]
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(ids)])
+    few = np.arange(len(ids)) - np.repeat(starts, np.diff(np.r_[starts, len(ids)])) < keep
+    return ids[few], vectors[by[few]]
 
 
 class Tree:
-    """A vantage-point tree over distinct vectors; ids of equal vectors are kept in one place, the `keep` least."""
+    """A vantage-point tree. `longest` is a bound of the vectors' lengths."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, leaf: int = LEAF, keep: int = 21, seed: int = 1) -> None:
-        order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order] + 0.0
-        _, first, group = np.unique(vectors, axis=0, return_index=True, return_inverse=True)
-        self.vectors = vectors[first]
-        by = np.argsort(group.reshape(-1), kind="stable")
-        starts = np.searchsorted(group.reshape(-1)[by], np.arange(len(first)))
-        self.ids = [np.sort(ids[by[a:b]])[:keep] for a, b in zip(starts, np.r_[starts[1:], len(by)], strict=True)]
+        self.ids, self.vectors = distinct(ids, vectors, keep)
+        self.repeated = len(np.unique(self.ids)) < len(self.ids)
+        self.longest = longest
         norms = np.einsum("ij,ij->i", self.vectors, self.vectors)
         self.points = np.c_[self.vectors, np.sqrt(np.maximum(longest**2 - norms, 0))]
         self.square = np.einsum("ij,ij->i", self.points, self.points)
         self.leaf, self.rng = leaf, np.random.default_rng(seed)
         self.root = self._build(np.arange(len(self.points)))
 
-    def _distance(self, queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        square = np.einsum("ij,ij->i", queries, queries)[:, None] + self.square[rows] - 2 * queries @ self.points[rows].T
+    def _distance(self, queries: np.ndarray, row: int) -> np.ndarray:
+        square = np.einsum("ij,ij->i", queries, queries) + self.square[row] - 2 * queries @ self.points[row]
         return np.sqrt(np.maximum(square, 0))
 
     def _build(self, rows: np.ndarray):
         if len(rows) <= self.leaf:
             return rows
         at = int(self.rng.integers(len(rows)))
-        point, rest = rows[at], np.delete(rows, at)
-        d = self._distance(self.points[[point]], rest)[0]
+        point, rest = int(rows[at]), np.delete(rows, at)
+        d = self._distance(self.points[rest], point)
         middle = float(np.median(d))
         inside = d <= middle
         if inside.all():
             return rows
         return point, middle, self._build(rest[inside]), self._build(rest[~inside])
 
-    def search(self, queries: np.ndarray, k: int, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, distances), [queries, k]: the nearest distinct vectors found, -1 and infinity where there are fewer."""
-        q = np.c_[queries, np.zeros(len(queries))]
-        best, far = np.full((len(q), k), -1), np.full((len(q), k), np.inf)
-
-        def take(who, rows):
-            d = np.c_[far[who], self._distance(q[who], rows)]
-            r = np.c_[best[who], np.broadcast_to(rows, (len(who), len(rows)))]
-            by = np.argpartition(d, k - 1, 1)[:, :k]
-            far[who], best[who] = np.take_along_axis(d, by, 1), np.take_along_axis(r, by, 1)
-
-        def visit(node, who):
-            if not len(who):
+    def search(self, who: np.ndarray, queries: np.ndarray, k: int, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores), [queries, k]: the candidates found of each query, but for its own id `who`, by falling score and, of
+        equal scores, rising id; -1 and minus infinity where there are fewer."""
+        n = len(queries)
+        q = np.c_[queries, np.zeros(n)]
+        size = np.sqrt(np.einsum("ij,ij->i", q, q))
+        slack = 1e-12 * (size * self.longest + 1e-300)  # of products; below, of distances
+        best, score = np.full((n, k), -1), np.full((n, k), -np.inf)
+
+        def take(some, rows):
+            """Every candidate at least as near as the k-th so far, ties included, is scored exactly and ranked with those so far."""
+            near = queries[some] @ self.vectors[rows].T >= (score[some, -1] - slack[some])[:, None]
+            a, b = np.nonzero(near & (self.ids[rows][None] != who[some][:, None]))
+            if not len(a):
+                return
+            changed, a = np.unique(a, return_inverse=True)
+            some = some[changed]
+            by = np.r_[np.repeat(np.arange(len(some)), k), a]
+            ids = np.r_[best[some].reshape(-1), self.ids[rows[b]]]
+            values = np.r_[score[some].reshape(-1), _scores(queries[some][a], self.vectors[rows[b]])]
+            if self.repeated:  # of an id's vectors the nearest counts
+                order = np.lexsort((-values, ids, by))
+                by, ids, values = by[order], ids[order], values[order]
+                once = np.r_[True, (by[1:] != by[:-1]) | (ids[1:] != ids[:-1]) | (ids[1:] < 0)]
+                by, ids, values = by[once], ids[once], values[once]
+            order = np.lexsort((ids, -values, by))
+            by, ids, values = by[order], ids[order], values[order]
+            starts = np.searchsorted(by, np.arange(len(some)))
+            top = starts[:, None] + np.arange(k)
+            top[:, :] = np.minimum(top, np.r_[starts[1:], len(by)][:, None] - 1)
+            short = starts[:, None] + np.arange(k) > top
+            best[some], score[some] = np.where(short, -1, ids[top]), np.where(short, -np.inf, values[top])
+
+        def visit(node, some):
+            if not len(some):
                 return
             if isinstance(node, np.ndarray):
                 if len(node):
-                    take(who, node)
+                    take(some, node)
                 return
             point, middle, inner, outer = node
-            d = self._distance(q[who], np.array([point]))[:, 0]
-            take(who, np.array([point]))
+            d = self._distance(q[some], point)
+            take(some, np.array([point]))
             near = d <= middle
-            for first, second, some in ((inner, outer, near), (outer, inner, ~near)):
-                mine, gap = who[some], np.abs(d[some] - middle)
+            for first, second, part in ((inner, outer, near), (outer, inner, ~near)):
+                mine, gap = some[part], np.abs(d[part] - middle)
                 visit(first, mine)
-                visit(second, mine[gap <= factor * far[mine].max(1) + _EPS])
+                # the k-th score as a distance; infinite while there are fewer
+                far = np.sqrt(np.maximum(self.longest**2 + size[mine] ** 2 - 2 * score[mine, -1], 0))
+                visit(second, mine[gap <= factor * far + 1e-7 * (self.longest + size[mine])])
 
-        for at in range(0, len(q), 512):
-            visit(self.root, np.arange(at, min(len(q), at + 512)))
-        return best, far
+        for at in range(0, n, 512):
+            visit(self.root, np.arange(at, min(n, at + 512)))
+        return best, score
 
 
-def _search(k: int, factor: float, longest: float, width: int):
-    """Reads rows (shard, kind, id, vector) sorted by shard and kind: candidates (0) make a tree, queries (1) then stream through it."""
+def _search(k: int, factor: float, shard_rows: int):
+    """Reads rows (width, shard, kind, id, longest, vector) sorted by the first three: candidates (0) make a tree, queries (1) then stream through it."""
 
     def answers(tree, ids, queries):
-        rows, _ = tree.search(queries, k + 1, factor)
-        out: list[list] = [[], [], []]
-        for i, (me, found) in enumerate(zip(ids.tolist(), rows, strict=True)):
-            found = found[found >= 0]
-            # summed for each pair alone: equal vectors score equally wherever they are
-            scores = (tree.vectors[found] * queries[i]).sum(1)
-            sizes = [len(tree.ids[r]) for r in found]
-            who = np.concatenate([tree.ids[r] for r in found]) if len(found) else np.empty(0, np.int64)
-            score = np.repeat(scores, sizes)
-            score, who = score[who != me], who[who != me]
-            by = np.lexsort((who, -score))[:k]
-            out[0] += [me] * len(by)
-            out[1] += who[by].tolist()
-            out[2] += score[by].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+        found, scores = tree.search(ids, queries, k, factor)
+        there = found >= 0
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(1))), pa.array(found[there]), pa.array(scores[there])], ["query_id", "vec_id", "score"])
 
     def run(batches):
-        shard, tree, ids, vectors = None, None, [], []
+        place, tree, ids, vectors, most = None, None, [], [], 0
         for batch in batches:
-            s, kind, who = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            flat = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            cuts = np.flatnonzero((s[1:] != s[:-1]) | (kind[1:] != kind[:-1])) + 1
-            for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(s)].tolist(), strict=True):
-                if a == b:
-                    continue
-                if s[a] != shard:
-                    shard, tree, ids, vectors = s[a], None, [], []
+            if not batch.num_rows:
+                continue
+            width, shard, kind, who, longest = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            flat, ends = batch.column(5).flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(width)]
+            cuts = np.flatnonzero((width[1:] != width[:-1]) | (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(shard)].tolist(), strict=True):
+                if (width[a], shard[a]) != place:
+                    place, tree, ids, vectors, most = (width[a], shard[a]), None, [], [], 4 * shard_rows
+                part = flat[ends[a] : ends[b]].reshape(-1, width[a])
                 if kind[a] == 0:
                     ids.append(who[a:b])
-                    vectors.append(flat[a:b])
+                    vectors.append(part)
+                    if sum(map(len, ids)) > most:  # rows that repeat an id and a vector: a shard has no more others
+                        x, y = distinct(np.concatenate(ids), np.concatenate(vectors), k + 1)
+                        ids, vectors, most = [x], [y], max(most, 2 * len(x))
                 elif ids or tree:
                     if tree is None:
-                        tree = Tree(np.concatenate(ids), np.concatenate(vectors), longest, keep=k + 1)
+                        tree = Tree(np.concatenate(ids), np.concatenate(vectors), float(longest[a]), keep=k + 1)
                         ids, vectors = [], []
-                    yield answers(tree, who[a:b], flat[a:b])
+                    yield answers(tree, who[a:b], part)
 
     return run
 
 
 def clean(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(id, v): ids and vectors as doubles, without those that are null, empty or zero or hold a null or a non-finite component."""
-    v = F.col(f"`{column}`").cast("array<double>")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null")
+    rows = vectors.select(col(id_col).cast("long").alias("id"), col(column).cast("array<double>").alias("v")).filter("id is not null and v is not null")
     return rows.filter(F.forall("v", lambda x: F.coalesce((F.abs(x) < float("inf")), F.lit(False)) & ~F.isnan(x)) & F.exists("v", lambda x: x != 0))
 
 
 def nearest(vectors: DataFrame, queries, k: int = 20, factor: float = FACTOR, id_col: str = "vec_id", column: str = "embedding", shard_rows: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, a row of `vectors` for which the condition
-    `queries` (SQL over id) holds, among all other ids; ties to the smaller id.
-
-    Vectors that clean() drops take no part; vectors whose length is not the most common one (of equals the smallest)
-    neither; rows that repeat an id are candidates each, of one id the nearest counts once; a table without vectors
-    gives no rows. Shards hold about `shard_rows` vectors at every size; each receives all queries in a stream, and its
-    tree is all that a task holds."""
-    rows = clean(vectors, id_col, column)
-    sizes = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m"))
-    top = sizes.orderBy(F.desc("n"), "width").first()
-    if top is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("v") == top.width)
-    shards = max(1, -(-top.n // shard_rows))
-    candidates = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "id", "v")
-    asked = rows.filter(queries).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
-    dealt = candidates.unionAll(asked).repartition("shard").sortWithinPartitions("shard", "kind")
-    found = dealt.mapInArrow(_search(k, factor, float(np.sqrt(top.m)) * (1 + 1e-12), top.width), "query_id long, vec_id long, score double")
+    `queries` (SQL over id) holds, among all other ids; ties to the smaller id, also where they are cut.
+
+    Vectors that clean() drops take no part; vectors of different lengths have no inner product and are no candidates of each
+    other; rows that repeat an id are candidates each, of one id the nearest counts once; a table without vectors gives no
+    rows; other columns are not read. Shards hold about `shard_rows` vectors at every size; each receives all queries in a
+    stream, and its tree is all that a task holds."""
+    bounded(vectors.sparkSession)
+    rows = clean(vectors, id_col, column).withColumn("width", F.size("v"))
+    sizes = rows.groupBy("width").agg(F.ceil(F.count("*") / shard_rows).alias("shards"), (F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))) * (1 + 1e-12)).alias("longest"))
+    rows = rows.join(sizes, "width")
+    candidates = rows.select("width", F.pmod(F.xxhash64("id", "v"), "shards").alias("shard"), F.lit(0).alias("kind"), "id", "longest", "v")
+    asked = rows.filter(queries).select("width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("kind"), "id", "longest", "v")
+    dealt = candidates.unionAll(asked).repartition("width", "shard").sortWithinPartitions("width", "shard", "kind")
+    found = dealt.mapInArrow(_search(k, factor, shard_rows), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -12,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded, col
+from .simhash import near_duplicates
+
 CAPACITY, PER_SOURCE, SHARD = 2048, 2, 4096
 
 
@@ -80,30 +83,39 @@ def _pack(capacity: int, per_source: int, shard_rows: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", cluster: str | None = None, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_rows: int = SHARD) -> DataFrame:
     """(doc_id, piece, n_tokens, bin_id, bin_offset): where each piece of each document lies. Tokens are words.
 
     A document longer than a bin is cut: its first pieces fill bins of their own, its rest is packed like any other. In a bin
-    at most `per_source` documents share a source and none shares a duplicate cluster (the same words, ignoring case);
-    null sources never conflict. A document without words has one piece of 0 tokens and no bin. A null id and repeated
-    rows are packed like others (copies of a cluster); an empty table gives no rows; other columns are not read.
-
-    Shards are dealt by a hash of the row and hold about `shard_rows` documents at every size of the input, so that a
-    source or cluster with a third of all rows is spread over all of them."""
-    words = F.filter(F.split(F.lower(F.col(f"`{text}`").cast("string")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").cast("string").alias("source"), words.alias("w"))
-    rows = rows.select("id", "source", F.coalesce(F.size(F.when(F.col("w").isNotNull(), F.col("w"))), F.lit(0)).alias("n"), F.xxhash64("w").alias("cluster"))
-    rows = rows.withColumn("n", F.greatest("n", F.lit(0)))
+    at most `per_source` documents share a source and none shares a duplicate cluster: a value of the column `cluster`, or else
+    the documents whose SimHash fingerprints are linked (simhash.near_duplicates), copies among them. Null sources and null
+    clusters never conflict. A document without words has one piece of 0 tokens and no bin. A null id and repeated rows are
+    packed like others (copies of a cluster); an empty table gives no rows; other columns are not read.
+
+    Shards are dealt by a hash of the row, with a number for each copy of equal rows, and hold about `shard_rows` documents at
+    every size of the input, so that a source, cluster or row with a third of all rows is spread over all of them."""
+    words = F.size(F.filter(F.split(col(text).cast("string"), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    given = [] if cluster is None else [F.xxhash64(col(cluster).cast("string")).alias("cluster"), col(cluster).isNull().alias("alone")]
+    rows = docs.select(col(id_col).alias("id"), col(source).cast("string").alias("source"), F.when(col(text).isNull(), 0).otherwise(words).cast("long").alias("n"), *given, col(text).cast("string").alias("text"))
+    if cluster is None:
+        near = near_duplicates(rows, "id", "text", keys=["id", "source", "n"])
+        # component_id is null only where all ids of a component are; then its fingerprint names the copies
+        rows = near.select("id", "source", "n", F.xxhash64("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).alias("cluster"))
+    else:
+        rows = rows.select("id", "source", "n", F.when(~F.col("alone"), F.col("cluster")).alias("cluster"))
+    # equal rows are counted before they are dealt, and then dealt one by one
+    rows = rows.groupBy("id", "source", "n", "cluster").agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     shards = max(1, -(-docs.count() // shard_rows))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", "source"), F.lit(shards)).cast("long"))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "source", "n", "cluster", "copy"), F.lit(shards)).cast("long"))
     last = F.when(F.col("n") > 0, F.floor((F.col("n") - 1) / capacity)).otherwise(0).cast("int")
     pieces = rows.withColumn("last", last).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("last"))))
     whole = F.col("piece") < F.col("last")
     pieces = pieces.select(
         "shard", F.when(whole, capacity).otherwise(F.col("n") - F.col("last") * capacity).cast("long").alias("length"),
-        F.when(~whole, F.col("source")).alias("source"), F.when(~whole, F.col("cluster")).alias("cluster"), "id", "piece",
+        F.when(~whole, F.col("source")).alias("source"), F.when(~whole, F.col("cluster")).alias("cluster"), "id", "piece", "copy",
     )
     kind = pieces.schema["id"].dataType.simpleString()
-    order = pieces.repartition("shard").sortWithinPartitions("shard", F.desc("length"), "id", "cluster", "piece")
+    order = pieces.repartition("shard").sortWithinPartitions("shard", F.desc("length"), "id", "source", "cluster", "piece", "copy").drop("copy")
+    bounded(docs.sparkSession)
     out = order.mapInArrow(_pack(capacity, per_source, shard_rows), f"id {kind}, piece int, n_tokens long, bin_id long, bin_offset long")
-    return out.withColumnRenamed("id", id_col)
+    return out.select(F.col("id").alias(id_col), "piece", "n_tokens", "bin_id", "bin_offset")

@@ -3,7 +3,7 @@ segmentation and labeling of distant entities in information extraction", 2004).
 
 Tokens are runs without white space. Tokens with a digit, an @ or a written-out @ are nodes; all others are observed to be
 outside. Neighbouring nodes share a chain potential, and a token shares a skip potential with the previous token of the
-document that has the same letters and digits, however far. Tokens inside a pattern's match are observed to have its
+document that has the same letters and digits, however far, and with the first of them that a pattern matches. Tokens inside a pattern's match are observed to have its
 label, so that loopy sum-product messages carry it to repeated and similar tokens that no pattern matches. Potentials are
 fitted piecewise on sentences that a seeded generator writes."""
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import col, map_arrow, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("outside", *KINDS)
@@ -245,7 +245,10 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     w, chain, skip = model()
     place = {i: k for k, i in enumerate(nodes)}
     unary = featured(tokens, nodes) @ w
-    edges, pots, seen = [], [], {}
+    edges, pots, seen, matched = [], [], {}, {}
+    for k, i in enumerate(nodes):
+        if label[i] and (x := normal(tokens[i])):
+            matched.setdefault(x, k)
     for k, i in enumerate(nodes):
         if i - 1 in place:
             edges.append((place[i - 1], k))
@@ -258,6 +261,10 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
             if x in seen:
                 edges.append((seen[x], k))
                 pots.append(skip)
+            sure = matched.get(x, k)  # what a pattern knows reaches every occurrence at once, however far and many they are
+            if sure not in (k, seen.get(x)):
+                edges.append((sure, k))
+                pots.append(skip)
             seen[x] = k
         if label[i]:
             unary[k] -= 50 * (np.arange(len(LABELS)) != label[i])
@@ -309,7 +316,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
     Offsets are code points, ends exclusive. A null text counts as empty; a null id and repeated rows stay; other columns
     are not read; an empty table gives no rows. A document is decided alone, in memory in proportion to its length."""
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    source = docs.select(col(id_col).alias("id"), col(text).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     names = [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
@@ -322,7 +329,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
         return step
 
-    return map_arrow(source, make, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_arrow(source, make, f"{quoted(id_col)} {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -7,16 +7,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import col, fresh, map_arrow
 
 WIDTH, FILTERS = 8, 16
 BLOCK = 64  # filter positions (2 bytes each) of a block; a chunk has 4 blocks and the next begins 3 blocks on
 CHUNK, STEP = 4, 3
-#: Labelled documents the network is fitted on at most.
-TRAIN_DOCS = 5000
+#: Labelled documents the network is fitted on at most, and characters of all of them.
+TRAIN_DOCS, TRAIN_CHARS = 5000, 100_000_000
 
 
 def _pairs(text: str | None) -> np.ndarray:
@@ -106,13 +106,18 @@ class Network:
         return self
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", most: int = TRAIN_DOCS, seed: int = 3) -> Network | None:
-    """A network fitted on at most `most` labelled rows, those whose ids have the least hashes; None if there is none.
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS, seed: int = 3) -> Network | None:
+    """A network fitted on at most `most` labelled rows of at most `chars` characters together, those whose ids have the least
+    hashes; None if there is none.
 
-    Labels other than 0 and 1, null ids and null texts are not used; of an id's labels the least counts."""
-    chosen = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(most)
-    texts = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).filter(F.col("t").isNotNull())
-    rows = texts.join(F.broadcast(chosen.withColumnRenamed(id_col, "i")), "i").select("i", "t", "y").collect()  # at most `most` ids
+    Labels other than 0 and 1, null ids and null texts are not used; of an id's labels and of its texts the least counts, so
+    that a repeated id is one row. These rows alone come to the driver."""
+    known = labels.select(col(id_col).alias("i"), col(label).alias("y")).filter(F.col("y").isin(0, 1) & F.col("i").isNotNull())
+    chosen = known.groupBy("i").agg(F.min("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(most)
+    texts = docs.select(col(id_col).alias("i"), col(text).cast("string").alias("t")).filter("t is not null")
+    rows = texts.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min("t").alias("t"))  # at most `most` ids
+    so_far = F.sum(F.length("t")).over(Window.orderBy(F.xxhash64("i"), "i").rowsBetween(Window.unboundedPreceding, 0))  # of as many rows
+    rows = rows.withColumn("size", so_far).filter(F.col("size") <= chars).select("i", "t", "y").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.i, r.t))
@@ -124,9 +129,10 @@ def classify(docs: DataFrame, network: Network | None, text: str = "text", thres
 
     A null or empty text is scored as one chunk of zero bytes; without a network every score is 0.5. Columns of docs with
     these names are replaced; repeated rows stay; an empty table gives none."""
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*[f"`{c}`" for c in rest]).schema.add("score", "double").add("predicted", "integer")
-    source = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("__text"))
+    rest = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    (plain,) = fresh(docs, "text_to_score")
+    schema = docs.select(*map(col, rest)).schema.add("score", "double").add("predicted", "integer")
+    source = docs.select(*map(col, rest), col(text).cast("string").alias(plain))
 
     def make():
         tables = network.tables() if network else None

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import col, fresh, map_arrow, quoted, stored
 from .components import components
 
 SEED, BITS = 42, 3
@@ -39,8 +39,9 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def with_fingerprints(docs: DataFrame, keys: list[str], text: str = "text", shingle: int = 3) -> DataFrame:
     """The key columns and fp long."""
-    source = docs.select(*keys, F.col(text).cast("string").alias("__text"))
-    fields = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
+    (plain,) = fresh(docs, "text_to_hash")
+    source = docs.select(*map(col, keys), col(text).cast("string").alias(plain))
+    fields = ", ".join(f"{quoted(k)} {source.schema[k].dataType.simpleString()}" for k in keys)
 
     def make():
         def step(batch):
@@ -123,8 +124,8 @@ def links(fps: DataFrame, bits: int = BITS, run: int = RUN) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints `fp` just as all pairs at most `bits` (3 or fewer) apart do.
 
     A value at which more than `run` fingerprints meet is dealt out again by the balls of the two 16-bit quarters of the
-    other segment (at most 3 bits differ there too); what shares a segment's ball and a quarter's has 16 free bits, so
-    that such a run has a bound whatever the input."""
+    other segment (at most 3 bits differ there too). What meets there shares 48 bits but for two balls, of 33 and 17 values:
+    a run has at most 33 x 17 x 2 ** 16 distinct fingerprints whatever the input."""
     if bits > 3:
         raise ValueError("two segments with balls of radius 1 reach 3 bits")
     low, high = "fp & 4294967295L", "shiftrightunsigned(fp, 32)"
@@ -146,12 +147,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     repeated rows stay repeated; an empty table gives no rows; other columns are not read."""
     keys = keys or [id_col]
     rows = stored(with_fingerprints(docs, keys, text, shingle))
-    fps = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
+    fps = rows.groupBy("fp").agg(F.min(col(id_col)).alias("least"))
     parts = components(links(fps.select("fp"), bits))
     labelled = fps.join(parts.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     labelled = stored(labelled)
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(labelled.join(least, "root").select("fp", "component_id"), "fp").select(*keys, "fp", "component_id")
+    return rows.join(labelled.join(least, "root").select("fp", "component_id"), "fp").select(*map(col, keys), "fp", "component_id")
 
 
 def hex_fingerprint(fp):
@@ -164,22 +165,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", nea
 
     A group whose ids are all null keeps one of its rows. Columns and their order stay. Texts are joined with the rows that
     go, which are fewer than those that stay, and Spark knows how many: it moves the texts only if they are too many to send."""
-    names = docs.columns
-    columns = [F.col(f"`{c}`") for c in names]
-    keyed = docs.withColumns({"__row": F.xxhash64(*columns), "__row2": F.xxhash64(F.lit(1), *columns)})
-    row = ["__row", "__row2"]
-    near = stored(near(keyed, id_col, text, keys=[id_col, *row]))
+    names = list(map(col, docs.columns))
+    keyed = docs.select(*names, col(id_col).alias(at := fresh(docs, "near_id")[0]), F.xxhash64(*names).alias(r := fresh(docs, "near_row")[0]), F.xxhash64(F.lit(1), *names).alias(r2 := fresh(docs, "near_row2")[0]))
+    row = [r, r2]
+    found = stored(near(keyed, at, text, keys=[at, *row]))
     # component_id is null only where all ids of a component are; then each fingerprint is a group
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
-    near = near.withColumn("g", group)
-    best = near.groupBy("g").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), *row)).alias("b"))
-    best = stored(best.select("g", F.col("b.__row").alias("r"), F.col("b.__row2").alias("r2")))  # both sides are then plain shuffles, which Spark can split
-    marked = near.join(best, "g").select(*row, ((F.col("__row") == F.col("r")) & (F.col("__row2") == F.col("r2"))).alias("best"))
+    found = found.withColumn("g", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))))
+    best = found.groupBy("g").agg(F.min(F.struct(F.col(at).isNull().alias("n"), F.col(at).alias("i"), F.col(r).alias("r"), F.col(r2).alias("r2"))).alias("b"))
+    best = stored(best.select("g", F.col("b.r").alias("a"), F.col("b.r2").alias("b")))  # both sides are then plain shuffles, which Spark can split
+    marked = found.join(best, "g").select(F.col(r).alias("r"), F.col(r2).alias("r2"), ((F.col(r) == F.col("a")) & (F.col(r2) == F.col("b"))).alias("best"))
     # by the first hash alone unless different rows share it: what texts are joined with is then 8 bytes for each row that goes
-    each = marked.groupBy(*row).agg(F.count("*").alias("n"), F.max("best").alias("best"))
-    odd = each.groupBy("__row").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.min("best").alias("b"), F.collect_list(F.when(F.col("best"), F.col("__row2"))).alias("kept")).filter("k > 1 or n > 1 or not b")
-    odd = stored(odd.select("__row", "kept"))
-    gone = stored(odd.select("__row"))
-    again = odd.select("__row", F.explode("kept").alias("__row2"))  # repeated rows, and rows whose hash another one shares
+    each = marked.groupBy("r", "r2").agg(F.count("*").alias("n"), F.max("best").alias("best"))
+    odd = each.groupBy("r").agg(F.count("*").alias("k"), F.max("n").alias("n"), F.min("best").alias("b"), F.collect_list(F.when(F.col("best"), F.col("r2"))).alias("kept")).filter("k > 1 or n > 1 or not b")
+    odd = stored(odd.select(F.col("r").alias(r), "kept"))
+    gone = stored(odd.select(r))
+    again = odd.select(r, F.explode("kept").alias(r2))  # repeated rows, and rows whose hash another one shares
     once = keyed.join(again, row, "left_semi").dropDuplicates(row)
-    return keyed.join(gone, "__row", "left_anti").select(*names).unionAll(once.select(*names))
+    return keyed.join(gone, r, "left_anti").select(*names).unionAll(once.select(*names))
