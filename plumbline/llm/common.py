@@ -30,6 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
 #: Bytes of a Parquet row group of scratch tables: what a writing task holds in the JVM.
 ROW_GROUP = 16 << 20
 
+#: The setting by which a query's shuffle files go when it ends; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Paths that stored() has written and nothing has deleted, in order.
 _written: list[str] = []
 
@@ -39,7 +42,12 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     bounded(spark)
     path = f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._plumbline_path = path
     _written.append(path)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, map_arrow, quoted, stored
+from .common import col, fresh, map_arrow, quoted, settled, stored
 from .components import components
 
 SEED, BITS = 42, 3
@@ -168,7 +168,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", nea
     names = list(map(col, docs.columns))
     keyed = docs.select(*names, col(id_col).alias(at := fresh(docs, "near_id")[0]), F.xxhash64(*names).alias(r := fresh(docs, "near_row")[0]), F.xxhash64(F.lit(1), *names).alias(r2 := fresh(docs, "near_row2")[0]))
     row = [r, r2]
-    found = stored(near(keyed, at, text, keys=[at, *row]))
+    found = settled(lambda: near(keyed, at, text, keys=[at, *row]))
     # component_id is null only where all ids of a component are; then each fingerprint is a group
     found = found.withColumn("g", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))))
     best = found.groupBy("g").agg(F.min(F.struct(F.col(at).isNull().alias("n"), F.col(at).alias("i"), F.col(r).alias("r"), F.col(r2).alias("r2"))).alias("b"))
