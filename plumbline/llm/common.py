@@ -77,6 +77,13 @@ def settled(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Deletes every table that stored() has written, once no DataFrame that reads one is needed any more: results are lazy, so
+    that only their user knows when."""
+    for path in list(_written):
+        _delete(spark, path)
+
+
 #: Rows and bytes of an Arrow batch at most, in place of Spark's 10,000 and 64 MB: whole texts pass through Python, and each batch is held several times.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -110,15 +117,20 @@ def col(name: str):
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow where make() builds, once per task, the function that turns one batch into batches."""
+    """mapInArrow where make() builds, once per task, the function that turns one batch into batches. Columns go by place: Spark
+    looks the columns of mapInArrow up by name, which fails for names with dots."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    places = [f"c{i}" for i in range(max(len(df.columns), len(schema)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            yield from step(batch)
+            for out in step(batch):
+                yield pa.RecordBatch.from_arrays(out.columns, places[: out.num_columns])
 
     bounded(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    made = df.toDF(*places[: len(df.columns)]).mapInArrow(run, T.StructType([T.StructField(n, f.dataType) for n, f in zip(places, schema.fields, strict=False)]))
+    return made.toDF(*schema.fieldNames())
 
 
 def fold(column: str, parts: int):

@@ -125,14 +125,14 @@ def predictor(profiles: dict[str, np.ndarray], top: int = TOP):
     return predict
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", top: int = TOP) -> DataFrame:
-    """docs with lang_pred string and score double; the other columns pass through.
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", top: int = TOP, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred string and score double, named as `out` says; the other columns pass through.
 
     `und` with score 0 for a null text or one without a letter, or if nothing was learnt. Ties go to the first language
-    in alphabetical order. Columns of docs named lang_pred or score are replaced; repeated rows stay; an empty table gives none."""
-    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    in alphabetical order. Columns of docs with these names are replaced; repeated rows stay; an empty table gives none."""
+    rest = [c for c in docs.columns if c.lower() not in {x.lower() for x in out}]
     (plain,) = fresh(docs, "text_to_identify")
-    schema = docs.select(*map(col, rest)).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*map(col, rest)).schema.add(out[0], "string").add(out[1], "double")
     source = docs.select(*map(col, rest), col(text).cast("string").alias(plain))
 
     def make():
