@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import losses, response, text
 from .operators import augment, cascade, cluster, compare, linking, metrics, pairs, profile, ranking, search, vote
 from .plans import distance, execute
+from .sources import evalfiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,7 +43,7 @@ def cluster_exact_text(spark, sf):
           WHERE length(trim(w)) > 0 GROUP BY 1, 2""")
 def cluster_occurrences(spark, sf):
     rows = table(spark, sf, "conversations").select(F.col("conv_id"), F.col("turn").alias("record_index"), F.split("text", " ").alias("all_sqls"))
-    out = cluster.clusters(cluster.flattened(rows), ["conv_id"])
+    out = cluster.clusters(cluster.flattened(rows), ["conv_id"], occurrences=False)
     return out.select("conv_id", "sql", F.col("count").alias("n"), F.col("first.record_index").alias("first_turn"))
 
 
@@ -121,12 +122,17 @@ def cascaded(spark, sf) -> DataFrame:
     line = F.col("sid") * 100000 + F.row_number().over(Window.partitionBy("sid").orderBy("pair_type", "chosen", "rejected"))
     made = made.withColumn("line", line.cast("long"))
     margin = F.when(F.col("line") % 19 == 0, "much").otherwise(F.col("margin").cast("string"))
-    record = F.struct(F.concat(F.lit("p"), F.repeat(F.lit(" w"), (F.col("sid") % 7).cast("int"))).alias("prompt"), F.left("chosen", F.lit(1)).alias("chosen"), F.left("rejected", F.lit(1)).alias("rejected"), margin.alias("margin"), F.col("sid").alias("sample_id"), "pair_type", "chosen_is_correct", "rejected_is_correct")
+    record = F.struct(F.concat(F.lit("p"), F.repeat(F.lit(" w"), (F.col("sid") % 7).cast("int"))).alias("prompt"), "chosen", "rejected", margin.alias("margin"), F.col("sid").alias("sample_id"), "pair_type", "chosen_is_correct", "rejected_is_correct")
     lines = made.select("line", F.when(F.col("line") % 17 == 0, "{no json").otherwise(F.to_json(record)).alias("value"))
-    rules = cascade.Rules(min_margin=0.05, min_margin_by_type={"wrong_wrong": 0.1}, max_prompt_tokens=6, max_total_tokens=6, max_pairs_per_prompt=2, require_rejected_wrong=True)
+    rules = cascade.Rules(min_margin=0.05, min_margin_by_type={"wrong_wrong": 0.1}, max_prompt_tokens=6, max_total_tokens=6, max_pairs_per_prompt=2, require_rejected_wrong=True, normalize=lambda c: F.left(c, F.lit(1)))
     return cascade.cascade(cascade.parsed_lines(lines), rules)
 
 
+@query(f"{CASCADE} SELECT pair_type, count(*) AS before, count(*) FILTER (WHERE reason IS NULL) AS after FROM done WHERE NOT bad GROUP BY 1")
+def cascade_types(spark, sf):
+    return cascade.type_counts(cascaded(spark, sf))
+
+
 @query(f"{CASCADE} SELECT reason, count(*) AS n FROM done WHERE reason IS NOT NULL GROUP BY 1")
 def cascade_reasons(spark, sf):
     return cascade.reason_counts(cascaded(spark, sf))
@@ -149,6 +155,56 @@ def margin_quantiles(spark, sf):
     return metrics.lower_quantiles(pairs.build_pairs(scored(spark, sf), ["sid"]), "margin")
 
 
+# ---- files of judged candidates
+
+EVALS = """e AS (SELECT doc_id // 20 AS sid, doc_id, quality, CASE WHEN doc_id % 11 = 0 THEN 'no query at all ' || doc_id ELSE 'SELECT n_name FROM nation WHERE n_nationkey = ' || doc_id % 25 END AS sql,
+   'SELECT r_name FROM region WHERE r_regionkey = ' || doc_id % 3 AS gold, lang FROM documents JOIN labels USING (doc_id)),
+ r AS (SELECT sid, CASE WHEN quality = 1 THEN 'correct_set' ELSE 'wrong_set' END AS set_name, row_number() OVER (PARTITION BY sid, quality ORDER BY doc_id) - 1 AS record_index, sql, gold, lang, doc_id FROM e)"""
+
+
+def judged_files(spark, sf) -> DataFrame:
+    """(file, value): labelled documents, by twenties, in the layout of files of judged candidates."""
+    e = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumn("sid", F.floor(F.col("doc_id") / 20))
+    sql = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("no query at all "), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("SELECT n_name FROM nation WHERE n_nationkey = "), (F.col("doc_id") % 25).cast("string")))
+    record = F.struct("sid", "doc_id", sql.alias("sql"), F.concat(F.lit("SELECT r_name FROM region WHERE r_regionkey = "), (F.col("doc_id") % 3).cast("string")).alias("gold_sql"), F.col("lang").alias("db_id"), F.col("doc_id").alias("count"))
+    pick = lambda q: F.transform(F.array_sort(F.collect_list(F.when(F.col("quality") == q, record))), lambda x: x.dropFields("sid", "doc_id"))
+    sets = e.groupBy("sid").agg(pick(1).alias("correct_set"), pick(0).alias("wrong_set"))
+    value = F.to_json(F.struct(F.struct(F.col("sid").alias("sample_id")).alias("metadata"), "correct_set", "wrong_set"))
+    return sets.select(F.concat(F.col("sid").cast("string"), F.lit("_x_eval.json")).alias("file"), value.alias("value"))
+
+
+@query(f"WITH {EVALS} SELECT sid AS sample_id, set_name, record_index, sql, gold AS gold_sql, lang AS db_id, doc_id AS count FROM r")
+def eval_file_records(spark, sf):
+    return evalfiles.eval_records(judged_files(spark, sf)).select("sample_id", "set_name", F.col("record_index").cast("long").alias("record_index"), "sql", "gold_sql", "db_id", "count")
+
+
+@query(f"""WITH {EVALS}, u AS (SELECT sid, 'gold' AS set_name, gold AS sql FROM (SELECT DISTINCT sid, gold FROM r) UNION ALL SELECT sid, set_name, sql FROM (SELECT DISTINCT sid, set_name, sql FROM r))
+  SELECT sid || '_x_eval.json' AS file, count(*) FILTER (WHERE set_name = 'gold') AS gold_count, count(*) FILTER (WHERE set_name = 'correct_set') AS correct_count, count(*) FILTER (WHERE set_name = 'wrong_set') AS wrong_count,
+  count(*) FILTER (WHERE set_name = 'gold') AS parsed_gold_count, count(*) FILTER (WHERE set_name = 'correct_set' AND sql LIKE 'SELECT %') AS parsed_correct_count, count(*) FILTER (WHERE set_name = 'wrong_set' AND sql LIKE 'SELECT %') AS parsed_wrong_count,
+  count(*) FILTER (WHERE sql LIKE 'SELECT %') AS parsed_count, count(*) FILTER (WHERE sql NOT LIKE 'SELECT %') AS error_count FROM u GROUP BY sid""")
+def eval_file_summary(spark, sf):
+    return evalfiles.parsed_summary(evalfiles.parsed_eval(evalfiles.eval_records(judged_files(spark, sf)), deduplicate=True))
+
+
+@query("""WITH t AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'nothing to parse' ELSE 'select  o_orderkey from orders where o_orderkey = ' || o_orderkey END AS sql FROM orders)
+  SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE sql LIKE 'select%') AS parsed, string_agg('SELECT o_orderkey FROM orders WHERE o_orderkey = ' || o_orderkey, ';' ORDER BY o_orderkey) FILTER (WHERE sql LIKE 'select%') AS texts FROM t GROUP BY 1""")
+def dataset_records(spark, sf):
+    o = table(spark, sf, "orders")
+    sql = F.when(F.col("o_orderkey") % 13 == 0, "nothing to parse").otherwise(F.concat(F.lit("select  o_orderkey from orders where o_orderkey = "), F.col("o_orderkey").cast("string")))
+    lists = o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", sql.alias("sql")))), lambda x: x["sql"]).alias("all_sqls"))
+    done = evalfiles.parsed_dataset(lists, ["o_custkey"])
+    good = F.filter("normalized_sqls", lambda x: x["error"].isNull())
+    text_ = F.array_join(F.transform(good, lambda x: x["normalized_sql"]), ";")
+    return done.select("o_custkey", F.size("normalized_sqls").cast("long").alias("n"), F.size(good).cast("long").alias("parsed"), F.when(F.size(good) > 0, text_).alias("texts"))
+
+
+@query("SELECT o_custkey, string_agg(o_orderstatus || '=' || n, ',' ORDER BY n DESC, o_orderstatus) AS counts FROM (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1")
+def sorted_counts(spark, sf):
+    counts = table(spark, sf, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count("*").alias("n"))
+    maps = counts.groupBy("o_custkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("o_orderstatus", "n")))).alias("m"))
+    return maps.select("o_custkey", F.array_join(F.transform(ranking.sorted_entries(F.col("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"))
+
+
 # ---- votes: lines of an order vote for its status
 
 VOTES = """c AS (SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, l_returnflag AS result, l_linestatus AS alt FROM lineitem),
@@ -216,7 +272,7 @@ def token_f1_turns(spark, sf):
 
 
 @query("""WITH t AS (SELECT a.p_partkey, [a.p_brand = b.p_brand, a.p_type = b.p_type, a.p_size = b.p_size] AS e FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)
-  SELECT p_partkey, round(1 - (2 * e[1]::INT + 2 * e[2]::INT + 2 * 1 + 1 + 1 + e[3]::INT + 0.5) / 9.5::DOUBLE, 4) AS distance FROM t""")
+  SELECT p_partkey, round(1 - (2.0 * e[1]::INT + 2.0 * e[2]::INT + 2.0 + 1.0 + 1.0 + 1.0 + 0.5 * e[3]::INT) / 9.5::DOUBLE, 4) AS distance FROM t""")  # select, where, join, groupby, orderby, having, limit
 def component_f1_weighted(spark, sf):
     one = lambda c: F.array(F.col(c).cast("string"))
     none = F.array().cast("array<string>")
@@ -244,9 +300,10 @@ def auc_roc(spark, sf):
 
 
 @query(f"""WITH {RANKED} SELECT round(corr(rx::DOUBLE, ry::DOUBLE), 4) AS spearman_rho, count(*) AS n_samples, count(*) FILTER (WHERE quality = 1) AS n_correct, count(*) FILTER (WHERE quality = 0) AS n_wrong,
+  round((sum(rx) FILTER (WHERE quality = 0) - count(*) FILTER (WHERE quality = 0) * (count(*) FILTER (WHERE quality = 0) + 1) / 2.0) / (count(*) FILTER (WHERE quality = 0) * count(*) FILTER (WHERE quality = 1))::DOUBLE, 4) AS auc_roc,
   round(avg(n_chars) FILTER (WHERE quality = 1), 4) AS mean_dist_correct, round(avg(n_chars) FILTER (WHERE quality = 0), 4) AS mean_dist_wrong, corr(rx::DOUBLE, ry::DOUBLE) <= -0.65 AS passed FROM r""")
 def calibration_report(spark, sf):
-    return metrics.calibration(labelled(spark, sf), "n_chars", "quality").drop("auc_roc")
+    return metrics.calibration(labelled(spark, sf), "n_chars", "quality").drop("p_value")  # SQL has no Student's t; tests hold it against published values
 
 
 WORDS = r"(SELECT conv_id, list_distinct(list_transform(list_filter(flatten(list(string_split_regex(text, '\s+')) FILTER (WHERE role = '{0}')), lambda x: x <> ''), lambda x: lower(x))) AS {1} FROM conversations GROUP BY 1)"
@@ -378,39 +435,42 @@ def append_augmented(spark, sf):
 
 # ---- responses and text
 
-@query("SELECT conv_id, turn, trim(replace(string_split(string_split('<answer>x</answer>' || '<answer> ' || left(text, 40) || ' </answer> tail', '<answer>')[-1], '</answer>')[1], chr(10), ' ')) AS answer FROM conversations")
+STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT conv_id, turn, {STRIPPED.format('text')} AS answer FROM conversations")
 def answer_extract(spark, sf):
     c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", response.answer_text(F.concat(F.lit("<answer>x</answer><answer> "), F.replace(F.left("text", F.lit(40)), F.lit("\n"), F.lit(" ")), F.lit(" </answer> tail"))).alias("answer"))
+    return c.select("conv_id", "turn", response.answer_text(F.concat(F.lit("<answer>x</answer><answer> "), "text", F.lit(" </answer> tail"))).alias("answer"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role, 'SELECT ' || replace(replace(left(text, 30), ';', ''), chr(10), ' ') AS q FROM conversations)
-  SELECT conv_id, turn, trim(CASE WHEN turn % 3 = 0 THEN q || ' x' WHEN turn % 3 = 1 THEN q || ' b' ELSE q END) AS sql FROM t""")
+@query(f"""WITH t AS (SELECT conv_id, turn, role, 'SELECT ' || replace(replace(text, ';', ''), chr(10), ' ') AS q FROM conversations)
+  SELECT conv_id, turn, {STRIPPED.format("CASE WHEN turn % 3 = 0 THEN q || ' x' WHEN turn % 3 = 1 THEN q || ' b' ELSE q END")} AS sql FROM t""")
 def last_sql_block(spark, sf):
-    q = F.concat(F.lit("SELECT "), F.replace(F.replace(F.left("text", F.lit(30)), F.lit(";"), F.lit("")), F.lit("\n"), F.lit(" ")))
+    q = F.concat(F.lit("SELECT "), F.replace(F.replace("text", F.lit(";"), F.lit("")), F.lit("\n"), F.lit(" ")))
     kind = F.col("turn") % 3
     text_ = F.when(kind == 0, F.concat(F.lit("<think>no</think> <answer>"), q, F.lit(" x;</answer>"))).when(kind == 1, F.concat(F.lit("```sql\nSELECT 0\n```\nso\n```sql\n"), q, F.lit(" b\n```"))).otherwise(F.concat(F.lit("thought</think>"), q, F.lit(";")))
     return table(spark, sf, "conversations").select("conv_id", "turn", response.strip(response.sql_of(text_)).alias("sql"))
 
 
-@query("SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'B' WHEN 1 THEN 'B' WHEN 2 THEN 'A' WHEN 3 THEN 'B' ELSE 'A' END AS choice FROM conversations")
+@query("""SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'B' WHEN 1 THEN 'B' WHEN 4 THEN 'A' ELSE CASE WHEN upper(left(text, 1)) IN ('A', 'B') THEN upper(left(text, 1)) WHEN turn % 5 = 3 THEN 'B' ELSE 'A' END END AS choice FROM conversations""")
 def choice_parse(spark, sf):
-    answers = ['{"choose": "b"} as said', "b, surely", "no idea", "so the correct answer is B", '{"choose": "Candidate A is the chosen"}']
-    at = F.element_at(F.array(*map(F.lit, answers)), (F.col("turn") % 5 + 1).cast("int"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", response.choice(at).alias("choice"))
+    at = F.col("turn") % 5
+    said = F.when(at == 0, F.concat(F.lit('{"choose": "b"} as said: '), "text")).when(at == 1, F.concat(F.lit("b, surely: "), "text")).when(at == 2, F.col("text"))
+    said = said.when(at == 3, F.concat("text", F.lit(" so the correct answer is B"))).otherwise(F.concat(F.lit('{"choose": "Candidate A is the chosen"} '), "text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", response.choice(said).alias("choice"))
 
 
-@query("SELECT event_id, lower(event_type) AS first_word, 2 AS n FROM events")
+@query(r"SELECT conv_id, turn, w[1] AS first_word, len(list_distinct(w)) AS n FROM (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM conversations)")
 def sql_words(spark, sf):
-    words = text.words_of_sql(F.concat(F.col("event_type"), F.lit(" FROM "), F.col("event_type")))
-    return table(spark, sf, "events").select("event_id", words[0].alias("first_word"), F.size(words).alias("n"))
+    words = text.words_of_sql(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.get(words, F.lit(0)).alias("first_word"), F.size(words).cast("long").alias("n"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'no such column' WHEN event_id % 4 = 1 THEN 'no such table' WHEN event_id % 4 = 2 THEN 'syntax error' ELSE 'others' END AS kind FROM events""")
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'no such column' WHEN 1 THEN 'no such table' WHEN 2 THEN 'syntax error' ELSE 'others' END AS kind FROM conversations")
 def error_taxonomy(spark, sf):
-    said = F.element_at(F.array(*map(F.lit, ["no such column: ", "Error: no such table: ", "near x: syntax error in "])), (F.col("event_id") % 4 + 1).cast("int"))
-    message = F.concat(F.when(F.col("event_id") % 4 < 3, said).otherwise("odd "), F.col("event_type"))
-    return table(spark, sf, "events").select("event_id", text.error_kind(message).alias("kind"))
+    said = F.element_at(F.array(*map(F.lit, ["no such column: ", "Error: no such table: ", "near x: syntax error in ", "odd "])), (F.col("turn") % 4 + 1).cast("int"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", text.error_kind(F.concat(said, "text")).alias("kind"))
 
 
 @query("""WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), u AS (SELECT doc_id, w, '[' || array_to_string(w[1:20], ', ') || ']' AS head, '[' || array_to_string(w, ', ') || ']' AS whole FROM t),
@@ -420,28 +480,37 @@ def truncate_result(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.shown_result(F.split("text", " "))).alias("shown"))
 
 
-@query("SELECT r_regionkey, 'CREATE TABLE b (y INT' || chr(10) || ')' AS ddl FROM region")
+DDL = r"""w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents)"""
+
+
+@query(f"""WITH {DDL}, k AS (SELECT doc_id, w, list_filter(w, lambda x: length(x) % 3 = 0) AS k FROM w)
+  SELECT doc_id, md5('CREATE TABLE b_' || doc_id || ' (' || chr(10) || array_to_string(list_transform(CASE WHEN len(k) > 0 THEN k ELSE w END, lambda x: '  ' || x || ' INT,' || chr(10)), '') || ')') AS ddl FROM k""")
 def ddl_prune(spark, sf):
-    ddl = F.lit("CREATE TABLE a (x INT\n)\nCREATE TABLE b (y INT\n)")
-    return table(spark, sf, "region").select("r_regionkey", text.pruned_ddl(ddl, F.array(F.lit("B"))).alias("ddl"))
+    """Tables whose columns are the words of a document; of the second, those of three, six, ... letters are wanted."""
+    docs = table(spark, sf, "documents").select("doc_id", F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "").alias("w"))
+    body = F.concat(F.lit(" (\n"), F.array_join(F.transform("w", lambda x: F.concat(F.lit("  "), x, F.lit(" INT,\n"))), ""), F.lit(")"))
+    ddl = F.concat(*[x for t in "abc" for x in (F.lit(f"CREATE TABLE {t}_"), F.col("doc_id").cast("string"), body, F.lit("" if t == "c" else "\n"))])
+    name = F.concat(F.lit("b_"), F.col("doc_id").cast("string"))
+    wanted = F.create_map(name, F.array_distinct(F.filter("w", lambda x: F.length(x) % 3 == 0)))
+    return docs.select("doc_id", F.md5(F.regexp_replace(text.pruned_ddl(ddl, F.array(F.upper(name)), wanted), r"\s+$", "")).alias("ddl"))
 
 
-@query("SELECT r_regionkey, 'Write one SQLite query that answers the question.' || chr(10) || chr(10) || 'Database Schema:' || chr(10) || 'Table region(r_regionkey, r_name)' || chr(10) || chr(10) || 'Question:' || chr(10) || r_name || '?' || chr(10) || chr(10) || 'Answer with the query alone, beginning with SELECT.' || chr(10) || chr(10) || 'SQL:' AS prompt FROM region")
+@query(r"""SELECT doc_id, md5(regexp_replace('Write one SQLite query that answers the question.' || chr(10) || chr(10) || 'Database Schema:' || chr(10) || 'Table ' || coalesce(source, '-') || '(doc_id, ' || coalesce(lang, '-') || ')' || chr(10) || chr(10) || 'Question:' || chr(10) || text || chr(10) || chr(10) || 'Answer with the query alone, beginning with SELECT.' || chr(10) || chr(10) || 'SQL:', '^\s+|\s+$', '', 'g')) AS prompt FROM documents""")
 def prompt_text(spark, sf):
-    schema = text.schema_line(F.lit("region"), F.array(F.lit("r_regionkey"), F.lit("r_name")))
-    return table(spark, sf, "region").select("r_regionkey", text.prompt(F.concat("r_name", F.lit("?")), schema).alias("prompt"))
+    schema = text.schema_line(F.coalesce("source", F.lit("-")), F.array(F.lit("doc_id"), F.coalesce("lang", F.lit("-"))))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.prompt(F.col("text"), schema)).alias("prompt"))
 
 
 # ---- search and losses
 
 @query("""WITH t AS (SELECT p_partkey AS id, list_filter(string_split_regex(lower(p_name || ' ' || p_type || ' ' || p_brand), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM part),
   p AS (SELECT id, len(w) AS length, unnest(w) AS term FROM t), i AS (SELECT term, id, count(*) AS tf, any_value(length) AS length FROM p GROUP BY 1, 2), z AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t WHERE len(w) > 0),
-  d AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(mean) AS mean FROM i, z GROUP BY term, n), q AS (SELECT r_regionkey AS q, unnest(['red', 'ring', 'brand']) AS term FROM region WHERE r_regionkey < 2),
+  d AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(mean) AS mean FROM i, z GROUP BY term, n), q AS (SELECT r_regionkey AS q, unnest(list_distinct(list_filter(string_split_regex(lower('Red ring, BRAND ' || r_name || ' ' || r_regionkey || '1'), '[^a-z0-9]+'), lambda x: x <> ''))) AS term FROM region),
   s AS (SELECT q, id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM q JOIN d USING (term) JOIN i USING (term) GROUP BY 1, 2)
   SELECT q AS r_regionkey, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, id) AS rank, id, round(score, 6)::DOUBLE AS score FROM s QUALIFY rank <= 5""")
 def content_search(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t"))
-    asked = table(spark, sf, "region").filter("r_regionkey < 2").select("r_regionkey", F.lit("Red ring, BRAND").alias("t"))
+    asked = table(spark, sf, "region").select("r_regionkey", F.concat(F.lit("Red ring, BRAND "), "r_name", F.lit(" "), F.col("r_regionkey").cast("string"), F.lit("1")).alias("t"))
     out = search.search(search.postings(part, "p_partkey", "t"), asked, "r_regionkey", "t", 5)
     return out.select("r_regionkey", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
 
@@ -489,6 +558,8 @@ CASES = [
     (8, "SELECT s_name FROM supplier WHERE s_acctbal < -100000", "SELECT s_name FROM supplier WHERE 1 = 0"),
     (9, "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey"),
 ]
+# the gold query, then the candidate, fails only when it runs
+LATE = [(14, "SELECT 1 div (r_regionkey - r_regionkey) AS x FROM region", "SELECT r_regionkey FROM region"), (15, "SELECT r_regionkey FROM region", "SELECT 1 div (r_regionkey - r_regionkey) AS x FROM region")]
 BROKEN = [(10, "SELECT r_name FROM region", "SELECT r_nam FROM region"), (11, "SELECT r_name FROM region", "SELECT r_name FROM regions"), (12, "SELECT r_name FROM region", "what a region"), (13, "SELECT nothing FROM region", "SELECT r_name FROM region")]
 
 
@@ -500,45 +571,102 @@ def _views(spark, sf) -> None:
 def _verdict_sql(mode: str) -> str:
     op = {"bag": "EXCEPT ALL", "set": "EXCEPT"}[mode]
     one = [f"SELECT {i}::BIGINT AS case_id, 'success' AS status, NOT EXISTS (SELECT * FROM (({g}) {op} ({c}))) AND NOT EXISTS (SELECT * FROM (({c}) {op} ({g}))) AS is_correct" for i, g, c in CASES]
-    return " UNION ALL ".join(one + [f"SELECT {i}, '{'gold_error' if i == 13 else 'error'}', {'NULL' if i == 13 else 'false'}" for i, _, _ in BROKEN])
+    return " UNION ALL ".join(one + [f"SELECT {i}, '{'gold_error' if i in (13, 14) else 'error'}', {'NULL' if i in (13, 14) else 'false'}" for i, _, _ in BROKEN + LATE])
 
 
 @query(_verdict_sql("bag"))
 def exec_verdict(spark, sf):
     _views(spark, sf)
-    return execute.verdicts(spark, CASES + BROKEN, "bag").select("case_id", "status", "is_correct")
+    return execute.verdicts(spark, CASES + BROKEN + LATE, "bag").select("case_id", "status", "is_correct")
 
 
 @query(_verdict_sql("set"))
 def exec_verdict_set(spark, sf):
     _views(spark, sf)
-    return execute.verdicts(spark, CASES + BROKEN, "set").select("case_id", "status", "is_correct")
+    return execute.verdicts(spark, CASES + BROKEN + LATE, "set").select("case_id", "status", "is_correct")
+
+
+# ---- trees: SQL can't express these, so that their SQL is the rows of worked cases
 
+def _rows_sql(columns: str, rows: list[tuple]) -> str:
+    one = lambda x: "NULL::VARCHAR" if x is None else str(x).lower() if isinstance(x, bool) else f"{x}::DOUBLE" if isinstance(x, float) else f"{x}::BIGINT" if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({columns})"
 
-# ---- trees: SQL can't express these; tests hold them against worked cases
 
 def _case_rows(spark) -> DataFrame:
     catalog = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "region": ["r_regionkey", "r_name"], "customer": ["c_custkey", "c_name", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey"], "part": ["p_partkey", "p_brand", "p_size"], "supplier": ["s_suppkey", "s_name", "s_acctbal"]}
     return spark.createDataFrame([(i, g, c, catalog) for i, g, c in CASES + BROKEN], "case_id long, gold_sql string, sql string, catalog map<string,array<string>>")
 
 
-@query()
+@query(_rows_sql('case_id, parsed, normalized, "select", "where", "join", "groupby", "orderby", "having", "limit", tables', [
+    (1, True, 'SELECT nation.n_name FROM nation WHERE nation.n_regionkey = 1', 'column||n_name', 'nation.n_regionkey = 1', 'nation', '', '', '', '', 'nation'),
+    (2, True, 'SELECT nation.n_name FROM nation WHERE nation.n_regionkey = 2', 'column||n_name', 'nation.n_regionkey = 2', 'nation', '', '', '', '', 'nation'),
+    (3, True, 'SELECT DISTINCT nation.n_regionkey FROM nation', 'column||n_regionkey', '', 'nation', '', '', '', '', 'nation'),
+    (4, True, 'SELECT COUNT(orders.o_orderkey) AS m FROM orders', 'aggregate|count|o_orderkey', '', 'orders', '', '', '', '', 'orders'),
+    (5, True, 'SELECT customer.c_mktsegment, SUM(1) AS n FROM customer GROUP BY 1', 'column||c_mktsegment;aggregate|sum|sum(1)', '', 'customer', '1', '', '', '', 'customer'),
+    (6, True, 'SELECT region.r_name FROM region UNION ALL SELECT region.r_name FROM region', 'column||r_name', '', 'region', '', '', '', '', 'region'),
+    (7, True, 'WITH x AS (SELECT part.p_brand, part.p_size FROM part) SELECT x.p_brand, MAX(x.p_size) AS m FROM x GROUP BY x.p_brand', 'column||p_brand;aggregate|max|p_size', '', 'x', 'p_brand', '', '', '', 'x;part'),
+    (8, True, 'SELECT supplier.s_name FROM supplier WHERE 1 = 0', 'column||s_name', '1 = 0', 'supplier', '', '', '', '', 'supplier'),
+    (9, True, 'SELECT nation.n_name, region.r_name FROM nation CROSS JOIN region WHERE nation.n_regionkey = region.r_regionkey', 'column||n_name;column||r_name', 'nation.n_regionkey = region.r_regionkey', 'nation;region', '', '', '', '', 'nation;region'),
+    (10, True, 'SELECT r_nam FROM region', 'column||r_nam', '', 'region', '', '', '', '', 'region'),
+    (11, True, 'SELECT regions.r_name FROM regions', 'column||r_name', '', 'regions', '', '', '', '', 'regions'),
+    (12, False, 'what a region', '', '', '', '', '', '', '', ''),
+    (13, True, 'SELECT region.r_name FROM region', 'column||r_name', '', 'region', '', '', '', '', 'region'),
+]))
 def ast_components(spark, sf):
     return distance.described(_case_rows(spark), "sql", "d", "catalog").select("case_id", "d.parsed", "d.normalized", *[F.array_join(f"d.components.{k}", ";").alias(k) for k in metrics.WEIGHTS], F.array_join("d.tables", ";").alias("tables"))
 
 
-@query()
+@query(_rows_sql('case_id, component_f1, ted, schema_penalty, composite, parse_failed', [
+    (1, 0.0, 0.0, 0.0, 0.0, False),
+    (2, 0.2105, 0.1111, 0.0, 0.1386, False),
+    (3, 0.0, 0.2, 0.0, 0.06, False),
+    (4, 0.2105, 0.2857, 0.0, 0.191, False),
+    (5, 0.2105, 0.3, 0.0, 0.1953, False),
+    (6, 0.0, 0.5455, 0.0, 0.1636, False),
+    (7, 0.2105, 0.6667, 0.4, 0.3853, False),
+    (8, 0.2105, 0.3333, 0.0, 0.2053, False),
+    (9, 0.2105, 0.4167, 0.0, 0.2303, False),
+    (10, 0.2105, 0.2, 0.0, 0.1653, False),
+    (11, 0.2105, 0.4, 0.3, 0.2853, False),
+    (12, 1.0, 1.0, 1.0, 1.0, True),
+    (13, 0.2105, 0.2, 0.0, 0.1653, False),
+]))
 def composite_distance(spark, sf):
     return distance.distances(_case_rows(spark), catalog="catalog").select("case_id", *[F.round(c, 4).alias(c) for c in ("component_f1", "ted", "schema_penalty", "composite")], "parse_failed")
 
 
-@query()
+@query(_rows_sql('q, table_name, columns', [
+    (0, 'orders', 'o_orderkey'),
+    (0, 'supplier', 's_name'),
+    (1, 'customer', 'c_mktsegment'),
+    (1, 'nation', 'n_name,n_regionkey'),
+    (1, 'region', 'r_name,r_regionkey'),
+    (2, 'nation', 'n_name,n_regionkey'),
+    (2, 'region', 'r_name'),
+    (3, 'nation', 'n_regionkey'),
+    (3, 'part', 'p_brand,p_size'),
+]))
 def merged_schema(spark, sf):
     rows = _case_rows(spark).withColumn("q", F.col("case_id") % 4)
     columns = rows.limit(1).select(F.explode("catalog").alias("table_name", "c")).select("table_name", F.posexplode("c").alias("ordinal", "column_name"))
     return distance.merged_schema(rows, columns, ["q"], "sql", "case_id", "catalog").select("q", "table_name", F.array_join("columns", ",").alias("columns"))
 
 
-@query()
+@query(_rows_sql('case_id, normalized_sql, message', [
+    (1, 'SELECT n.n_name FROM nation AS n WHERE n.n_regionkey = 1', None),
+    (2, 'SELECT n_name FROM nation WHERE n_regionkey = 2', None),
+    (3, 'SELECT DISTINCT n_regionkey FROM nation', None),
+    (4, 'SELECT COUNT(o_orderkey) AS m FROM orders', None),
+    (5, 'SELECT c_mktsegment, SUM(1) AS n FROM customer GROUP BY 1', None),
+    (6, 'SELECT r_name FROM region UNION ALL SELECT r_name FROM region', None),
+    (7, 'WITH x AS (SELECT p_brand, p_size FROM part) SELECT p_brand, MAX(p_size) AS m FROM x GROUP BY p_brand', None),
+    (8, 'SELECT s_name FROM supplier WHERE 1 = 0', None),
+    (9, 'SELECT n_name, r_name FROM nation CROSS JOIN region WHERE n_regionkey = r_regionkey', None),
+    (10, 'SELECT r_nam FROM region', None),
+    (11, 'SELECT r_name FROM regions', None),
+    (12, None, "expected select, found 'what'"),
+    (13, 'SELECT r_name FROM region', None),
+]))
 def parsed_records(spark, sf):
     return distance.parsed_records(_case_rows(spark)).select("case_id", "normalized_sql", "error.message")

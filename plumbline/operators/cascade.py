@@ -91,7 +91,8 @@ def cascade(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B00
         tests.append((~F.col("rejected_is_correct").eqNullSafe(false), "rejected_not_wrong"))
     tests += [((F.col("margin_value") <= 0) & (least > 0), "zero_margin"), (F.col("margin_value") < least, "low_margin"), (F.col("n_chosen").isNull() | F.col("n_rejected").isNull(), "parse_fail"), (F.col("n_chosen") == F.col("n_rejected"), "same_normalized_sql")]
     rows = rows.withColumn("reason", _first(tests))
-    again = F.row_number().over(Window.partitionBy("prompt_key", "n_chosen", "n_rejected", F.col("reason").isNull()).orderBy("line"))
+    failed = F.when(F.col("reason").isNotNull(), F.col("line"))  # spreads what has failed already, lines that are no JSON say, over all tasks
+    again = F.row_number().over(Window.partitionBy("prompt_key", "n_chosen", "n_rejected", failed).orderBy("line"))
     rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (again > 1), "duplicate_normalized_pair").otherwise(F.col("reason")))
     if rules.max_prompt_tokens is not None or rules.max_total_tokens is not None:
         most = {"p": rules.max_prompt_tokens, "t": rules.max_total_tokens}
@@ -102,7 +103,7 @@ def cascade(pairs: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B00
     else:
         rows = rows.withColumns({k: F.lit(0) for k in ("prompt_tokens", "chosen_tokens", "rejected_tokens")})
     if rules.max_pairs_per_prompt > 0:
-        place = F.row_number().over(Window.partitionBy("prompt_key", F.col("reason").isNull()).orderBy(F.desc("margin_value"), F.col("prompt_tokens") + F.col("chosen_tokens") + F.col("rejected_tokens"), "line"))
+        place = F.row_number().over(Window.partitionBy("prompt_key", failed).orderBy(F.desc("margin_value"), F.col("prompt_tokens") + F.col("chosen_tokens") + F.col("rejected_tokens"), "line"))
         rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & (place > rules.max_pairs_per_prompt), "per_prompt_cap").otherwise(F.col("reason")))
     return rows
 
@@ -119,6 +120,12 @@ def reason_counts(done: DataFrame) -> DataFrame:
     return done.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def type_counts(done: DataFrame) -> DataFrame:
+    """(pair_type, before, after): rows that are JSON, and rows that stay, of each pair type; a missing type is `unknown`."""
+    rows = done.filter("valid_json").withColumn("pair_type", F.coalesce("pair_type", F.lit("unknown")))
+    return rows.groupBy("pair_type").agg(F.count("*").alias("before"), F.count_if(F.col("reason").isNull()).alias("after"))
+
+
 def summary(done: DataFrame) -> DataFrame:
     """One row: totals, retention to 4 places (0 if empty), distinct prompts before (rows that are JSON) and after."""
     stays = F.col("reason").isNull()

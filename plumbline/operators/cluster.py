@@ -16,13 +16,14 @@ def flattened(records: DataFrame, sqls: str = "all_sqls") -> DataFrame:
     return rows.withColumn("sql", strip(F.col("__sql"))).drop("__sql").filter(F.length("sql") > 0)
 
 
-def clusters(candidates: DataFrame, keys: list[str] = ["sample_id"], text: str = "sql", places: list[str] = ["record_index", "sql_index"]) -> DataFrame:  # noqa: B006
+def clusters(candidates: DataFrame, keys: list[str] = ["sample_id"], text: str = "sql", places: list[str] = ["record_index", "sql_index"], occurrences: bool = True) -> DataFrame:  # noqa: B006
     """One row for each key and distinct text: count, occurrences in order, and first, the place where it was first seen.
 
-    Partial counts are made before the shuffle; sort by the keys and `first` for first-seen order."""
+    Partial counts are made before the shuffle; sort by the keys and `first` for first-seen order. A list of occurrences is a
+    row, as long as its text is common: without `occurrences` there are only numbers and first places."""
     place = F.struct(*places)
-    grouped = candidates.groupBy(*keys, text).agg(F.count("*").alias("count"), F.array_sort(F.collect_list(place)).alias("occurrences"))
-    return grouped.withColumn("first", F.col("occurrences")[0])
+    lists = [F.array_sort(F.collect_list(place)).alias("occurrences")] if occurrences else []
+    return candidates.groupBy(*keys, text).agg(F.count("*").alias("count"), *lists, F.min(place).alias("first"))
 
 
 def first_seen(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import average_ranks, numbered
+from .ranking import _ranged, average_ranks, RANGES
 
 # The components of a query and their weights.
-WEIGHTS = {"select": 2.0, "where": 2.0, "groupby": 2.0, "orderby": 1.0, "having": 1.0, "limit": 1.0, "join": 0.5}
+WEIGHTS = {"select": 2.0, "where": 2.0, "join": 2.0, "groupby": 1.0, "orderby": 1.0, "having": 1.0, "limit": 0.5}
 
 
 def _bag(tokens: Column) -> Column:
@@ -67,13 +69,42 @@ def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     return sums.select(F.when(F.expr("p > 0 and q > 0"), F.expr("(r - p * (p + 1) / 2) / (p * q)")).alias("auc"))
 
 
+def correlation_p(rho: float, n: int) -> float | None:
+    """The two-sided p value of a correlation of n pairs by Student's t with n - 2 degrees of freedom; None under 3 pairs.
+
+    It is the regularised incomplete beta function of df / (df + t * t) with parameters df / 2 and 1 / 2, by its continued fraction."""
+    if n is None or n < 3 or rho is None:
+        return None
+    if rho == 0 or abs(rho) >= 1:
+        return float(rho == 0)
+    a, b, x = (n - 2) / 2, 0.5, 1 - rho * rho
+    if flip := x > (a + 1) / (a + b + 2):
+        a, b, x = b, a, 1 - x
+    tiny, c, d = 1e-300, 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    h = d
+    for m in range(1, 400):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d or tiny)
+            c = 1 + step / c or tiny
+            h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    part = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) * h / a
+    return 1 - part if flip else part
+
+
+@F.pandas_udf(T.DoubleType())
+def _p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([correlation_p(r, int(k)) for r, k in zip(rho, n, strict=True)], dtype="float64")
+
+
 def calibration(df: DataFrame, distance: str, correct: str, target: float = -0.65) -> DataFrame:
-    """One row: spearman_rho, n_samples, n_correct, n_wrong, the mean distance of each, auc_roc of the distance for wrong ones (all to 4 places) and passed (rho at most the target)."""
+    """One row: spearman_rho, p_value, n_samples, n_correct, n_wrong, the mean distance of each, auc_roc of the distance for wrong ones (all to 4 places) and passed (rho at most the target)."""
     rows = df.select(F.col(distance).cast("double").alias("d"), F.col(correct).cast("int").alias("c")).filter("d is not null and c is not null")
     plain = rows.agg(F.count("*").alias("n_samples"), F.count_if(F.col("c") == 1).alias("n_correct"), F.count_if(F.col("c") == 0).alias("n_wrong"), F.round(F.avg(F.when(F.col("c") == 1, F.col("d"))), 4).alias("mean_dist_correct"), F.round(F.avg(F.when(F.col("c") == 0, F.col("d"))), 4).alias("mean_dist_wrong"))
     one = lambda x: F.broadcast(x)  # noqa: E731  one row each
     out = plain.crossJoin(one(spearman(rows, "d", "c"))).crossJoin(one(auc(rows, "d", F.col("c") == 0)))
-    return out.select(F.round("rho", 4).alias("spearman_rho"), "n_samples", "n_correct", "n_wrong", "mean_dist_correct", "mean_dist_wrong", F.round("auc", 4).alias("auc_roc"), (F.col("rho") <= target).alias("passed"))
+    return out.select(F.round("rho", 4).alias("spearman_rho"), _p_value("rho", "n_samples").alias("p_value"), "n_samples", "n_correct", "n_wrong", "mean_dist_correct", "mean_dist_wrong", F.round("auc", 4).alias("auc_roc"), (F.col("rho") <= target).alias("passed"))
 
 
 def linking_rows(df: DataFrame, predicted: str, reference: str) -> DataFrame:
@@ -97,12 +128,14 @@ def linking_summary(rows: DataFrame) -> DataFrame:
 
 def lower_quantiles(df: DataFrame, value: str, shares: Sequence[float] = (0.25, 0.5, 0.75, 0.9), names: Sequence[str] = ("p25", "median", "p75", "p90")) -> DataFrame:
     """One row: count, min, the values at place floor((n - 1) * share) of the sorted ones, max; nulls don't count."""
-    rows = df.select(F.col(value).alias("v")).filter("v is not null")
-    placed = numbered(rows, "v", into="at")
-    total = rows.agg(F.count("*").alias("n"))
-    at = placed.crossJoin(F.broadcast(total))
-    picks = [F.max(F.when(F.col("at") == F.floor((F.col("n") - 1) * s) + 1, F.col("v"))).alias(k) for s, k in zip(shares, names, strict=True)]
-    return at.agg(F.count("*").alias("count"), F.min("v").alias("min"), *picks, F.max("v").alias("max"))
+    # values are counted first, so that one that most rows have is a row
+    groups = df.select(F.col(value).alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    upto = F.col("__base") + F.sum("n").over(Window.partitionBy("__r").orderBy("v"))
+    placed = _ranged(groups, F.col("v"), F.col("n"), RANGES).select("v", "n", upto.alias("upto"))
+    at = placed.crossJoin(F.broadcast(groups.agg(F.sum("n").alias("total"))))  # one row
+    place = lambda s: F.floor((F.col("total") - 1) * s) + 1
+    picks = [F.max(F.when((place(s) <= F.col("upto")) & (place(s) > F.col("upto") - F.col("n")), F.col("v"))).alias(k) for s, k in zip(shares, names, strict=True)]
+    return at.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"), F.min("v").alias("min"), *picks, F.max("v").alias("max"))
 
 
 def _leaves(kind: T.DataType, path: str, column: Column):

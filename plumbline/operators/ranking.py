@@ -41,3 +41,11 @@ def average_ranks(df: DataFrame, key: str, into: str = "rank", ranges: int = RAN
     rows = _ranged(groups, F.col(key), F.col("n"), ranges)
     upto = F.sum("n").over(Window.partitionBy("__r").orderBy(key))
     return rows.select(key, "n", (F.col("__base") + upto - F.col("n") + (F.col("n") + 1) / 2).alias(into))
+
+
+def sorted_entries(entries: Column, by: str = "value", falling: bool = True) -> Column:
+    """A map's entries, array<struct<key, value>>, by value or key; equal ones keep their order."""
+    rows = F.transform(F.map_entries(entries), lambda e, i: F.struct(e.alias("e"), i.alias("i")))
+    sign = -1 if falling else 1
+    order = lambda a, b: F.when(a["e"][by] < b["e"][by], -sign).when(a["e"][by] > b["e"][by], sign).otherwise(a["i"] - b["i"])
+    return F.transform(F.array_sort(rows, order), lambda r: r["e"])

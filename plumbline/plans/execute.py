@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import sqlite3
 import time
 import uuid
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
-from pyspark import InheritableThread
+import pyarrow as pa
+from pyspark import InheritableThread, StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import error_kind
-from ..operators.compare import bag_equal, results_equal, set_equal, strict_equal
+from ..operators.compare import bag_equal, set_equal, strict_equal
 
 TIMEOUT = 30.0
 
@@ -75,56 +79,102 @@ def executable(spark: SparkSession, sql: str) -> str | None:
 
 
 def _placed(df: DataFrame) -> DataFrame:
-    """Rows with their place in the result's order, which no key tells: zipWithIndex() counts partitions in order, over one
-    execution of the plan, whereas ids of partitions change when the plan is run again."""
-    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    schema = T.StructType([*flat.schema.fields, T.StructField("__place", T.LongType())])
-    return df.sparkSession.createDataFrame(flat.rdd.zipWithIndex().map(lambda r: (*r[0], r[1])), schema)
+    """Rows with their place in the result's order, which no key tells: rows of a partition are counted in batches, after those of
+    the partitions before. The result is kept on disk, so that both readings are of one execution; the caller unpersists it."""
+    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).persist(StorageLevel.DISK_ONLY)
 
+    def count(batches):
+        yield pa.RecordBatch.from_pydict({"p": [TaskContext.get().partitionId()], "n": [sum(b.num_rows for b in batches)]})
 
-def same_result(spark: SparkSession, gold_sql: str, sql: str, mode: str = "bag", empty_matches: bool = True) -> bool:
-    """Whether two queries give the same result in mode strict, bag or set. Both results stay distributed."""
-    gold, pred = spark.sql(gold_sql), spark.sql(sql)
+    sizes = sorted(tuple(r) for r in flat.mapInArrow(count, "p long, n long").collect())  # a row for each partition
+    starts = dict(zip([p for p, _ in sizes], accumulate([n for _, n in sizes], initial=0), strict=False))
+
+    def place(batches):
+        at = starts[TaskContext.get().partitionId()]
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(at, at + b.num_rows), pa.int64())], [*b.schema.names, "__place"])
+            at += b.num_rows
+
+    out = flat.mapInArrow(place, T.StructType([*flat.schema.fields, T.StructField("__place", T.LongType())]))
+    out._plumbline_held = flat
+    return out
+
+
+def _same(gold: DataFrame, pred: DataFrame, mode: str, empty_matches: bool) -> bool:
     if len(gold.columns) != len(pred.columns):
         return False
     if mode == "strict":
-        return bool(strict_equal(_placed(gold), _placed(pred), "__place").first()["equal"])
+        sides = _placed(gold), _placed(pred)
+        try:
+            return bool(strict_equal(*sides, "__place").first()["equal"])
+        finally:
+            for x in sides:
+                x._plumbline_held.unpersist()
     if mode == "set" and not empty_matches and gold.isEmpty():
         return False
     return bool({"bag": bag_equal, "set": set_equal}[mode](gold, pred).first()["equal"])
 
 
+def same_result(spark: SparkSession, gold_sql: str, sql: str, mode: str = "bag", empty_matches: bool = True) -> bool:
+    """Whether two queries give the same result in mode strict, bag or set. Both results stay distributed."""
+    return _same(spark.sql(gold_sql), spark.sql(sql), mode, empty_matches)
+
+
 VERDICT = "case_id long, gold_sql string, sql string, status string, detail string, is_correct boolean"
 
 
 def verdicts(spark: SparkSession, cases: Iterable[tuple[int, str, str]], mode: str = "bag", timeout: float = TIMEOUT, empty_matches: bool = True, at_once: int = 4) -> DataFrame:
     """One row for each case (id, gold query, candidate): status success, error, timeout or gold_error, an error's message, and the
-    verdict; a candidate that fails is wrong, and without a gold result there is none. Queries run against the session's views,
-    `at_once` cases side by side."""
-
-    def judge(one: tuple[int, str, str]) -> tuple:
-        case, gold_sql, sql = one
-        status, detail, correct = "success", None, None
-        if problem := executable(spark, gold_sql):
-            status, detail = "gold_error", problem
-        elif problem := executable(spark, sql):
-            status, detail, correct = "error", problem, False
-        else:
+    verdict; a candidate that fails is wrong, and without a gold result there is none, whether it fails when it is analysed, while
+    it runs, or by its time.
+
+    Queries run against the session's views, that is as jobs of the driver: `at_once` gold queries side by side, each run once and
+    kept on disk for all of its candidates. For many candidates over files, sqlite_results runs queries in tasks."""
+    by: dict[str, list[tuple[int, str]]] = {}
+    for case, gold_sql, sql in cases:
+        by.setdefault(gold_sql, []).append((case, sql))
+
+    def run(gold_sql: str):
+        gold = spark.sql(gold_sql).persist(StorageLevel.DISK_ONLY)
+        gold.count()
+        return gold
+
+    def judge(gold_sql: str) -> list[tuple]:
+        mine, out = by[gold_sql], []
+        problem, gold = executable(spark, gold_sql), None
+        if not problem:
             try:
-                correct = with_timeout(spark, lambda g=gold_sql, s=sql: same_result(spark, g, s, mode, empty_matches), timeout)
-            except TimedOut as e:
-                status, detail, correct = "timeout", str(e), False
+                gold = with_timeout(spark, lambda: run(gold_sql), timeout)
             except Exception as e:
-                status, detail, correct = "error", str(e)[:2000], False
-        return case, gold_sql, sql, status, detail, correct
+                problem = str(e)[:2000]
+        if problem:
+            return [(case, gold_sql, sql, "gold_error", problem, None) for case, sql in mine]
+        try:
+            for case, sql in mine:
+                status, detail, correct = "success", None, False
+                if bad := executable(spark, sql):
+                    status, detail = "error", bad
+                else:
+                    try:
+                        correct = with_timeout(spark, lambda s=sql: _same(gold, spark.sql(s), mode, empty_matches), timeout)
+                    except TimedOut as e:
+                        status, detail = "timeout", str(e)
+                    except Exception as e:
+                        status, detail = "error", str(e)[:2000]
+                out.append((case, gold_sql, sql, status, detail, correct))
+        finally:
+            gold.unpersist()
+        return out
 
     with ThreadPoolExecutor(at_once) as pool:
-        return spark.createDataFrame(list(pool.map(judge, cases)), VERDICT)
+        return spark.createDataFrame([r for rows in pool.map(judge, by) for r in rows], VERDICT)
 
 
 # ---- SQLite
 
-RESULT = "status string, detail string, row_count long, rows array<string>, plain_rows array<string>"
+RESULT = "status string, detail string, row_count long, rows array<string>, strict_hash string, bag_hash string, set_hash string"
+#: Rows of a result that are kept as text.
+SHOWN = 1000
 
 
 def _cell(x, plain: bool):
@@ -135,25 +185,71 @@ def _cell(x, plain: bool):
     return x
 
 
-def run_sqlite(db: sqlite3.Connection, sql: str, timeout: float = TIMEOUT) -> tuple[str, str | None, int | None, list[str] | None, list[str] | None]:
-    """(status, error, row count, rows, plain rows): rows as JSON arrays, blobs as hexadecimal; in plain ones 1.0 is 1."""
+class _Digests:
+    """Hashes of a result row by row: in order, as a bag, and as a set, whose distinct rows are kept as 16 bytes each."""
+
+    def __init__(self) -> None:
+        self.ordered, self.bag, self.n = hashlib.sha256(), 0, 0
+        self.known, self.fresh = np.empty((0, 2), "<u8"), bytearray()
+
+    def _merge(self) -> None:
+        self.known = np.unique(np.concatenate((self.known, np.frombuffer(bytes(self.fresh), "<u8").reshape(-1, 2))), axis=0)
+        self.fresh = bytearray()
+
+    def add(self, typed: str, plain: str) -> None:
+        short = hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        self.ordered.update(short)
+        self.fresh += short
+        self.bag = (self.bag + int.from_bytes(hashlib.blake2b(typed.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "little")) % (1 << 128)
+        self.n += 1
+        if len(self.fresh) > 1 << 22:
+            self._merge()
+
+    def texts(self) -> tuple[str, str, str]:
+        self._merge()
+        return f"{self.n}:{self.ordered.hexdigest()}", f"{self.n}:{self.bag:x}", f"{len(self.known)}:{hashlib.sha256(self.known.tobytes()).hexdigest()}"
+
+
+def run_sqlite(db: sqlite3.Connection, sql: str, timeout: float = TIMEOUT) -> tuple:
+    """The fields of RESULT: status, error, row count, the first SHOWN rows as JSON arrays (blobs as hexadecimal), and hashes of the
+    whole result: in order and as a set, where 1.0 is 1, and as a bag, where it is not. Rows are read one by one and only their
+    hashes kept, so that a result may have any size."""
     end = time.monotonic() + timeout
     db.set_progress_handler(lambda: int(time.monotonic() > end), 10_000)
+    rows, digests = [], _Digests()
     try:
-        found = db.execute(sql).fetchall()
+        for r in db.execute(sql):
+            typed, plain = (json.dumps([_cell(x, p) for x in r], ensure_ascii=False) for p in (False, True))
+            digests.add(typed, plain)
+            if len(rows) < SHOWN:
+                rows.append(typed)
+            if not digests.n % 4096 and time.monotonic() > end:
+                return "timeout", "interrupted", None, None, None, None, None
     except sqlite3.Error as e:
         late = time.monotonic() > end and "interrupted" in str(e)
-        return ("timeout" if late else "error"), str(e), None, None, None
+        return ("timeout" if late else "error"), str(e), None, None, None, None, None
     finally:
         db.set_progress_handler(None, 0)
-    texts = lambda plain: [json.dumps([_cell(x, plain) for x in r], ensure_ascii=False) for r in found]
-    return "success", None, len(found), texts(False), texts(True)
+    return "success", None, digests.n, rows, *digests.texts()
+
+
+def sqlite_rows(path: str, sql: str, timeout: float = TIMEOUT) -> list[tuple]:
+    """The rows of one query on one file, in the driver; an error is raised, never an empty result in its place."""
+    db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    end = time.monotonic() + timeout
+    db.set_progress_handler(lambda: int(time.monotonic() > end), 10_000)
+    try:
+        return db.execute(sql).fetchall()
+    finally:
+        db.close()
 
 
 def sqlite_results(queries: DataFrame, path: str = "db_path", sql: str = "sql", timeout: float = TIMEOUT) -> DataFrame:
     """queries with the columns of RESULT. Files are opened read-only, one connection for each file and task; a file that can't be
-    opened gives an error. Only distinct (file, query) pairs are run. The files must be where every executor sees them."""
-    once = queries.select(F.col(path).alias("p"), F.col(sql).alias("q")).distinct().repartition("p")
+    opened gives an error. Only distinct (file, query) pairs are run, dealt by both, so that a popular file is many tasks' work.
+    The files must be where every executor sees them."""
+    once = queries.select(F.col(path).alias("p"), F.col(sql).alias("q")).distinct().repartition("p", "q").sortWithinPartitions("p")
+    names = [x.split()[0] for x in RESULT.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_path, db = None, None
@@ -168,8 +264,8 @@ def sqlite_results(queries: DataFrame, path: str = "db_path", sql: str = "sql",
                         db = sqlite3.connect(f"file:{p}?mode=ro", uri=True)
                     except sqlite3.Error:
                         pass
-                rows.append((p, q, *(run_sqlite(db, q, timeout) if db and q is not None else ("error", "unable to open database file", None, None, None))))
-            yield pd.DataFrame(rows, columns=["p", "q", "status", "detail", "row_count", "rows", "plain_rows"])
+                rows.append((p, q, *(run_sqlite(db, q, timeout) if db and q is not None else ("error", "unable to open database file", None, None, None, None, None))))
+            yield pd.DataFrame(rows, columns=["p", "q", *names])
 
     done = once.mapInPandas(run, f"p string, q string, {RESULT}")
     return queries.join(done, queries[path].eqNullSafe(done["p"]) & queries[sql].eqNullSafe(done["q"]), "left").drop("p", "q")
@@ -184,15 +280,16 @@ def evaluated(clusters: DataFrame, items: DataFrame, mode: str = "bag", timeout:
     """Clusters (sample_id, sql, count, occurrences) judged against items (sample_id, db_id, db_path, gold_sql): adds the candidate's
     status, detail and row_count, the gold's, is_correct, and error where the item or its gold result is missing; then is_correct is null.
 
-    bag compares typed rows (1 is not 1.0), strict and set plain ones."""
-    rows = "rows" if mode == "bag" else "plain_rows"
+    bag compares typed rows (1 is not 1.0), strict and set plain ones. Results are compared by the hashes of whole results."""
+    key = f"{mode}_hash"
     met = clusters.join(items.select("sample_id", "db_id", "db_path", "gold_sql"), "sample_id", "left")
     gold = sqlite_results(items.select("sample_id", "db_path", "gold_sql"), sql="gold_sql", timeout=timeout)
-    gold = gold.select("sample_id", F.col("status").alias("gold_status"), F.col("detail").alias("gold_detail"), F.col("row_count").alias("gold_row_count"), F.col(rows).alias("__gold"))
+    gold = gold.select("sample_id", F.col("status").alias("gold_status"), F.col("detail").alias("gold_detail"), F.col("row_count").alias("gold_row_count"), F.col(key).alias("__gold"))
     out = sqlite_results(met.filter("db_path is not null"), timeout=timeout).unionByName(met.filter("db_path is null"), allowMissingColumns=True).join(gold, "sample_id", "left")
     error = F.when(F.col("db_path").isNull(), "no item at this place").when(F.col("gold_status") != "success", F.concat(F.lit("gold: "), F.col("gold_detail")))
-    verdict = F.when(error.isNull(), (F.col("status") == "success") & results_equal(F.col("__gold"), F.col(rows), mode, empty_matches))
-    return out.withColumns({"error": error, "is_correct": verdict}).drop("__gold", "rows", "plain_rows")
+    same = F.coalesce(F.col("__gold") == F.col(key), F.lit(False)) & (F.lit(empty_matches or mode != "set") | (F.col("gold_row_count") > 0))
+    verdict = F.when(error.isNull(), (F.col("status") == "success") & same)
+    return out.withColumns({"error": error, "is_correct": verdict}).drop("__gold", "rows", "strict_hash", "bag_hash", "set_hash")
 
 
 def run_summary(records: DataFrame) -> DataFrame:

@@ -269,3 +269,37 @@ def test_losses(spark):
     f = losses.margin_loss(*[F.col(c) for c in "abcdm"], beta=1.0, alpha=1.0)
     values = lambda z, m: {"a": (z, "double"), "b": (0.0, "double"), "c": (0.0, "double"), "d": (0.0, "double"), "m": (m, "double")}
     assert one(spark, f, **values(0.0, 0.0)) == pytest.approx(0.693147, abs=1e-6) and one(spark, f, **values(-1000.0, None)) == 1000 and one(spark, f, **values(2.0, 1.0)) == pytest.approx(0.048587, abs=1e-6)
+
+
+def test_p_values():
+    """Student's t: published two-sided values of correlations."""
+    from plumbline.operators.metrics import correlation_p
+
+    for rho, n, want in ((0.0, 10, 1.0), (0.6320, 10, 0.05), (0.7646, 10, 0.01), (0.1966, 100, 0.05), (-0.2565, 100, 0.01), (0.9969, 3, 0.05), (0.062, 1000, 0.05)):
+        assert abs(correlation_p(rho, n) - want) < 0.002
+    assert correlation_p(0.5, 2) is None and correlation_p(1.0, 9) == 0.0
+
+
+def test_a_missing_join_costs_its_weight(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators.metrics import WEIGHTS, component_f1
+
+    parts = lambda **k: F.struct(*[F.array(*map(F.lit, k.get(n, []))).cast("array<string>").alias(n) for n in WEIGHTS])
+    whole = {"select": ["a"], "where": ["b"], "join": ["c"], "groupby": ["d"], "orderby": ["e"], "having": ["f"], "limit": ["g"]}
+    for name, weight in (("select", 2), ("where", 2), ("join", 2), ("groupby", 1), ("orderby", 1), ("having", 1), ("limit", 0.5)):
+        pred = parts(**{k: v for k, v in whole.items() if k != name})
+        assert spark.range(1).select(component_f1(pred, parts(**whole)).alias("d")).first().d == pytest.approx(weight / 9.5)
+
+
+def test_failed_lines_are_spread_and_quantiles_count_values(spark):
+    from plumbline.operators import cascade, metrics
+
+    lines = spark.createDataFrame([(i, "{broken" if i % 2 else '{"prompt": "p", "chosen": "a b", "rejected": "c", "margin": 0.5}') for i in range(40)], "line long, value string")
+    got = {r.reason: r["count"] for r in cascade.cascade(cascade.parsed_lines(lines), cascade.Rules(max_pairs_per_prompt=1)).groupBy("reason").count().collect()}
+    assert got == {"invalid_json": 20, "duplicate_normalized_pair": 19, None: 1}
+    values = [0.0] * 900 + [float(i) for i in range(100)]
+    r = metrics.lower_quantiles(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()
+    values.sort()
+    assert (r["count"], r.min, r.max) == (1000, 0.0, 99.0) and [r.p25, r.median, r.p75, r.p90] == [values[int(999 * s)] for s in (0.25, 0.5, 0.75, 0.9)]
+    assert metrics.lower_quantiles(spark.createDataFrame([], "v double"), "v").first()["count"] == 0

@@ -85,7 +85,7 @@ def test_sqlite_results(spark, db):
     sqls = ["SELECT score, raw FROM film ORDER BY id", "SELECT nope FROM film", "SELECT * FROM nope", "selec", "DELETE FROM film", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r) SELECT count(*) FROM r"]
     df = spark.createDataFrame([(i, db, s) for i, s in enumerate(sqls)] + [(9, "/no/such/file", "SELECT 1")], "i int, db_path string, sql string")
     got = {r.i: r for r in execute.with_error_kind(execute.sqlite_results(df, timeout=1.0)).collect()}
-    assert got[0].rows == ['[1.0, "ab"]', "[2.5, null]"] and got[0].plain_rows[0] == '[1, "ab"]'
+    assert got[0].rows == ['[1.0, "ab"]', "[2.5, null]"] and got[0].row_count == 2
     assert [got[i].kind for i in (1, 2, 3)] == ["no such column", "no such table", "syntax error"]
     assert got[4].status == "error" and got[5].status == "timeout" and got[9].status == "error"
 
@@ -143,3 +143,56 @@ def test_few_shots_and_names(spark):
     assert spark.range(1).select(readers.database_path(F.lit("/r"), F.lit("d")).alias("p")).first().p == "/r/d/d.sqlite"
     flat = readers.database_path(F.lit("/r"), F.lit("d"), F.array(F.lit("/r/d.sqlite")))
     assert spark.range(1).select(flat.alias("p")).first().p == "/r/d.sqlite"
+
+
+def test_results_of_any_size(spark, db):
+    """Hashes of whole results: order, repeats and 1.0 against 1, by mode; a large result keeps its first rows only."""
+    sqls = ["SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 2", "SELECT 2 UNION ALL SELECT 1 UNION ALL SELECT 2", "SELECT 1 UNION ALL SELECT 2", "SELECT 1.0 UNION ALL SELECT 2 UNION ALL SELECT 2", "SELECT 1 WHERE 0", "SELECT 2 WHERE 0", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r LIMIT 20000) SELECT n FROM r"]
+    df = spark.createDataFrame([(i, db, s) for i, s in enumerate(sqls)], "i int, db_path string, sql string")
+    got = {r.i: r for r in execute.sqlite_results(df).collect()}
+    same = lambda k, a, b: got[a][f"{k}_hash"] == got[b][f"{k}_hash"]
+    assert [same(k, 0, 1) for k in ("strict", "bag", "set")] == [False, True, True]
+    assert [same(k, 0, 2) for k in ("strict", "bag", "set")] == [False, False, True]
+    assert [same(k, 0, 3) for k in ("strict", "bag", "set")] == [True, False, True]
+    assert [same(k, 4, 5) for k in ("strict", "bag", "set")] == [True, True, True]
+    assert got[6].row_count == 20000 and len(got[6].rows) == execute.SHOWN
+    assert execute.sqlite_rows(db, "SELECT count(*) FROM film") == [(2,)]
+    with pytest.raises(Exception, match="nope"):
+        execute.sqlite_rows(db, "SELECT nope FROM film")
+
+
+def test_eval_files(spark, tmp_path):
+    from plumbline.sources import evalfiles
+
+    good = {"metadata": {"sample_id": 12}, "correct_set": [{"sql": "SELECT a FROM t", "gold_sql": "SELECT b FROM t", "db_id": "d", "count": 2}, {"sql": "SELECT a FROM t", "gold_sql": "SELECT b FROM t"}], "wrong_set": [{"sql": "oops at all", "gold_sql": "SELECT c FROM t", "sample_id": 5}]}
+    files = {"12_x_eval.json": json.dumps(good), "3_y_eval.json": json.dumps({"correct_set": [], "wrong_set": [{"sql": "SELECT 1", "sample_id": 3}], "metadata": {"db_id": "m"}}), "4_eval.json": "{}", "a_b_eval.json": "{}", "5_b_eval.json": "{no", "6_b_eval.json": "{}", "7_b_eval.json": '{"correct_set": {}}', "8_b_eval.json": '{"correct_set": [1]}', "9_b_eval.json": '{"correct_set": [], "wrong_set": [{"sql": 4}]}'}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    assert [r.sample_id for r in evalfiles.eval_files(spark, str(tmp_path)).collect()] == [3, 5, 6, 7, 8, 9, 12]
+    assert evalfiles.eval_files(spark, str(tmp_path), 2).count() == 2 and evalfiles.eval_files(spark, str(tmp_path), 0).count() == 7
+    records = evalfiles.eval_records(evalfiles.eval_texts(spark, str(tmp_path)))
+    rows = records.collect()
+    assert {r.file[0]: r.error for r in rows if r.error} == {"5": "load error: no JSON", "6": "correct_set is missing", "7": "correct_set is no list", "8": "an item of correct_set is no object", "9": "an sql of wrong_set is no string"}
+    assert sorted((r.sample_id, r.set_name, r.record_index, r.sql, r.db_id, r["count"], r.is_correct) for r in rows if not r.error and r.sample_id == 12) == [
+        (12, "correct_set", 0, "SELECT a FROM t", "d", 2, True), (12, "correct_set", 1, "SELECT a FROM t", None, None, True), (12, "wrong_set", 0, "oops at all", None, None, False)]
+    assert [(r.sample_id, r.meta_db_id) for r in rows if r.sample_id == 3] == [(3, "m")]
+    parsed = evalfiles.parsed_eval(records.filter("error is null"))
+    got = sorted((r.set_name, r.place, r.sql, r.normalized_sql) for r in parsed.filter("file like '12%'").collect())
+    assert got == [("correct_set", 0, "SELECT a FROM t", "SELECT a FROM t"), ("correct_set", 1, "SELECT a FROM t", "SELECT a FROM t"), ("gold", 0, "SELECT b FROM t", "SELECT b FROM t"), ("gold", 1, "SELECT c FROM t", "SELECT c FROM t"), ("wrong_set", 0, "oops at all", None)]
+    s = evalfiles.parsed_summary(evalfiles.parsed_eval(records.filter("error is null"), deduplicate=True)).filter("file like '12%'").first()
+    assert (s.gold_count, s.correct_count, s.wrong_count, s.parsed_count, s.error_count) == (2, 1, 1, 3, 1)
+    data = spark.createDataFrame([(1, ["select 1", "select 1", "x y z"]), (2, None), (3, [])], "k int, all_sqls array<string>")
+    done = {r.k: r.normalized_sqls for r in evalfiles.parsed_dataset(data, ["k"]).collect()}
+    assert [x.normalized_sql for x in done[1]] == ["SELECT 1", "SELECT 1", None] and done[2] is None
+    assert len(evalfiles.parsed_dataset(data, ["k"], deduplicate=True).filter("k = 1").first().normalized_sqls) == 2
+
+
+def test_gold_that_fails_late(spark):
+    spark.createDataFrame([(0,), (1,)], "z int").createOrReplaceTempView("late_view")
+    late, fine = "SELECT 1 div (z - z) AS x FROM late_view", "SELECT z FROM late_view"
+    cases = [(1, late, fine), (2, fine, late), (3, fine, fine), (4, late, late)]
+    got = {r.case_id: (r.status, r.is_correct) for r in execute.verdicts(spark, cases, "strict").collect()}
+    assert got == {1: ("gold_error", None), 2: ("error", False), 3: ("success", True), 4: ("gold_error", None)}
+    slow = "SELECT sum(sqrt(id) % 7) AS s FROM range(100000000000)"
+    got = {r.case_id: (r.status, r.is_correct) for r in execute.verdicts(spark, [(1, slow, fine), (2, fine, slow.replace("s FROM", "z FROM"))], timeout=6.0, at_once=1).collect()}
+    assert got == {1: ("gold_error", None), 2: ("timeout", False)}

@@ -49,7 +49,7 @@ def test_normal_forms():
 
 def test_components():
     c = components(parse("SELECT DISTINCT t.a, max(b) m, *, a + 1 FROM t1 t JOIN t2 ON t.x = t2.x WHERE a = 1 AND (b = 2 OR c = 3) GROUP BY t.g HAVING count(*) > 1 ORDER BY z DESC, a LIMIT 3"))
-    assert c["select"] == ["(none,a)", "(max,b)", "(*,*)", "(expr,a + 1)"]
+    assert c["select"] == ["column||a", "aggregate|max|b", "star||*", "expression||a + 1"]
     assert c["where"] == ["a = 1", "b = 2 or c = 3"] and c["groupby"] == ["g"] and c["having"] == ["count(*) > 1"]
     assert c["orderby"] == ["(z,desc)", "(a,asc)"] and c["limit"] == ["3"] and c["join"] == ["t1", "t2"]
     assert components(None) is None
