@@ -29,8 +29,21 @@ STEP_BYTES, STEP_MB = 500_000, 400
 #: Bytes, about, of the pieces that a worker remembers.
 KNOWN_BYTES = 360_000_000
 
-#: {part}: bytes of a part of a word, three times the longest token at least. k holds a pair's rank and position.
+#: k holds a pair's rank and position.
 ENCODE = """
+WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
+    SELECT word, pos, tok FROM pieces
+  UNION ALL
+    (WITH live AS MATERIALIZED (SELECT word, pos, tok, lead(tok) OVER w AS nxt, lag(pos) OVER w AS ppos
+                                FROM state WHERE tok >= 0 WINDOW w AS (PARTITION BY word ORDER BY pos)),
+          best AS (SELECT word, min(m.tok::BIGINT << 31 | l.pos) AS k FROM live l JOIN merges m ON l.tok = m.a AND l.nxt = m.b GROUP BY word)
+     SELECT l.word, l.pos, CASE b.k & 2147483647 WHEN l.pos THEN (b.k >> 31)::INTEGER WHEN l.ppos THEN -1 ELSE l.tok END FROM live l JOIN best b USING (word))
+)
+SELECT word, list(tok ORDER BY pos) FROM state WHERE tok >= 0 GROUP BY word
+"""
+#: The same for words of more than {part} bytes, three times the longest token: `first` is a pair that comes before all of its
+#: own and the neighbouring parts, `same` those of the word's least rank.
+ENCODE_LONG = """
 WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
     SELECT word, pos, tok FROM pieces
   UNION ALL
@@ -40,7 +53,7 @@ WITH RECURSIVE state(word, pos, tok) USING KEY (word, pos) AS (
           best AS MATERIALIZED (SELECT word, pos // {part} AS part, min(tok::BIGINT << 31 | pos) AS k, arg_min(npos, tok::BIGINT << 31 | pos) AS npos FROM pairs GROUP BY word, part),
           first AS (SELECT word, k, npos, min(k) OVER (PARTITION BY word ORDER BY part RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS least FROM best),
           same AS (SELECT p.word, p.pos, p.npos, p.tok, p.n - row_number() OVER (PARTITION BY p.word ORDER BY p.pos) AS run
-                   FROM pairs p JOIN (SELECT word, min(k) >> 31 AS tok FROM best GROUP BY word HAVING count(*) > 1) b ON p.word = b.word AND p.tok = b.tok WHERE NOT p.early),
+                   FROM pairs p JOIN (SELECT word, min(k) >> 31 AS tok FROM best GROUP BY word) b ON p.word = b.word AND p.tok = b.tok WHERE NOT p.early),
           hits AS MATERIALIZED (SELECT word, (k & 2147483647)::INTEGER AS pos, npos, (k >> 31)::INTEGER AS tok FROM first WHERE k = least
                                 UNION SELECT word, pos, npos, tok FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS nth FROM same) WHERE nth % 2 = 1),
           changed AS (SELECT word, pos, tok FROM hits UNION ALL SELECT word, npos, -1 FROM hits)
@@ -61,7 +74,7 @@ class Encoder:
         self.byte = [self.ranks[bytes([i])] for i in range(256)]
         rows = [(a, b, r) for token, r in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
         early = {t for *parts, r in rows for t in parts if r < t}
-        self.encoding = ENCODE.replace("{part}", str(3 * max(map(len, self.ranks))))
+        self.part = 3 * max(map(len, self.ranks))
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{STEP_MB}MB", "temp_directory": ""})
         merges = pa.table({k: pa.array([x[i] for x in rows], pa.int32()) for i, k in enumerate(("a", "b", "tok"))} | {"early": pa.array([x[2] in early for x in rows])})
         vocabulary = pa.table({"tok": pa.array(list(self.bytes_of), pa.int32()), "hex": pa.array([x.hex() for x in self.bytes_of.values()])})
@@ -88,11 +101,13 @@ class Encoder:
     def encode_pieces(self, pieces: list[bytes], step: int = STEP_BYTES) -> list[list[int]]:
         """Ids of each piece."""
         out: list = [[self.ranks[p]] if p in self.ranks else None for p in pieces]
-        for part in _parts([i for i, x in enumerate(out) if x is None], [len(p) for p in pieces], step):
+        sizes = [len(p) for p in pieces]
+        short, long = ([i for i, x in enumerate(out) if x is None and (sizes[i] > self.part) == many] for many in (False, True))
+        for part, sql in [*((x, ENCODE) for x in _parts(short, sizes, step)), *((x, ENCODE_LONG.replace("{part}", str(self.part))) for x in _parts(long, sizes, step))]:
             size = sum(len(pieces[i]) for i in part)
             if size > step:
                 self.db.execute(f"SET memory_limit = '{STEP_MB * -(-size // step)}MB'")
-            for word, ids in self._query("pieces", self._rows([[self.byte[b] for b in pieces[i]] for i in part]), self.encoding):
+            for word, ids in self._query("pieces", self._rows([[self.byte[b] for b in pieces[i]] for i in part]), sql):
                 out[part[word]] = ids
             if size > step:
                 self.db.execute(f"SET memory_limit = '{STEP_MB}MB'")
