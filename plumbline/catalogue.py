@@ -670,3 +670,6 @@ def merged_schema(spark, sf):
 ]))
 def parsed_records(spark, sf):
     return distance.parsed_records(_case_rows(spark)).select("case_id", "normalized_sql", "error.message")
+
+
+from . import catalogue_more  # noqa: E402, F401  its queries register themselves here
