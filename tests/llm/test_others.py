@@ -151,6 +151,19 @@ def test_ties_between_different_vectors(spark):
         assert got == _brute(rows)
 
 
+def test_far_cells_are_skipped(spark, monkeypatch):
+    """Vectors in tight bunches: queries reach few cells, and the result is that of brute force."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (10 * np.eye(12)[i % 12] + 0.05 * rng.normal(size=12)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sent = []
+    routed = neighbours._routed
+    monkeypatch.setattr(neighbours, "_routed", lambda *a: sent.append(stored(routed(*a))) or sent[-1])
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in neighbours.nearest(df, "id % 20 = 0", factor=1.0, shard_rows=10).collect()}
+    assert got == _brute(rows)
+    assert sent[0].count() < 60 * 11 / 2  # of eleven cells and sixty queries
+
+
 def test_repeated_ids_and_lengths(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), *[(2, [0.5, 0.0])] * 300, (20, [1.0, 1.0, 1.0]), (3, [1.0, 2.0, 3.0]), (0, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
