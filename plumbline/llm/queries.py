@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import audio, bpe, html, langid, neighbours, packing, pii, quality, simhash, suffix
+from . import audio, bpe, codes, fmindex, html, langid, neighbours, packing, pii, quality, simhash, suffix
 from .common import fold, table
 
 
@@ -57,8 +57,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = fmindex.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sparse_suffixes, op2_rank_order, op3_best_fit, op4_simhash, op5_skip_chain, op6_audio, op7_host_suffixes, op8_vantage_points, op9_byte_network, op10_bpe)}
+    return {f.__name__: f for f in (op1_sparse_suffixes, op2_rank_order, op3_best_fit, op4_simhash, op5_skip_chain, op6_audio, op7_host_suffixes, op8_vantage_points, op9_byte_network, op10_bpe, op12_codebooks, op13_fm_index)}
 
 
 #: All windows of 50 words, without suffixes: those that occur twice, united by document and by whether they come first.
@@ -73,5 +82,37 @@ SELECT doc_id, min(p)::BIGINT AS start_word, (max(p) + 50)::BIGINT AS end_word,
 """
 
 
+#: All windows of 13 words, without an index: those that a smaller id has too, and the words that no such window covers.
+WINDOWS = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM documents),
+ g AS (SELECT doc_id, p, md5(array_to_string(a[p + 1 : p + 13], ' ')) AS h FROM (SELECT doc_id, a, unnest(range(0, greatest(len(a) - 12, 0))) AS p FROM w)),
+ m AS (SELECT h, min(doc_id) AS d FROM g GROUP BY h),
+ c AS (SELECT doc_id, list(DISTINCT p + o) AS gone FROM g JOIN m USING (h), range(1, 14) AS r(o) WHERE d < doc_id GROUP BY doc_id),
+ k AS (SELECT doc_id, a, coalesce(gone, []) AS gone FROM w LEFT JOIN c USING (doc_id)),
+ x AS (SELECT doc_id, string_agg(a[i], ' ' ORDER BY i) AS kept FROM (SELECT doc_id, a, unnest(list_filter(range(1, len(a) + 1), lambda i: NOT list_contains(gone, i))) AS i FROM k) GROUP BY doc_id)
+SELECT doc_id, len(a)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN x USING (doc_id)
+"""
+
+
+def _codebooks(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS) -> str:
+    """Each round as a table of its own: the entry of every part, then the floors of the means."""
+    far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    sql = [
+        f"""e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"p AS (SELECT vec_id, label, i, v[i * len(v) // {parts} + 1 : (i + 1) * len(v) // {parts}] AS x FROM e, range({parts}) AS r(i))",
+        f"c0 AS (SELECT i, dense_rank() OVER (ORDER BY vec_id) - 1 AS j, x AS c FROM p QUALIFY j < {entries})",
+    ]
+    for r in range(rounds):
+        sql.append(f"n{r} AS (SELECT p.i, arg_min(j, {{'d': {far}, 'j': j}}) AS j, any_value(x) AS x FROM p JOIN c{r} USING (i) GROUP BY vec_id, p.i)")
+        sql.append(f"s{r} AS (SELECT i, j, k, floor(sum(x[k]) / count(*)::DOUBLE)::BIGINT AS m FROM n{r}, range(1, 65536) AS q(k) WHERE k <= len(x) GROUP BY ALL)")
+        sql.append(f"m{r} AS (SELECT i, j, list(m ORDER BY k) AS c FROM s{r} GROUP BY i, j)")
+        sql.append(f"c{r + 1} AS (SELECT c{r}.i, c{r}.j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON c{r}.i = m{r}.i AND c{r}.j = m{r}.j)")
+    sql.append(f"z AS (SELECT vec_id, any_value(label) AS label, p.i, min({{'d': {far}, 'j': j}}) AS b FROM p JOIN c{rounds} USING (i) GROUP BY vec_id, p.i)")
+    sql.append("y AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', b.j), '' ORDER BY i) AS code, sum(b.d)::BIGINT AS error FROM z GROUP BY vec_id)")
+    return "WITH " + ",\n ".join(sql) + f"""
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY i, j)) FROM c{rounds}) AS codebooks_sha256 FROM y"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sparse_suffixes": PASSAGES}
+    return {"op1_sparse_suffixes": PASSAGES, "op12_codebooks": _codebooks(), "op13_fm_index": WINDOWS}
