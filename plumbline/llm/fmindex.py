@@ -298,11 +298,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ou
     """docs with the number of words, of removed ones, and the kept ones joined by single spaces.
 
     A word goes if a window that a document with a smaller id has too covers it; windows are judged on the input. Each row of
-    docs has its row, null and empty texts too (no words). Of covered() the rest."""
+    docs has its row, null and empty texts too (no words). A column of docs that bears one of the names `out` stays, and the new
+    one gets an underscore before its name. Of covered() the rest."""
     rid, windows = fresh(docs, "window_row", "window_list")
     spans = stored(covered(docs, id_col, text, group))
     rows = docs.withColumn(rid, row_key(id_col, text)).join(spans.select(F.col("rid").alias(rid), F.col("windows").alias(windows)), rid, "left").select(*map(col, docs.columns), windows)
-    names = docs.columns
+    names, out = docs.columns, fresh(docs, *out)
     at = names.index(text)
 
     def make():

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import audio, bpe, codes, fmindex, html, langid, neighbours, packing, pii, quality, simhash, suffix
+from . import alignment, audio, bpe, codes, fmindex, html, langid, neighbours, packing, pii, quality, simhash, suffix
 from .common import fold, table
 
 
@@ -57,6 +57,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_label_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN).drop("groups")
+
+
 def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed(table(spark, sf_dir, "embeddings"))
 
@@ -67,7 +72,7 @@ def op13_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sparse_suffixes, op2_rank_order, op3_best_fit, op4_simhash, op5_skip_chain, op6_audio, op7_host_suffixes, op8_vantage_points, op9_byte_network, op10_bpe, op12_codebooks, op13_fm_index)}
+    return {f.__name__: f for f in (op1_sparse_suffixes, op2_rank_order, op3_best_fit, op4_simhash, op5_skip_chain, op6_audio, op7_host_suffixes, op8_vantage_points, op9_byte_network, op10_bpe, op11_label_strings, op12_codebooks, op13_fm_index)}
 
 
 #: All windows of 50 words, without suffixes: those that occur twice, united by document and by whether they come first.
