@@ -1,5 +1,8 @@
 """Worked cases of the operators, edge cases first."""
 
+import decimal
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -303,3 +306,37 @@ def test_failed_lines_are_spread_and_quantiles_count_values(spark):
     values.sort()
     assert (r["count"], r.min, r.max) == (1000, 0.0, 99.0) and [r.p25, r.median, r.p75, r.p90] == [values[int(999 * s)] for s in (0.25, 0.5, 0.75, 0.9)]
     assert metrics.lower_quantiles(spark.createDataFrame([], "v double"), "v").first()["count"] == 0
+
+
+@pytest.mark.parametrize("k, least", [(1, 0.0), (3, 0.2), (8, 0.0)])
+def test_top_pairs_are_the_first_of_all_pairs(spark, k, least):
+    """Ties, texts of several distances and verdicts, null keys and positions, margins that round alike."""
+    rng = random.Random(k)
+    distances = [0.5, 0.25, 0.25004, 0.25005, float("nan"), None, *(round(rng.random(), 3) for _ in range(9))]
+    rows = [(s or None, p if p % 6 else None, rng.choice("abcdefghij") if s % 2 else f"q{p}", rng.choice(distances), rng.random() < 0.3) for s in range(16) for p in range(rng.randrange(1, 22))]
+    scored = spark.createDataFrame(rows, "sample_id long, pos long, sql string, distance double, is_correct boolean")
+    texts = {}
+    for s, p, sql, d, ok in rows:
+        if s is not None and d is not None and d == d:
+            texts.setdefault(s, []).append((d, not ok, p is not None, p or 0, sql))
+    want = []
+    for s, all_ in texts.items():
+        best = {}
+        for a in all_:
+            for b in all_:
+                if b[1] and a[4] != b[4] and (not a[1] or (b[0] - a[0] > 0 and b[0] - a[0] >= least)):
+                    best[a[4], b[4]] = min(best.get((a[4], b[4]), (True, (9,), (9,))), (a[1], a, b))
+        margin = lambda x: float(decimal.Decimal(repr(max(x[2][0] - x[1][0], 0.0))).quantize(decimal.Decimal("0.0001"), decimal.ROUND_HALF_UP))
+        ordered = sorted(best.items(), key=lambda x: (-margin(x[1]), x[1][0], x[1][1][:4], x[1][2][:4]))
+        want += [(s, *key, margin(x)) for key, x in ordered[:k]]
+    got = pairs.build_pairs(scored, min_margin=least, max_pairs=k).select("sample_id", "chosen", "rejected", "margin").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_top_pairs_of_one_large_sample(spark):
+    n = 200_000
+    rows = spark.range(n).select(F.lit(1).alias("sample_id"), F.col("id").alias("pos"), F.concat(F.lit("q"), F.col("id")).alias("sql"), ((F.col("id") * 7919 % 100_003) / 100_003).alias("distance"), (F.col("id") % 3 == 0).alias("is_correct"))
+    top = pairs.build_pairs(rows, max_pairs=4)
+    assert [(r.chosen, r.margin) for r in top.collect()] == [("q0", 1.0)] * 4
+    listed = rows.filter("not is_correct and distance >= 0.99995").orderBy("distance", "pos").limit(4).collect()
+    assert {r.rejected for r in top.collect()} == {r.sql for r in listed}
