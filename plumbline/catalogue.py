@@ -672,4 +672,4 @@ def parsed_records(spark, sf):
     return distance.parsed_records(_case_rows(spark)).select("case_id", "normalized_sql", "error.message")
 
 
-from . import catalogue_more  # noqa: E402, F401  its queries register themselves here
+from . import catalogue_deep, catalogue_more  # noqa: E402, F401  their queries register themselves here
