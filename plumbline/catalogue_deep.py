@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalogue import query, table
 from .catalogue_more import scratch
-from .operators import pairs, search
+from .operators import compare, lookup, pairs, search, sketch
+from .sources import blocks
 
 # ---- top pairs
 
@@ -56,3 +58,85 @@ def gram_search(spark, sf):
     search.store(part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("t")), "p_partkey", "t", path := scratch(spark))
     asked = table(spark, sf, "conversations").join(part, F.col("p_partkey") == F.col("conv_id")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("question"), F.concat_ws(" ", "text", "p_name", "p_brand").alias("t"))
     return search.relevant_values(spark, path, asked, "question", "t", k=3).select("question", "id", F.round("score", 6).alias("score"), "grams")
+
+
+# ---- look-ups, frequent values, samples, digests
+
+@query("""WITH v AS (SELECT DISTINCT c_name AS value FROM customer), a AS (SELECT o_orderkey, (o_custkey % 1000)::VARCHAR AS needle FROM orders),
+  f AS (SELECT needle, min(value) AS value, count(*) AS matches FROM (SELECT DISTINCT needle FROM a) JOIN v ON contains(lower(value), needle) GROUP BY 1) SELECT o_orderkey, value, matches FROM a JOIN f USING (needle)""")
+def values_containing(spark, sf):
+    """The names of customers that contain a number, for each order."""
+    asked = table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 1000).cast("string").alias("needle"))
+    return lookup.containing(table(spark, sf, "customer"), "c_name", asked, "o_orderkey", "needle")
+
+
+WORDS = r"w AS (SELECT unnest(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS value FROM documents)"
+
+
+@query(f"WITH {WORDS} SELECT value, count(*) AS total FROM w GROUP BY 1 ORDER BY total DESC, value LIMIT 50")
+def frequent_words(spark, sf):
+    """The words of whole texts that occur most: few are frequent, so that candidates are proven."""
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("value")).filter("value <> ''")
+    return sketch.top_values(words, "value", 50)
+
+
+@query("SELECT l_partkey AS value, count(*) AS total FROM lineitem GROUP BY 1 ORDER BY total DESC, value LIMIT 20")
+def frequent_parts(spark, sf):
+    """Parts are about as frequent as each other: all are counted where candidates prove nothing."""
+    return sketch.top_values(table(spark, sf, "lineitem"), "l_partkey", 20)
+
+
+@query("""WITH v AS (SELECT 'c_name' AS column_name, c_name AS value FROM customer UNION SELECT 'c_mktsegment', c_mktsegment FROM customer UNION SELECT 'c_nationkey', c_nationkey::VARCHAR FROM customer)
+  SELECT column_name, md5(value) AS hash, value FROM v WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY md5(value)) <= 16""")
+def column_samples(spark, sf):
+    return sketch.bottom_k(table(spark, sf, "customer"), ["c_name", "c_mktsegment", "c_nationkey"], 16)
+
+
+@query("SELECT 'same' AS compared, true AS equal, 0::BIGINT AS n_differing UNION ALL SELECT 'changed', count(*) FILTER (WHERE l_linenumber % 3 = 0) = 0, 2 * count(*) FILTER (WHERE l_linenumber % 3 = 0) FROM lineitem")
+def bags_by_digest(spark, sf):
+    """Whole lines against themselves in another order, and against lines of which every third number has changed."""
+    rows = table(spark, sf, "lineitem")
+    same = compare.bag_equal_by_digest(rows, rows.repartition("l_partkey"))
+    changed = rows.withColumn("l_linenumber", F.when(F.col("l_linenumber") % 3 == 0, F.col("l_linenumber") + 100).otherwise(F.col("l_linenumber")))
+    other = compare.bag_equal_by_digest(rows, changed)
+    return same.select(F.lit("same").alias("compared"), "equal", "n_differing").unionAll(other.select(F.lit("changed"), "equal", "n_differing"))
+
+
+# ---- files read in blocks
+
+def _event_files(spark, sf, lines) -> str:
+    """Writes (event_type, order, value) as text, the lines of a type in one file in order."""
+    lines.repartition("event_type").sortWithinPartitions("event_type", "order").select("event_type", "value").write.partitionBy("event_type").text(path := scratch(spark))
+    return path
+
+
+def _event(broken: bool):
+    fine = F.to_json(F.struct("event_id", "user_id", "value", "props"), {"ignoreNullFields": "false"})
+    return F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("{no json "), F.col("event_id").cast("string"))).otherwise(fine) if broken else fine
+
+
+@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line_number FROM events")
+def line_numbers(spark, sf):
+    events = table(spark, sf, "events").select("event_type", F.col("event_id").alias("order"), _event(False).alias("value"))
+    lines = blocks.numbered_lines(spark, _event_files(spark, sf, events))
+    return lines.select(F.get_json_object("value", "$.event_id").cast("long").alias("event_id"), F.regexp_extract("file", "event_type=([^/]*)/", 1).alias("event_type"), "line_number")
+
+
+@query("""WITH n AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events)
+  SELECT event_type, min(n) AS first_bad, count(*) AS bad FROM n WHERE event_id % 7 = 0 GROUP BY 1""")
+def bad_line_numbers(spark, sf):
+    """Where each file's first line is that is no JSON, and how many are not."""
+    events = table(spark, sf, "events").select("event_type", F.col("event_id").alias("order"), _event(True).alias("value"))
+    bad = blocks.bad_lines(spark, _event_files(spark, sf, events))
+    return bad.groupBy(F.regexp_extract("file", "event_type=([^/]*)/", 1).alias("event_type")).agg(F.min("line_number").alias("first_bad"), F.count("*").alias("bad"))
+
+
+@query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS place, props, value::DOUBLE AS value FROM events")
+def json_array_elements(spark, sf):
+    """Events as one JSON array for each type, read by place."""
+    events = table(spark, sf, "events")
+    first = F.col("event_id") == F.min("event_id").over(Window.partitionBy("event_type"))
+    rows = events.select("event_type", F.col("event_id").alias("order"), F.concat(F.when(first, "[").otherwise(","), _event(False)).alias("value"))
+    ends = events.groupBy("event_type").agg((F.max("event_id") + 1).alias("order")).withColumn("value", F.lit("]"))
+    found = blocks.json_elements(spark, _event_files(spark, sf, rows.unionAll(ends)))
+    return found.select("file", "place", F.from_json("value", "event_id long, value double, props string").alias("x")).select("x.event_id", F.regexp_extract("file", "event_type=([^/]*)/", 1).alias("event_type"), "place", "x.props", "x.value")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cluster import flattened
+from .blocks import json_elements, numbered_lines, strict_lines
 
 ITEM = "db_id string, question string, evidence string, SQL string, query string, difficulty string, question_id string"
 CANDIDATE = "all_sqls array<string>"
@@ -34,9 +35,9 @@ def sample_id_of(name: Column) -> Column:
 
 
 def items(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of items with sample_id, its place from 0, and SQL, for which `query` may stand."""
-    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{ITEM.replace(' string', ':string')}>>", {"mode": "FAILFAST"}).alias("a"))
-    return rows.select(F.posexplode("a").alias("sample_id", "i")).select(F.col("sample_id").cast("long"), "i.*").withColumn("SQL", F.coalesce("SQL", "query")).drop("query")
+    """A JSON array of items with sample_id, its place from 0, and SQL, for which `query` may stand. A long array is many tasks' work."""
+    rows = json_elements(spark, path).select(F.col("place").alias("sample_id"), F.from_json("value", ITEM, {"mode": "FAILFAST"}).alias("i"))
+    return rows.select("sample_id", "i.*").withColumn("SQL", F.coalesce("SQL", "query")).drop("query")
 
 
 def sample_files(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
@@ -56,13 +57,13 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines that must all be right: reading fails at the first that is not."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """JSON lines that must all be right: ValueError names the file and line number of the first that is not."""
+    return strict_lines(spark, path, schema)
 
 
 def tolerant_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) of a text file, for cascade.parsed_lines; line grows with the place in the file."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value")
+    """(line, value, file, line_number) of text files, for cascade.parsed_lines; line grows with the place in a block of a file, line_number is the place in the file."""
+    return numbered_lines(spark, path).select(F.monotonically_increasing_id().alias("line"), "value", "file", "line_number")
 
 
 def packed_sql(lines: DataFrame, databases: DataFrame | None = None) -> DataFrame:
@@ -83,8 +84,7 @@ def packed_sql(lines: DataFrame, databases: DataFrame | None = None) -> DataFram
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of schema metadata, one row for each database; nested pairs are read as text."""
-    kind = "array<struct<db_id:string,table_names_original:array<string>,column_names_original:array<array<string>>,column_types:array<string>,primary_keys:array<string>,foreign_keys:array<array<int>>>>"
-    return spark.read.text(path, wholetext=True).select(F.inline(F.from_json("value", kind)))
+    return json_elements(spark, path).select(F.from_json("value", METADATA).alias("d")).select("d.*")
 
 
 def catalog_columns(meta: DataFrame) -> DataFrame:
