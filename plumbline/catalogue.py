@@ -72,9 +72,9 @@ def _pairs_sql(least: float = 0.0) -> str:
       FROM m QUALIFY row_number() OVER (PARTITION BY sid, chosen, rejected ORDER BY t, ad, t, ap, bd, bp) = 1)"""
 
 
-def scored(spark, sf) -> DataFrame:
+def scored(spark, sf, sql=None) -> DataFrame:
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    return docs.select(F.floor(F.col("doc_id") / 20).alias("sid"), F.col("doc_id").alias("pos"), F.md5("text").alias("sql"), F.round((F.col("n_chars") % 1000) / F.lit(1000.0), 4).alias("distance"), (F.col("quality") == 1).alias("is_correct"))
+    return docs.select(F.floor(F.col("doc_id") / 20).alias("sid"), F.col("doc_id").alias("pos"), (F.md5("text") if sql is None else sql).alias("sql"), F.round((F.col("n_chars") % 1000) / F.lit(1000.0), 4).alias("distance"), (F.col("quality") == 1).alias("is_correct"))
 
 
 PAIR = ["sid", "chosen", "rejected", "margin", "pair_type", "chosen_distance", "rejected_distance"]
@@ -105,26 +105,41 @@ def pairs_orders(spark, sf):
 
 # ---- the cascade
 
-CASCADE = f"""WITH {_pairs_sql()},
+#: Queries that differ in white space and a semicolon, and by what they ask for; their normal form; how many words they have.
+SPELT = "CASE doc_id % 3 WHEN 0 THEN 'SELECT text FROM documents WHERE lang = ''' || n_chars % 9 || '''' WHEN 1 THEN 'SELECT  text FROM documents  WHERE lang = ''' || n_chars % 9 || '''' ELSE 'SELECT text' || chr(10) || 'FROM documents WHERE lang = ''' || n_chars % 9 || ''' ;' END"
+NORMAL = r"regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '[;\s]+$', '')"
+N_WORDS = r"len(list_filter(string_split_regex({0}, '\s+'), lambda x: x <> ''))"
+
+
+def spelt(spark, sf) -> DataFrame:
+    """scored() with queries in place of hashes."""
+    k = (F.col("n_chars") % 9).cast("string")
+    one = F.concat(F.lit("SELECT text FROM documents WHERE lang = '"), k, F.lit("'"))
+    wide = F.concat(F.lit("SELECT  text FROM documents  WHERE lang = '"), k, F.lit("'"))
+    lines = F.concat(F.lit("SELECT text\nFROM documents WHERE lang = '"), k, F.lit("' ;"))
+    return scored(spark, sf, F.when(F.col("doc_id") % 3 == 0, one).when(F.col("doc_id") % 3 == 1, wide).otherwise(lines))
+
+
+CASCADE = f"""WITH {_pairs_sql().replace("md5(text)", SPELT)},
  lines AS (SELECT sid * 100000 + row_number() OVER (PARTITION BY sid ORDER BY pair_type, chosen, rejected) AS line, * FROM pairs),
- a AS (SELECT line, sid, left(chosen, 1) AS c, left(rejected, 1) AS r, margin, pair_type, 1 + sid % 7 AS p, line % 17 = 0 AS bad, line % 19 = 0 AS odd FROM lines),
+ a AS (SELECT line, sid, {NORMAL.format("chosen")} AS c, {NORMAL.format("rejected")} AS r, {N_WORDS.format("chosen")} AS ct, {N_WORDS.format("rejected")} AS rt, margin, pair_type, 1 + sid % 7 AS p, line % 17 = 0 AS bad, line % 19 = 0 AS odd FROM lines),
  b AS (SELECT *, CASE WHEN bad THEN 'invalid_json' WHEN odd THEN 'invalid_margin' WHEN margin <= 0 AND CASE WHEN pair_type = 'wrong_wrong' THEN 0.1 ELSE 0.05 END > 0 THEN 'zero_margin'
    WHEN margin < CASE WHEN pair_type = 'wrong_wrong' THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END THEN 'low_margin' WHEN c = r THEN 'same_normalized_sql' END AS r1 FROM a),
  d AS (SELECT *, coalesce(r1, CASE WHEN row_number() OVER (PARTITION BY sid, c, r, r1 IS NULL ORDER BY line) > 1 THEN 'duplicate_normalized_pair' END) AS r2 FROM b),
- e AS (SELECT *, coalesce(r2, CASE WHEN p > 6 THEN 'prompt_too_long' WHEN p + 1 > 6 THEN 'chosen_too_long' END) AS r3 FROM d),
- done AS (SELECT *, coalesce(r3, CASE WHEN row_number() OVER (PARTITION BY sid, r3 IS NULL ORDER BY margin DESC, line) > 2 THEN 'per_prompt_cap' END) AS reason FROM e)"""
+ e AS (SELECT *, coalesce(r2, CASE WHEN p > 6 THEN 'prompt_too_long' WHEN p + ct > 13 THEN 'chosen_too_long' WHEN p + rt > 13 THEN 'rejected_too_long' END) AS r3 FROM d),
+ done AS (SELECT *, coalesce(r3, CASE WHEN row_number() OVER (PARTITION BY sid, r3 IS NULL ORDER BY margin DESC, p + ct + rt, line) > 2 THEN 'per_prompt_cap' END) AS reason FROM e)"""
 
 
-def cascaded(spark, sf) -> DataFrame:
+def cascaded(spark, sf, types: str = "") -> DataFrame:
     from pyspark.sql import Window
 
-    made = pairs.build_pairs(scored(spark, sf), ["sid"])
+    made = pairs.build_pairs(spelt(spark, sf), ["sid"])
     line = F.col("sid") * 100000 + F.row_number().over(Window.partitionBy("sid").orderBy("pair_type", "chosen", "rejected"))
     made = made.withColumn("line", line.cast("long"))
     margin = F.when(F.col("line") % 19 == 0, "much").otherwise(F.col("margin").cast("string"))
     record = F.struct(F.concat(F.lit("p"), F.repeat(F.lit(" w"), (F.col("sid") % 7).cast("int"))).alias("prompt"), "chosen", "rejected", margin.alias("margin"), F.col("sid").alias("sample_id"), "pair_type", "chosen_is_correct", "rejected_is_correct")
     lines = made.select("line", F.when(F.col("line") % 17 == 0, "{no json").otherwise(F.to_json(record)).alias("value"))
-    rules = cascade.Rules(min_margin=0.05, min_margin_by_type={"wrong_wrong": 0.1}, max_prompt_tokens=6, max_total_tokens=6, max_pairs_per_prompt=2, require_rejected_wrong=True, normalize=lambda c: F.left(c, F.lit(1)))
+    rules = cascade.Rules(min_margin=0.05, min_margin_by_type={"wrong_wrong": 0.1}, max_prompt_tokens=6, max_total_tokens=13, max_pairs_per_prompt=2, require_rejected_wrong=True, pair_types=cascade.Rules.types(types))
     return cascade.cascade(cascade.parsed_lines(lines), rules)
 
 
@@ -138,7 +153,16 @@ def cascade_reasons(spark, sf):
     return cascade.reason_counts(cascaded(spark, sf))
 
 
-@query(f"{CASCADE} SELECT line, margin, pair_type, row_number() OVER (PARTITION BY sid ORDER BY margin DESC, line) AS place, min(line) OVER (PARTITION BY sid) AS first_line FROM done WHERE reason IS NULL")
+ONE_TYPE = CASCADE.replace("WHEN odd THEN 'invalid_margin'", "WHEN odd THEN 'invalid_margin' WHEN pair_type <> 'wrong_wrong' THEN 'pair_type_filtered'")
+
+
+@query(f"{ONE_TYPE} SELECT reason, count(*) AS n FROM done WHERE reason IS NOT NULL GROUP BY 1")
+def cascade_one_type(spark, sf):
+    """Pair types from a comma-separated list, the others filtered."""
+    return cascade.reason_counts(cascaded(spark, sf, " wrong_wrong , ,no_such_type"))
+
+
+@query(f"{CASCADE} SELECT line, margin, pair_type, row_number() OVER (PARTITION BY sid ORDER BY margin DESC, p + ct + rt, line) AS place, min(line) OVER (PARTITION BY sid) AS first_line FROM done WHERE reason IS NULL")
 def cascade_kept(spark, sf):
     return cascade.kept(cascaded(spark, sf)).select("line", F.col("margin_value").alias("margin"), "pair_type", F.col("place").cast("long").alias("place"), "first_line")
 
@@ -306,6 +330,14 @@ def calibration_report(spark, sf):
     return metrics.calibration(labelled(spark, sf), "n_chars", "quality").drop("p_value")  # SQL has no Student's t; tests hold it against published values
 
 
+@query(f"""WITH {RANKED}, c AS (SELECT corr(rx::DOUBLE, ry::DOUBLE) AS rho, count(*) - 2 AS v FROM r), t AS (SELECT abs(rho) * sqrt(v / (1 - rho * rho)) AS t, v FROM c),
+  d AS (SELECT t, v, exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(v * pi()) AS k FROM t)
+  SELECT v + 2 AS n_samples, round(2 * (0.5 - sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * k * pow(1 + pow(t * i / 2000, 2) / v, -(v + 1) / 2.0)) * t / 6000), 6) + 0 AS p_value FROM d, range(2001) AS s(i) GROUP BY t, v, k """)
+def calibration_p_value(spark, sf):
+    """The two-sided p value of the report's correlation; in '''L the density of Student's t is summed by Simpson's rule."""
+    return metrics.calibration(labelled(spark, sf), "n_chars", "quality").select("n_samples", F.round("p_value", 6).alias("p_value"))
+
+
 WORDS = r"(SELECT conv_id, list_distinct(list_transform(list_filter(flatten(list(string_split_regex(text, '\s+')) FILTER (WHERE role = '{0}')), lambda x: x <> ''), lambda x: lower(x))) AS {1} FROM conversations GROUP BY 1)"
 
 
@@ -411,8 +443,8 @@ def average_ranks(spark, sf):
 
 # ---- augmentation
 
-AUGMENT = f"""{SCORED}, g AS (SELECT sid, min(sql) AS gold FROM s GROUP BY 1),
- a AS (SELECT s.*, left(sql, 1) AS norm, pos % 3 + 1 AS cnt, left(gold, 1) AS gnorm FROM s JOIN g USING (sid)),
+AUGMENT = f"""{SCORED.replace("md5(text)", SPELT)}, g AS (SELECT sid, min(sql) AS gold FROM s GROUP BY 1),
+ a AS (SELECT s.*, {NORMAL.format("sql")} AS norm, pos // 2 % 3 + 1 AS cnt, {NORMAL.format("gold")} AS gnorm FROM s JOIN g USING (sid)),
  b AS (SELECT *, CASE WHEN cnt < 2 THEN 'skipped_below_min_count' WHEN norm = gnorm THEN 'skipped_same_as_gold' WHEN d > 0.8 THEN 'skipped_over_max_distance' END AS s1 FROM a),
  c AS (SELECT *, coalesce(s1, CASE WHEN row_number() OVER (PARTITION BY sid, norm, s1 IS NULL ORDER BY d, cnt DESC, pos) > 1 THEN 'deduped_correct_candidates' END) AS s2 FROM b),
  e AS (SELECT *, row_number() OVER (PARTITION BY sid, s2 IS NULL ORDER BY d, cnt DESC, length(sql), pos) AS rn FROM c)"""
@@ -422,8 +454,8 @@ AUGMENT = f"""{SCORED}, g AS (SELECT sid, min(sql) AS gold FROM s GROUP BY 1),
 def augment_rank(spark, sf):
     from pyspark.sql import Window
 
-    s = scored(spark, sf)
-    rows = s.withColumns({"normalized": F.left("sql", F.lit(1)), "count": F.col("pos") % 3 + 1, "gold_normalized": F.left(F.min("sql").over(Window.partitionBy("sid")), F.lit(1))})
+    s = spelt(spark, sf)
+    rows = s.withColumns({"normalized": cascade.collapsed(F.col("sql")), "count": F.floor(F.col("pos") / 2) % 3 + 1, "gold_normalized": cascade.collapsed(F.min("sql").over(Window.partitionBy("sid")))})
     return augment.augmentation(rows, ["sid"], min_count=2, max_distance=0.8, most=2).select("sid", "pos", "status", F.col("rank").cast("long").alias("rank"))
 
 
