@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -41,45 +42,94 @@ DOUBTFUL = frozenset("search skip share social widget alert banner".split())
 OUTER_MARKS = frozenset(["header", "top", "topbar"])  # only outside an article
 MAIN_WORDS = frozenset("content main-content maincontent main article article-body articlebody article-content post-body post-content entry-content story story-body page-content".split())
 SPACE = re.compile(r"\s+")
+REGIONS = ("article", "main", "body", "html")
+ITEMS = frozenset("li td th tr dt dd option".split())
+#: Elements that hold others rather than text: a name can leave one out inside an article.
+HOLDERS = frozenset("div section ul ol dl table details figure center dir hgroup".split())
+#: Words that say no more of an element than that it is a box.
+BOXES = frozenset("area articles bar block body bottom box button buttons center col column container content count embed footer form frame full group header holder icon inline inner item items left lg link links list main md mobile module outer panel post posts right row section side slot sm small text thread title top unit widget wide wrap wrapper xs".split())
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(text)} if "=" in text or "hidden" in text else {}
 
 
-def _raw_end(page: str, tag: str, at: int) -> int:
-    """Where a raw element that begins before `at` ends."""
-    if tag in ENDLESS:
-        end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-        return end.end() if end else len(page)
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(tag)}\b([^>]*)>", re.I).finditer(page, at):
-        depth += -1 if m[1] else not m[2].endswith("/")
-        if not depth:
-            return m.end()
-    return at
+class _RawEnds:
+    """Where raw elements of a page end; each tag's ends are looked for once, so that a page without them takes no longer."""
 
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.known: dict[str, list[int] | dict[int, int]] = {}
 
-def blocks(page: str | None) -> list[tuple[str, int, bool]]:
-    """(text, place, doubtful) of each block in page order; place is 3 inside an article, 2 inside another main region, 1
-    elsewhere, and 0 for what tag, class, id or role leave out. Scripts, styles and other raw elements are skipped altogether."""
+    def end(self, tag: str, start: int, at: int) -> int:
+        """The end of a raw element whose start tag lies from start to at."""
+        if tag in ENDLESS:
+            if tag not in self.known:
+                self.known[tag] = [m.end() for m in re.finditer(rf"</{tag}\b[^<>]*+>?", self.page, re.I)]
+            ends = self.known[tag]
+            found = bisect_right(ends, at)
+            return ends[found] if found < len(ends) else len(self.page)
+        if tag not in self.known:
+            ends, opened = {}, []
+            for m in re.finditer(rf"<(/?){tag}\b([^<>]*+)>", self.page, re.I):
+                if not m[1]:
+                    opened += [m.start()] * (not m[2].endswith("/"))
+                elif opened:
+                    ends[opened.pop()] = m.end()
+            self.known[tag] = ends
+        return self.known[tag].get(start, at)
+
+
+def _clear(names: list[str], marks: frozenset[str]) -> bool:
+    """Whether a name consists of marking words and words for any box."""
+    return any(not marks.isdisjoint(w := re.split(r"[-_]+", n)) and marks.union(BOXES).issuperset(w) for n in names)
+
+
+def blocks(page: str | None) -> list[tuple[str, int, bool, bool]]:
+    """(text, place, doubtful, continues) of the pieces of each block in page order; place is 3 inside an article, 2 inside another
+    main region, 1 elsewhere, and 0 for what tag, class, id or role leave out. Scripts, styles and other raw elements are skipped
+    altogether. A piece that continues belongs to the block of the piece before; its white space at the ends is kept as one space.
+
+    Each tag takes the same time however long and deep the page is: what is open is known by name."""
     page = page or ""
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, bool]] = []
     stack: list[tuple[str, bool, int, bool]] = []  # tag, left out, main, doubtful
+    opened: dict[str, list[int]] = {}  # places in the stack by tag
+    levels: list[int] = []  # places of blocks in it
     parts: list[str] = []
-    left_out, main, doubtful, at, n = False, 1, False, 0, len(page)
+    raw = _RawEnds(page)
+    left_out, main, doubtful, going, at, n = False, 1, False, False, 0, len(page)
 
-    def flush():
+    def piece():
+        """Ends a piece; the block goes on."""
+        nonlocal going
         if parts:
-            if text := " ".join(entities.unescape("".join(parts)).split()):
-                out.append((text, 0 if left_out else main, doubtful))
+            text = SPACE.sub(" ", entities.unescape("".join(parts)))
+            if text.strip() or going and text:
+                out.append((text, 0 if left_out else main, doubtful, going))
+                going = True
             parts.clear()
 
+    def flush():
+        """Ends a block."""
+        nonlocal going
+        piece()
+        going = False
+
     def close(k):
         nonlocal left_out, main, doubtful
+        for tag, *_ in stack[k:]:
+            opened[tag].pop()
+        while levels and levels[-1] >= k:
+            levels.pop()
         del stack[k:]
         left_out, main, doubtful = stack[-1][1:] if stack else (False, 1, False)
 
+    def top(*tags):
+        """The highest place in the stack of any of these tags, -1 if none is open."""
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+
     while at < n:
         start = page.find("<", at)
         if start < 0:
@@ -103,61 +153,73 @@ def blocks(page: str | None) -> list[tuple[str, int, bool]]:
         if tag in BLOCK:
             flush()
         if ending:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if stack[k][1:] != (left_out, main, doubtful) or (k and (stack[k - 1][1:] != stack[k][1:])):
-                        flush()
-                    close(k)
-                    break
-                if stack[k][0] in ("article", "main", "body", "html") and tag not in ("article", "main", "body", "html") or tag not in BLOCK and tag not in DROPPED and stack[k][0] in BLOCK:
-                    break
+            k = top(tag)
+            if k >= 0 and (tag in REGIONS or top(*REGIONS) < k) and (tag in BLOCK or tag in DROPPED or not levels or levels[-1] < k):
+                if levels and levels[-1] >= k:  # the end of a block, whatever else it ends
+                    flush()
+                elif (stack[k - 1][1:] if k else (False, 1, False)) != (left_out, main, doubtful):
+                    piece()
+                close(k)
             continue
         if tag in RAW:  # skipped up to its own end
             if not (m[3] or m[6] or "").endswith("/") or tag in ENDLESS:
-                at = _raw_end(page, tag, at)
+                at = raw.end(tag, start, at)
             continue
         if tag in VOID:
             continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        if tag in ("li", "td", "th", "tr", "dt", "dd", "option"):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if stack[k][0] in ("ul", "ol", "table", "dl", "div", "article", "select") or tag in ("td", "th") and stack[k][0] == "tr":
-                    break
+        if tag in CLOSES_P and levels and stack[levels[-1]][0] == "p":
+            close(levels[-1])
+        if tag in ITEMS:
+            k = top(tag)
+            if k >= 0 and k > top("ul", "ol", "table", "dl", "div", "article", "select", *["tr"] * (tag in ("td", "th"))):
+                close(k)
         attributes = _attributes(m[3] or m[6] or "")
         names = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower().split()
         words = {w for x in names for w in re.split(r"[-_]+", x)}
         inner = 3 if tag == "article" else max(main, 2) if tag == "main" or "main" in attributes.get("role", "").split() or tag in ("div", "section") and not MAIN_WORDS.isdisjoint(names) else main
-        content = tag in ("article", "main", "body", "html")
-        drop = left_out or tag in DROPPED or not content and not (words.isdisjoint(MARKS) and DOUBTFUL.isdisjoint(names)) or main == 1 and inner == 1 and (tag == "header" or not content and not words.isdisjoint(OUTER_MARKS)) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
-        doubt = doubtful or not content and not DOUBTFUL.isdisjoint(words)
+        content = tag in REGIONS
+        marked = not content and not (words.isdisjoint(MARKS) and DOUBTFUL.isdisjoint(names))
+        if main == 3:  # inside an article names leave out what only holds other elements; the repeats decide on the rest
+            drop = marked and tag in HOLDERS and (_clear(names, MARKS) or not DOUBTFUL.isdisjoint(names))
+        else:
+            drop = marked or inner == main == 1 and (tag == "header" or not content and not words.isdisjoint(OUTER_MARKS))
+        drop = drop or left_out or tag in DROPPED or tag == "article" and _clear(names, COMMENTS) or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
+        doubt = doubtful or marked or not content and not DOUBTFUL.isdisjoint(words)
         if (drop, inner, doubt) != (left_out, main, doubtful):
-            flush()
+            piece()
+        opened.setdefault(tag, []).append(len(stack))
+        if tag in BLOCK:
+            levels.append(len(stack))
         stack.append((tag, drop, inner, doubt))
         left_out, main, doubtful = drop, inner, doubt
     flush()
     return out
 
 
-#: What becomes of a block: it goes, its runs without repeats stay, all of it stays unless repeats cover most of it, it stays.
+#: What becomes of a piece: it goes, its runs without repeats stay, all of it stays unless repeats cover most of it, it stays. CONTINUES is added
+#: for a piece of the block of the piece before.
 OUT, RUNS, DOUBT, IN = range(4)
+CONTINUES = 4
 
 
 def parse(page: str | None) -> list[tuple[str, int]]:
-    """(text, fate) of each block, in page order. The blocks of the page's articles stay, or else of another main region; on a
+    """(text, fate) of each piece, in page order. The blocks of the page's articles stay, or else of another main region; on a
     page that has neither, of all blocks that markup does not leave out the runs without repeats do."""
     found = blocks(page)
-    top = max((p for _, p, _ in found), default=1)
+    top = max((p for _, p, _, _ in found), default=1)
     fate = lambda place, doubtful: OUT if not place or place < top else DOUBT if doubtful else IN if top > 1 else RUNS
-    return [(t, fate(p, d)) for t, p, d in found]
+    return [(t, fate(p, d) + CONTINUES * c) for t, p, d, c in found]
+
+
+def joined(pieces: list[tuple[str, bool]]) -> str:
+    """Blocks of kept pieces (text, continues), white space collapsed, trimmed and joined by line feeds."""
+    lines: list[list[str]] = []
+    for text, continues in pieces:
+        if continues and lines:
+            lines[-1].append(text)
+        else:
+            lines.append([text])
+    return "\n".join(t for x in lines if (t := " ".join("".join(x).split())))
 
 
 def repeated(streams: list[np.ndarray], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,23 +271,21 @@ def _sorted_host(key, rows):
 
 def kept_text(texts: list[str], fates: list[int], starts: list[int], k: int = K) -> str:
     """The text of blocks with these fates, where repeated substrings begin at these tokens of all blocks but those that stay."""
-    tokens = [None if f == IN else t.split() for t, f in zip(texts, fates, strict=True)]
+    tokens = [None if f % CONTINUES == IN else t.split() for t, f in zip(texts, fates, strict=True)]
     covered = np.zeros(sum(len(x) for x in tokens if x is not None) + 1, bool)
     for s in starts:
         covered[s : s + k] = True
     kept, at = [], 0
     for text, words, fate in zip(texts, tokens, fates, strict=True):
-        if words is None:
-            kept.append(text)
-            continue
-        hit = covered[at : at + len(words)]
-        at += len(words)
-        if fate == RUNS:
-            free = " ".join(w for w, c in zip(words, hit.tolist(), strict=True) if not c)
-            kept += [free] * bool(free)
-        elif fate == DOUBT and 2 * hit.sum() <= len(words):
-            kept.append(text)
-    return "\n".join(kept)
+        if words is not None:
+            hit = covered[at : at + len(words)]
+            at += len(words)
+            if fate % CONTINUES == RUNS:
+                text = " ".join(["", *(w for w, c in zip(words, hit.tolist(), strict=True) if not c), ""])
+            elif fate % CONTINUES == OUT or 2 * hit.sum() > len(words):
+                text = " " * (text != text.strip())
+        kept.append((text, fate >= CONTINUES))
+    return joined(kept)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", shard: int = SHARD) -> DataFrame:
@@ -245,9 +305,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url: str = "url", html:
             for at in range(0, batch.num_rows, most):
                 part = batch.slice(at, most)
                 found = [parse(x) for x in part.column(2).to_pylist()]
-                streams = [np.fromiter((xxhash.xxh64_intdigest(w) for t, f in x if f != IN for w in t.split()), "<u8").tobytes() for x in found]
-                sure = [all(f in (OUT, IN) for _, f in x) for x in found]  # no repeat changes such a page
-                texts = ["\n".join(t for t, f in x if f == IN) if s else None for x, s in zip(found, sure, strict=True)]
+                streams = [np.fromiter((xxhash.xxh64_intdigest(w) for t, f in x if f % CONTINUES != IN for w in t.split()), "<u8").tobytes() for x in found]
+                sure = [all(f % CONTINUES in (OUT, IN) for _, f in x) for x in found]  # no repeat changes such a page
+                texts = [kept_text([t for t, _ in x], [f for _, f in x], []) if s else None for x, s in zip(found, sure, strict=True)]
                 rest = [[None if s else [r[i] for r in x] for x, s in zip(found, sure, strict=True)] for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(rest[0], pa.list_(pa.string())), pa.array(rest[1], pa.list_(pa.int32())), pa.array(streams, pa.binary()), pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in streams], pa.int64())],
