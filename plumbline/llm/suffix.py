@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import col, fresh, map_arrow, stored
 
@@ -21,6 +22,7 @@ SIDE = WINDOW - GRAM  # words that a window has besides its 16-gram
 #: Suffixes compared together in a task; a more frequent 16-gram is counted window by window instead.
 GROUP = 1024
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+WHOLE = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
 _POS = 30  # bits of a word's position beside a hash: a text of 2 GB, the most that Arrow takes, has fewer words
 
 _rng = np.random.default_rng(20)
@@ -192,10 +194,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     place: what a deduplication keeps; the others are given apart. first_doc_id is the least id that holds the first
     occurrence of a window of the union; the id and rid (row_key) tell rows apart. Rows that repeat an id and a text count as
     one document; a null text or one under 50 words has no windows; no rows for an empty table; other columns are not read,
-    whatever their names; a text may have any length that Arrow takes.
+    whatever their names; a text may have any length that Arrow takes. Ids that are no whole numbers may be of any type that has
+    an order: they are numbered first, in that order.
 
     A group of suffixes that share 16 words goes to a task whole, unless it has over `group` of them: then its windows are
     hashed and counted with partial sums, which a frequent passage does not overload."""
+    if not isinstance(docs.schema[id_col].dataType, WHOLE):
+        return _named(docs, id_col, text, group)
     source = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(_LAST)).alias("order"), row_key(id_col, text).alias("rid"), col(text).cast("string").alias("text"))
 
     def scan():
@@ -217,7 +222,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     chosen = marks.join(often, "gram").groupBy("order", "rid").agg(F.collect_set(F.col("pos") * 2 + (F.col("n") > group).cast("long")).alias("at"))
 
     def extend():
+        seen: set[tuple[int, int]] = set()  # rows that repeat an id and a text meet in a task of the join: one of them is enough
+
         def step(batch):
+            own = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            new = [not (x in seen or seen.add(x)) for x in own]
+            if not all(new):
+                batch = batch.filter(pa.array(new))
+            if not batch.num_rows:
+                return
             orders, rids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             found: list[list] = [[] for _ in range(8)]
             sides: list[list] = [[], []]
@@ -265,6 +278,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     return runs.mapInArrow(_merge, "doc_id long, rid long, start_word long, end_word long, first boolean, first_doc_id long")
 
 
+def _named(docs: DataFrame, id_col: str, text: str, group: int) -> DataFrame:
+    """repeated_passages for ids of other types, by their numbers in order: partitions of ids sorted by range, and counts of those before."""
+    ids = stored(docs.select(col(id_col).alias("id")).filter("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id").withColumn("at", F.monotonically_increasing_id()))
+    name = fresh(docs, "passage_order")[0]
+    known = docs.select(col(id_col).alias("id"), col(text).alias("text"), row_key(id_col, text).alias("key")).join(ids, "id", "left").select(F.col("at").alias(name), "text", "key")
+    found = repeated_passages(known.select(F.col(name), "text"), name, "text", group)
+    keys = known.select(F.coalesce(name, F.lit(_LAST)).alias("order"), row_key(name, "text").alias("rid"), "key").distinct()
+    first = ids.select(F.col("id").alias("first_id"), F.col("at").alias("first_doc_id"))
+    named = found.join(ids.withColumnRenamed("at", "doc_id"), "doc_id", "left").join(first, "first_doc_id", "left")
+    named = named.withColumn("order", F.coalesce("doc_id", F.lit(_LAST))).join(keys, ["order", "rid"])
+    return named.select(F.col("id").alias("doc_id"), F.col("key").alias("rid"), "start_word", "end_word", "first", F.col("first_id").alias("first_doc_id"))
+
+
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the words of the spans and the white space that follows them."""
     data = text.encode("utf-8", "surrogatepass")
@@ -300,14 +326,20 @@ def removable(spans: list[tuple[int, int, bool, bool]]) -> list[tuple[int, int]]
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the repeated passages that an earlier document, or an earlier place, holds already.
 
-    A document of which no word is left goes; all others stay, with what is left of their text. Columns and their order stay."""
+    A document of which no word is left goes; all others stay, with what is left of their text: null and empty texts, and texts under
+    50 words, as they are. Rows that repeat an id and a text are one document, cut alike; ids and long texts as in
+    repeated_passages; an empty table stays empty. Columns and their order stay."""
     names = docs.columns
     key, rid, spans = fresh(docs, "passage_id", "passage_row", "passage_spans")
     found = repeated_passages(docs, id_col, text)
     own = F.coalesce(F.col("first_doc_id").eqNullSafe(F.col("doc_id")), F.lit(False))
     cuts = found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start_word", "end_word", "first", own.alias("own"))).alias(spans), F.min("first").alias("f")).filter("not f")
-    cuts = cuts.select(F.coalesce("doc_id", F.lit(_LAST)).alias(key), F.col("rid").alias(rid), spans)
-    rows = docs.withColumns({key: F.coalesce(col(id_col).cast("long"), F.lit(_LAST)), rid: row_key(id_col, text)}).join(cuts, [key, rid], "left").select(*map(col, names), spans)
+    cuts = cuts.select(F.xxhash64("doc_id").alias(key), F.col("rid").alias(rid), spans)
+    if isinstance(docs.schema[id_col].dataType, WHOLE):
+        told = F.xxhash64(col(id_col).cast("long"))
+    else:
+        told = F.xxhash64(col(id_col))
+    rows = docs.withColumns({key: told, rid: row_key(id_col, text)}).join(cuts, [key, rid], "left").select(*map(col, names), spans)
     at = names.index(text)
 
     def make():
