@@ -178,11 +178,15 @@ SHOWN = 1000
 
 
 def _cell(x, plain: bool):
+    """A value for hashing; plain ones are alike where Python's equality holds, so that 1.0 is 1 however large."""
     if isinstance(x, bytes):
         return x.hex()
-    if plain and isinstance(x, float) and x.is_integer() and abs(x) < 2**53:
-        return int(x)
-    return x
+    return int(x) if plain and isinstance(x, float) and x.is_integer() else x
+
+
+def _set_cell(x):
+    """A plain value in set mode, where a blob is none of its hexadecimal text."""
+    return {"blob": x.hex()} if isinstance(x, bytes) else _cell(x, True)
 
 
 class _Digests:
@@ -196,11 +200,11 @@ class _Digests:
         self.known = np.unique(np.concatenate((self.known, np.frombuffer(bytes(self.fresh), "<u8").reshape(-1, 2))), axis=0)
         self.fresh = bytearray()
 
-    def add(self, typed: str, plain: str) -> None:
-        short = hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        self.ordered.update(short)
-        self.fresh += short
-        self.bag = (self.bag + int.from_bytes(hashlib.blake2b(typed.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "little")) % (1 << 128)
+    def add(self, typed: str, plain: str, distinct: str) -> None:
+        short = lambda text: hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        self.ordered.update(short(plain))
+        self.fresh += short(distinct)
+        self.bag = (self.bag + int.from_bytes(short(typed), "little")) % (1 << 128)
         self.n += 1
         if len(self.fresh) > 1 << 22:
             self._merge()
@@ -212,15 +216,15 @@ class _Digests:
 
 def run_sqlite(db: sqlite3.Connection, sql: str, timeout: float = TIMEOUT) -> tuple:
     """The fields of RESULT: status, error, row count, the first SHOWN rows as JSON arrays (blobs as hexadecimal), and hashes of the
-    whole result: in order and as a set, where 1.0 is 1, and as a bag, where it is not. Rows are read one by one and only their
-    hashes kept, so that a result may have any size."""
+    whole result: in order and as a set, where 1.0 is 1, and as a bag, where it is not; as a set a blob is not its hexadecimal
+    text. Rows are read one by one and only their hashes kept, so that a result may have any size."""
     end = time.monotonic() + timeout
     db.set_progress_handler(lambda: int(time.monotonic() > end), 10_000)
     rows, digests = [], _Digests()
     try:
         for r in db.execute(sql):
-            typed, plain = (json.dumps([_cell(x, p) for x in r], ensure_ascii=False) for p in (False, True))
-            digests.add(typed, plain)
+            typed, plain, distinct = (json.dumps(list(map(f, r)), ensure_ascii=False) for f in (lambda x: _cell(x, False), lambda x: _cell(x, True), _set_cell))
+            digests.add(typed, plain, distinct)
             if len(rows) < SHOWN:
                 rows.append(typed)
             if not digests.n % 4096 and time.monotonic() > end:

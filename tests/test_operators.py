@@ -2,11 +2,13 @@
 
 import decimal
 import random
+import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import losses, response, text
+from plumbline.plans import execute
 from plumbline.operators import augment, cascade, cluster, compare, linking, metrics, pairs, profile, ranking, search, vote
 
 
@@ -340,3 +342,14 @@ def test_top_pairs_of_one_large_sample(spark):
     assert [(r.chosen, r.margin) for r in top.collect()] == [("q0", 1.0)] * 4
     listed = rows.filter("not is_correct and distance >= 0.99995").orderBy("distance", "pos").limit(4).collect()
     assert {r.rejected for r in top.collect()} == {r.sql for r in listed}
+
+
+@pytest.mark.parametrize("left, right, same", [  # strict, bag, set
+    ("1", "1.0", (True, False, True)), ("1152921504606846976", "1152921504606846976.0", (True, False, True)), ("9007199254740993", "9007199254740992.0", (False, False, False)), ("9e18", "9000000000000000000", (True, False, True)), ("'1'", "1", (False, False, False)),
+    ("x'6162'", "'6162'", (True, True, False)), ("x'6162'", "x'6162'", (True, True, True)), ("x'6162'", "'ab'", (False, False, False)), ("null", "''", (False, False, False)), ("null", "null", (True, True, True)), ("0.0", "-0.0", (True, False, True)), ("1e400", "1e400", (True, True, True)), ("0.1 + 0.2", "0.3", (False, False, False)),
+    ("1 union all select 2", "2 union all select 1", (False, True, True)), ("1 union all select 1", "1", (False, False, True)), ("1, 2", "1", (False, False, False)),
+])
+def test_equality_of_sqlite_results(left, right, same):
+    db = sqlite3.connect(":memory:")
+    a, b = (execute.run_sqlite(db, f"select {x}") for x in (left, right))
+    assert a[0] == b[0] == "success" and tuple(x == y for x, y in zip(a[4:], b[4:], strict=True)) == same
