@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .catalogue import query, table
 from .catalogue_more import scratch
-from .operators import compare, lookup, pairs, search, sketch
-from .sources import blocks
+from .operators import compare, lookup, pairs, prompts, search, sketch
+from .sources import blocks, cache
 
 # ---- top pairs
 
@@ -140,3 +140,44 @@ def json_array_elements(spark, sf):
     ends = events.groupBy("event_type").agg((F.max("event_id") + 1).alias("order")).withColumn("value", F.lit("]"))
     found = blocks.json_elements(spark, _event_files(spark, sf, rows.unionAll(ends)))
     return found.select("file", "place", F.from_json("value", "event_id long, value double, props string").alias("x")).select("x.event_id", F.regexp_extract("file", "event_type=([^/]*)/", 1).alias("event_type"), "place", "x.props", "x.value")
+
+
+# ---- prompts and kept samples
+
+def _line(table_: str, columns: list[tuple[str, str, bool]]) -> str:
+    """SQL for a table's line of a schema text; text columns have their three sampled values."""
+    name = f"(SELECT string_agg(v, ' , ' ORDER BY md5(v)) FROM (SELECT DISTINCT trim({{0}}) AS v FROM {table_} WHERE length(trim({{0}})) BETWEEN 1 AND 25 ORDER BY md5(v) LIMIT 3))"
+    each = [f"'{table_}.{c} ( {kind}{' | primary key' if pk else ''}" + (f" | values : ' || {name.format(c)} || ' )'" if kind == "STRING" else " )'") for c, kind, pk in columns]
+    return f"'table {table_} , columns = [ ' || " + " || ' , ' || ".join(each) + " || ' ]'"
+
+
+SCHEMA = f"""(SELECT 'database schema :' || chr(10) || {_line("part", [("p_partkey", "BIGINT", True), ("p_name", "STRING", False), ("p_brand", "STRING", False), ("p_type", "STRING", False), ("p_size", "INT", False)])} || chr(10) ||
+  {_line("customer", [("c_custkey", "BIGINT", True), ("c_name", "STRING", False), ("c_mktsegment", "STRING", False)])} || chr(10) || 'foreign keys : None' || chr(10) || 'matched contents : ')"""
+
+
+@query(rf"""WITH s AS (SELECT {SCHEMA} AS s), q AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || chr(10) ELSE '' END || text AS q FROM conversations), m AS (SELECT c_custkey, 'customer.c_mktsegment ( ' || c_mktsegment || ' )' AS m FROM customer)
+  SELECT conv_id, turn, md5(regexp_replace('Write one SQLite query that answers the question.' || chr(10) || chr(10) || 'Database Schema:' || chr(10) || CASE WHEN m IS NULL THEN s || 'None' ELSE rtrim(s) || chr(10) || m END || chr(10) || chr(10) || 'Question:' || chr(10) || q || chr(10) || chr(10) || 'Answer with the query alone, beginning with SELECT.' || chr(10) || chr(10) || 'SQL:', '^\s+|\s+$', '', 'g')) AS prompt
+  FROM q CROSS JOIN s LEFT JOIN m ON c_custkey = conv_id * 2""")
+def assembled_prompts(spark, sf):
+    """Whole turns with evidence before every other one, a schema with values sampled from whole tables, and matched values."""
+    part, customer = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    tables = prompts.database_tables({"part": part, "customer": customer}, 3, {"part": ["p_partkey"], "customer": ["c_custkey"]})
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.when(F.col("turn") % 2 == 0, F.col("role")).alias("evidence"))
+    hits = turns.select((F.col("conv_id") * 2).alias("id"), "conv_id", "turn").withColumn("score", F.lit(1.0)).withColumn("question", F.struct("conv_id", "turn"))
+    values = customer.select(F.col("c_custkey").alias("id"), F.lit("customer").alias("table_name"), F.lit("c_mktsegment").alias("column_name"), F.col("c_mktsegment").alias("value"))
+    found = prompts.found_contents(hits, "question", values).select("question.*", "matches")
+    made = prompts.assembled(turns.join(found, ["conv_id", "turn"], "left"), "text", tables, "evidence", matches="matches")
+    return made.select("conv_id", "turn", F.md5("prompt").alias("prompt"))
+
+
+@query("""WITH v AS (SELECT 'c_name' AS column_name, c_name AS value FROM customer UNION SELECT 'c_nationkey', c_nationkey::VARCHAR FROM customer UNION SELECT 'c_name', 'appended ' || c_custkey FROM customer)
+  SELECT column_name, value FROM v QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY md5(value)) <= 12""")
+def cached_samples(spark, sf):
+    """Samples of a folder of files, to which files are added after its samples were kept: only those are read."""
+    rows = table(spark, sf, "customer").select("c_name", F.col("c_nationkey").cast("string").alias("c_nationkey"), "c_mktsegment")
+    folder, kept = scratch(spark), scratch(spark)
+    rows.write.partitionBy("c_mktsegment").json(folder)
+    cache.refresh(spark, folder, kept, "c_name string, c_nationkey string", k=12)
+    table(spark, sf, "customer").select(F.concat(F.lit("appended "), F.col("c_custkey").cast("string")).alias("c_name")).write.mode("append").json(f"{folder}/more")
+    cache.refresh(spark, folder, kept, "c_name string, c_nationkey string", k=12)
+    return cache.samples(spark, folder, kept, 12).select("column_name", "value")

@@ -60,7 +60,7 @@ def top_values(df: DataFrame, column: str, n: int = 100, counters: int = COUNTER
     return all_counted(rows, "value", n)
 
 
-def _least(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def least_hashes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(column_name, hash, value), the k least hashes of each column that a task meets."""
     kept: dict[str, dict[str, str]] = {}
     border: dict[str, str] = {}
@@ -91,7 +91,7 @@ def bottom_k(df: DataFrame, columns: list[str] | None = None, k: int = 64, keys:
     if not columns:
         return df.sparkSession.createDataFrame([], "column_name string, hash string, value string")
     rows = long_values(df, columns).select("column_name", F.md5("value").alias("hash"), "value")
-    return merged(rows.mapInArrow(lambda b: _least(b, k), "column_name string, hash string, value string"), k)
+    return merged(rows.mapInArrow(lambda b: least_hashes(b, k), "column_name string, hash string, value string"), k)
 
 
 def merged(sketches: DataFrame, k: int = 64) -> DataFrame:
