@@ -99,6 +99,25 @@ SELECT doc_id, len(a)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256
 """
 
 
+#: Rank-order profiles: fold by crc32, n-grams of each distinct word, the most frequent ones of each document and language, and their places' distance.
+PROFILES = rf"""
+WITH bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+ d AS (SELECT doc_id, text, lang, xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 3 AS fold FROM documents, bits),
+ w AS (SELECT doc_id, word, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM d) GROUP BY 1, 2),
+ v AS (SELECT word, list_concat([0], list_transform(string_split(word, ''), lambda x: ord(x)::BIGINT), [0]) AS a FROM (SELECT DISTINCT word FROM w)),
+ g AS (SELECT word, code, count(*) AS k FROM (SELECT word, unnest(list_concat(list_transform(range(2, len(a)), lambda i: {1 << 54} + a[i]), list_transform(range(1, len(a)), lambda i: {2 << 54} + a[i] * {1 << 18} + a[i + 1]),
+   list_transform(range(1, len(a) - 1), lambda i: {3 << 54} + a[i] * {1 << 36} + a[i + 1] * {1 << 18} + a[i + 2]))) AS code FROM v) GROUP BY 1, 2),
+ n AS (SELECT doc_id, code, sum(w.k * g.k) AS n FROM w JOIN g USING (word) GROUP BY 1, 2),
+ own AS (SELECT doc_id, code, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, code) AS r FROM n QUALIFY r <= {langid.TOP}),
+ p AS (SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, code) AS r FROM n JOIN d USING (doc_id) WHERE fold IS DISTINCT FROM 1 AND lang IS NOT NULL GROUP BY lang, code QUALIFY r <= {langid.TOP}),
+ l AS (SELECT DISTINCT lang FROM p),
+ away AS (SELECT doc_id, l.lang, sum(coalesce(abs(p.r - own.r), {langid.TOP})) AS far, count(*) AS n FROM own CROSS JOIN l LEFT JOIN p ON p.lang = l.lang AND p.code = own.code GROUP BY 1, 2),
+ best AS (SELECT doc_id, arg_min(lang, {{'far': far, 'lang': lang}}) AS lang, list_sort(list(far)) AS f, any_value(n) AS n FROM away GROUP BY 1),
+ s AS (SELECT doc_id, lang, f[1] AS a, CASE WHEN len(f) > 1 THEN f[2] ELSE {langid.TOP} * n END AS b FROM best)
+SELECT doc_id, coalesce(fold = 1, false) AS held_out, coalesce(s.lang, 'und') AS lang_pred, CASE WHEN s.lang IS NULL THEN 0 WHEN a + b > 0 THEN b / (a + b)::DOUBLE ELSE 0.5 END AS score FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
 def _codebooks(parts: int = codes.PARTS, entries: int = codes.ENTRIES, rounds: int = codes.ROUNDS) -> str:
     """Each round as a table of its own: the entry of every part, then the floors of the means."""
     far = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -120,4 +139,4 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sparse_suffixes": PASSAGES, "op12_codebooks": _codebooks(), "op13_fm_index": WINDOWS}
+    return {"op1_sparse_suffixes": PASSAGES, "op2_rank_order": PROFILES, "op12_codebooks": _codebooks(), "op13_fm_index": WINDOWS}
