@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalogue import query, table
+from .catalogue import VOTES, ballots, query, table
 from .catalogue_more import scratch
-from .operators import compare, lookup, pairs, prompts, search, sketch
+from .functions import response
+from .operators import cluster, compare, lookup, pairs, prompts, search, sketch, vote
 from .sources import blocks, cache
 
 # ---- top pairs
@@ -181,3 +182,20 @@ def cached_samples(spark, sf):
     table(spark, sf, "customer").select(F.concat(F.lit("appended "), F.col("c_custkey").cast("string")).alias("c_name")).write.mode("append").json(f"{folder}/more")
     cache.refresh(spark, folder, kept, "c_name string, c_nationkey string", k=12)
     return cache.samples(spark, folder, kept, 12).select("column_name", "value")
+
+
+# ---- clusters as rows, winners' results, lengths in tokens
+
+@query("SELECT doc_id, count(*) OVER (PARTITION BY lang, trim(text)) AS n, min(doc_id) OVER (PARTITION BY lang, trim(text)) AS first_doc FROM documents")
+def cluster_members(spark, sf):
+    docs = table(spark, sf, "documents").select("lang", response.strip(F.col("text")).alias("sql"), "doc_id")
+    return cluster.members(docs, ["lang"], "sql", ["doc_id"]).select("doc_id", F.col("count").alias("n"), F.col("first.doc_id").alias("first_doc"))
+
+
+@query(f"""WITH {VOTES} SELECT q AS question_id, 'q' || top1.first AS sql1, 'q' || top2.first AS sql2, CASE WHEN top1.first % 2 = 1 THEN top1.result || top1.first END AS shown1,
+  CASE WHEN top2.first % 2 = 1 THEN top2.result || top2.first WHEN top1.first % 2 = 1 THEN top1.result || top1.first END AS shown2 FROM won""")
+def vote_prompts(spark, sf):
+    """Both winners' queries with what they returned; results of every other line are missing."""
+    lines = ballots(spark, sf).withColumn("sql", F.concat(F.lit("q"), F.col("pos").cast("string")))
+    results = lines.filter("pos % 2 = 1").select("question_id", "sql", F.concat("result", F.col("pos").cast("string")).alias("shown"))
+    return vote.top2_for_prompt(vote.majority(lines), results).select("question_id", "sql1", "sql2", "shown1", "shown2")

@@ -26,6 +26,16 @@ def clusters(candidates: DataFrame, keys: list[str] = ["sample_id"], text: str =
     return candidates.groupBy(*keys, text).agg(F.count("*").alias("count"), *lists, F.min(place).alias("first"))
 
 
+def members(candidates: DataFrame, keys: list[str] = ["sample_id"], text: str = "sql", places: list[str] = ["record_index", "sql_index"]) -> DataFrame:  # noqa: B006
+    """Each candidate beside its cluster's count and first place: what `occurrences` lists, as rows, however common a text is.
+
+    Clusters are aggregated and joined again by a digest of the text, in a join that adaptive execution can split at a hot one."""
+    rows = candidates.withColumn("__d", F.sha2(F.col(text), 256))
+    by = [*keys, "__d"]
+    found = clusters(rows, keys, "__d", places, occurrences=False).toDF(*[f"__k{i}" for i in range(len(by))], "count", "first")
+    return rows.join(found, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(by)]).select(*candidates.columns, "count", "first")
+
+
 def first_seen(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key by `order`; nulls are a key too. An aggregate, so that a frequent key is reduced before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]

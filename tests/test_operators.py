@@ -353,3 +353,26 @@ def test_equality_of_sqlite_results(left, right, same):
     db = sqlite3.connect(":memory:")
     a, b = (execute.run_sqlite(db, f"select {x}") for x in (left, right))
     assert a[0] == b[0] == "success" and tuple(x == y for x, y in zip(a[4:], b[4:], strict=True)) == same
+
+
+def test_members_are_the_occurrences(spark):
+    rows = [(1, "a", 0), (1, "a", 2), (1, "b", 1), (2, "a", 5), (None, "a", 7), (None, "a", 6), (None, None, 8)]
+    df = spark.createDataFrame(rows, "sample_id long, sql string, pos long")
+    got = {(r.sample_id, r.sql, r.pos): (r["count"], r["first"].pos) for r in cluster.members(df, places=["pos"]).collect()}
+    listed = cluster.clusters(df, places=["pos"]).collect()
+    assert got == {(r.sample_id, r.sql, o.pos): (r["count"], r["first"].pos) for r in listed for o in r.occurrences} and len(got) == len(rows)
+
+
+def test_lengths_in_tokens(spark):
+    tokens, tokenizer = pytest.importorskip("plumbline.functions.tokens"), pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    texts = ["Hello world", "", None, "naïve café <|startoftext|>", "x" * 500]
+    plain = tokenizer.Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    count = tokens.counter(path)
+    assert [r.n for r in df.select("i", count(F.col("t")).alias("n")).orderBy("i").collect()] == [len(plain.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    line = '{"prompt": "a b c", "chosen": "select 1", "rejected": "select 2 from a long list of words", "margin": 1}'
+    lines = cascade.parsed_lines(spark.createDataFrame([(1, line)], "line long, value string"))
+    most = len(plain.encode("a b c select 1", add_special_tokens=False).ids)
+    assert cascade.cascade(lines, cascade.Rules(max_total_tokens=most, tokens=count)).first().reason == "rejected_too_long"
