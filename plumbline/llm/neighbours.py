@@ -20,6 +20,8 @@ from .common import bounded, col, map_arrow, stored
 SHARD, LEAF, FACTOR = 8192, 256, 0.8
 #: Vectors that pivots are chosen from, for each pivot.
 SAMPLE = 64
+#: Bytes of them that come to the driver at most.
+SAMPLE_BYTES = 128 << 20
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -253,8 +255,8 @@ def nearest(vectors: DataFrame, queries, k: int = 20, factor: float = FACTOR, id
     other; rows that repeat an id are candidates each, of one id the nearest counts once; a table without vectors gives no
     rows; other columns are not read. Shards hold about `shard_rows` vectors at every size, and a shard's tree is all that a
     task holds; queries stream by. What comes to the driver is
-    a sample of SAMPLE vectors for each pivot, of which there are about the square root of the number of shards, and a radius for
-    each."""
+    a sample of SAMPLE vectors for each pivot, of which there are about the square root of the number of shards, or of SAMPLE_BYTES if that
+    is less, and a radius for each."""
     bounded(vectors.sparkSession)
     rows = clean(vectors, id_col, column).withColumn("width", F.size("v"))
     square = F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
@@ -262,15 +264,16 @@ def nearest(vectors: DataFrame, queries, k: int = 20, factor: float = FACTOR, id
     sizes = stored(sizes.withColumn("cells", F.ceil(F.sqrt(F.ceil(F.col("n") / shard_rows)))))
     many = sizes.filter("cells > 1")
     # pivots are chosen from a sample by hash, of at most SAMPLE vectors for each
-    some = rows.join(many, "width").filter(F.pmod(F.xxhash64("id", "v"), F.ceil(F.col("n") / (F.col("cells") * SAMPLE))) == 0)
-    nth = F.row_number().over(Window.partitionBy("width").orderBy(F.xxhash64("v", "id"), "id"))
-    points: dict[int, list] = {}
-    longest: dict[int, float] = {}
-    wanted: dict[int, int] = {}
-    for r in some.withColumn("nth", nth).filter(F.col("nth") <= F.col("cells") * SAMPLE).select("width", "longest", "cells", "v").collect():
-        points.setdefault(r.width, []).append(r.v)
-        longest[r.width], wanted[r.width] = r.longest, r.cells
-    pivots = {w: _spread(np.array(x), longest[w], wanted[w]) for w, x in points.items()}
+    wanted = {r.width: r for r in many.collect()}  # a row for each length of vectors
+    longest = {w: r.longest for w, r in wanted.items()}
+    pivots = {}
+    for w, r in wanted.items():
+        most = r.cells * min(SAMPLE, max(1, SAMPLE_BYTES // (8 * w * r.cells)))
+        some = rows.filter((F.col("width") == w) & (F.pmod(F.xxhash64("id", "v"), F.lit(-(-r.n // most))) == 0))
+        nth = F.row_number().over(Window.partitionBy("width").orderBy(F.xxhash64("v", "id"), "id"))
+        points = some.withColumn("nth", nth).filter(F.col("nth") <= most).select("v").toArrow().column("v").combine_chunks()
+        if len(points):
+            pivots[w] = _spread(points.flatten().to_numpy().reshape(-1, w), r.longest, r.cells)
     assigned = stored(_assigned(rows, pivots, longest))
     cells = stored(assigned.groupBy("width", "cell").agg(F.max("away").alias("radius"), F.ceil(F.count("*") / shard_rows).alias("parts")))
     radius = {w: np.full(len(x), -np.inf) for w, x in pivots.items()}
