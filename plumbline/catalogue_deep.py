@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalogue import VOTES, ballots, query, table
 from .catalogue_more import scratch
-from .functions import response
+from .functions import response, tokens
 from .operators import cluster, compare, lookup, pairs, prompts, search, sketch, vote
 from .sources import blocks, cache
 
@@ -199,3 +199,13 @@ def vote_prompts(spark, sf):
     lines = ballots(spark, sf).withColumn("sql", F.concat(F.lit("q"), F.col("pos").cast("string")))
     results = lines.filter("pos % 2 = 1").select("question_id", "sql", F.concat("result", F.col("pos").cast("string")).alias("shown"))
     return vote.top2_for_prompt(vote.majority(lines), results).select("question_id", "sql1", "sql2", "shown1", "shown2")
+
+
+#: A tokenizer file whose tokens SQL can count: words, and runs of other signs.
+SPLITTER = b'{"version": "1.0", "truncation": null, "padding": null, "added_tokens": [], "normalizer": null, "pre_tokenizer": {"type": "Whitespace"}, "post_processor": null, "decoder": null, "model": {"type": "WordLevel", "vocab": {"[UNK]": 0}, "unk_token": "[UNK]"}}'
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{M}\p{N}_]+|[^\s\p{L}\p{M}\p{N}_]+'))::INT AS n_tokens FROM documents")
+def token_lengths(spark, sf):
+    """Whole texts' lengths by a tokenizer that is plugged in."""
+    return table(spark, sf, "documents").select("doc_id", tokens.counter(SPLITTER)(F.col("text")).alias("n_tokens"))

@@ -22,11 +22,10 @@ def _tokenizer(data: bytes):
     return out
 
 
-def counter(file: str) -> Callable[[Column], Column]:
+def counter(file: str | bytes) -> Callable[[Column], Column]:
     """A function of a Column, for cascade.Rules.tokens: how many tokens the tokenizer of a `tokenizers` file makes of a text, without
-    special ones; 0 for a null. The file is read here and goes with the tasks."""
-    with open(file, "rb") as f:
-        data = f.read()
+    special ones; 0 for a null. The file, or its bytes, are read here and go with the tasks."""
+    data = file if isinstance(file, bytes) else open(file, "rb").read()
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
