@@ -8,11 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalogue import _views, query, scored, table
+from .catalogue import EVALS, _views, judged_files, query, scored, table
 from .functions import response, text
 from .operators import cascade, linking, pairs, profile, vote
 from .plans import distance, execute
-from .sources import catalog, readers, writers
+from .sources import catalog, evalfiles, readers, writers
 
 STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
@@ -206,25 +206,40 @@ def items_read(spark, sf):
 
 
 def _candidate_files(spark, sf) -> str:
-    folder = scratch(spark)
-    for r in table(spark, sf, "nation").collect():  # a file for each nation, 25 at every size
-        put(spark, f"{folder}/{r.n_nationkey}_x.json", f'[{{"all_sqls": [" SELECT {r.n_regionkey} ", "", null, "SELECT 2"]}}, {{"all_sqls": ["SELECT {r.n_regionkey}"]}}]')
-        put(spark, f"{folder}/{r.n_nationkey}_x_ast.json", "[]")
-    put(spark, f"{folder}/notes.json", "{}")
+    """A folder of candidate files, two records for each supplier, with files of trees and others among them; tasks write them."""
+    s = table(spark, sf, "supplier")
+    key, of = F.col("s_suppkey").cast("string"), F.concat(F.lit("SELECT "), F.col("s_nationkey").cast("string"))
+    first = F.struct(F.array(F.concat(F.lit(" "), of, F.lit(" ")), F.lit(""), F.lit(None).cast("string"), F.lit("SELECT 2")).alias("all_sqls"))
+    value = F.to_json(F.array(first, F.struct(F.array(of).alias("all_sqls"))), {"ignoreNullFields": "false"})
+    one = lambda name, v: F.struct(name.alias("name"), v.alias("value"))
+    files = s.select(F.explode(F.array(one(F.concat(key, F.lit("_x.json")), value), one(F.concat(key, F.lit("_x_ast.json")), F.lit("[]")), one(F.concat(F.lit("notes"), key, F.lit(".json")), F.lit("{}")))).alias("f"))
+    writers.named_files(files.select("f.*"), folder := scratch(spark))
     return folder
 
 
-@query("SELECT n_nationkey::BIGINT AS sample_id, n_nationkey || '_x.json' AS name FROM nation ORDER BY 1 LIMIT 7")
+@query("SELECT s_suppkey AS sample_id, s_suppkey || '_x.json' AS name FROM supplier ORDER BY 1 LIMIT 7")
 def sample_files(spark, sf):
     return readers.sample_files(spark, _candidate_files(spark, sf), 7).select("sample_id", "name")
 
 
-@query("SELECT n_nationkey::BIGINT AS sample_id, n_nationkey || '_x.json' AS file, unnest([0, 0, 1])::BIGINT AS record_index, unnest([0, 3, 0])::BIGINT AS sql_index, unnest(['SELECT ' || n_regionkey, 'SELECT 2', 'SELECT ' || n_regionkey]) AS sql FROM nation")
+@query("SELECT s_suppkey AS sample_id, s_suppkey || '_x.json' AS file, unnest([0, 0, 1])::BIGINT AS record_index, unnest([0, 3, 0])::BIGINT AS sql_index, unnest(['SELECT ' || s_nationkey, 'SELECT 2', 'SELECT ' || s_nationkey]) AS sql FROM supplier")
 def candidates_read(spark, sf):
     found = readers.candidates(spark, _candidate_files(spark, sf))
     return found.select("sample_id", "file", F.col("record_index").cast("long").alias("record_index"), F.col("sql_index").cast("long").alias("sql_index"), "sql")
 
 
+@query(f"WITH {EVALS} SELECT sid AS sample_id, sid || '_x_eval.json' AS name, set_name, count(*) AS records, string_agg(sql, ';' ORDER BY record_index) AS sqls FROM r GROUP BY ALL")
+def eval_files_discovered(spark, sf):
+    """Files of judged candidates, one for each sample among others, written by tasks, discovered and read."""
+    made = judged_files(spark, sf).select(F.col("file").alias("name"), "value")
+    noise = made.select(F.regexp_replace("name", "_eval", "_ast").alias("name"), "value").unionAll(made.select(F.concat(F.lit("x"), "name"), F.lit("{")))
+    writers.named_files(made.unionAll(noise), folder := scratch(spark))
+    found = evalfiles.eval_files(spark, folder).select("sample_id", "name")
+    records = evalfiles.eval_records(evalfiles.eval_texts(spark, folder))
+    sets = records.groupBy("file", "set_name").agg(F.count("*").alias("records"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("record_index", "sql"))), lambda x: x["sql"]), ";").alias("sqls"))
+    return found.join(sets, F.col("file") == F.col("name")).select("sample_id", "name", "set_name", "records", "sqls")
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def json_lines_written(spark, sf):
     """Whole texts as JSON lines and back, strictly."""

@@ -196,3 +196,15 @@ def test_gold_that_fails_late(spark):
     slow = "SELECT sum(sqrt(id) % 7) AS s FROM range(100000000000)"
     got = {r.case_id: (r.status, r.is_correct) for r in execute.verdicts(spark, [(1, slow, fine), (2, fine, slow.replace("s FROM", "z FROM"))], timeout=6.0, at_once=1).collect()}
     assert got == {1: ("gold_error", None), 2: ("timeout", False)}
+
+
+def test_files_of_given_names(spark, tmp_path):
+    rows = [(f"{i}_x_eval.json", f'{{"é": {i}}}') for i in range(20)] + [("empty.json", None)]
+    df = spark.createDataFrame(rows, "name string, value string").repartition(3)
+    for folder in (f"file://{tmp_path}/a", str(tmp_path / "b")):
+        assert writers.named_files(df, folder) == writers.named_files(df, folder) == 21  # again: the same files
+    for sub in "ab":
+        assert {p.name: p.read_text(encoding="utf-8") for p in (tmp_path / sub).iterdir() if not p.name.endswith(".crc")} == {n: v or "" for n, v in rows}
+    assert writers.named_files(df.limit(0), str(tmp_path / "none")) == 0
+    with pytest.raises(Exception, match="no name for a file"):
+        writers.named_files(spark.createDataFrame([("a/b", "x")], "name string, value string"), str(tmp_path / "c"))
