@@ -60,7 +60,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_number, value) of text files, lines counted from 1 in each file, blank ones too.
 
     Each block's lines are counted where they are read; the counts of a file's earlier blocks make its lines' numbers. A file
-    is read twice and by as many tasks as it has blocks."""
+    is read by as many tasks as it has blocks, three times: to see how many blocks there are, for their counts, and for its lines."""
     lines = _pieces(spark, path)
     blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n")).withColumn("earlier", _before(F.col("n"))).drop("n")
     rows = _beside(lines.mapInArrow(_placed, "file string, block long, value string, place long"), blocks)
