@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalogue import VOTES, ballots, query, table
-from .catalogue_more import scratch
 from .functions import response, tokens
 from .operators import cluster, compare, lookup, pairs, prompts, search, sketch, vote
 from .sources import blocks, cache
+from .sources.shared import scratch
 
 # ---- top pairs
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,20 +10,11 @@ from .functions import response, text
 from .operators import cascade, linking, pairs, profile, vote
 from .plans import distance, execute
 from .sources import catalog, evalfiles, readers, writers
+from .sources.shared import scratch
 
 STRIPPED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; a temporary one only in a session of one machine that names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="plumbline-")
-    return f"{named.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
-
-
 def put(spark: SparkSession, path: str, value: str) -> None:
     """Writes a small file of a given name, wherever Spark can write."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,18 +9,18 @@ import time
 import uuid
 from collections.abc import Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import InheritableThread, StorageLevel, TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import error_kind
 from ..operators.compare import bag_equal, set_equal, strict_equal
+from ..sources.shared import delete, scratch
 
 TIMEOUT = 30.0
 
@@ -78,38 +78,38 @@ def executable(spark: SparkSession, sql: str) -> str | None:
     return None
 
 
-def _placed(df: DataFrame) -> DataFrame:
-    """Rows with their place in the result's order, which no key tells: rows of a partition are counted in batches, after those of
-    the partitions before. The result is kept on disk, so that both readings are of one execution; the caller unpersists it."""
-    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).persist(StorageLevel.DISK_ONLY)
-
-    def count(batches):
-        yield pa.RecordBatch.from_pydict({"p": [TaskContext.get().partitionId()], "n": [sum(b.num_rows for b in batches)]})
-
-    sizes = sorted(tuple(r) for r in flat.mapInArrow(count, "p long, n long").collect())  # a row for each partition
-    starts = dict(zip([p for p, _ in sizes], accumulate([n for _, n in sizes], initial=0), strict=False))
+def _placed(df: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with __place, their place in the result's order, which no key tells: that of their partition, then that within it. The
+    result is written once to the shared folder with both, so that no lost executor can bring another order; and where it lies."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    odd = (T.NullType, T.CalendarIntervalType)  # what Parquet doesn't hold
+    flat = flat.select(*[F.col(f.name).cast("string").alias(f.name) if isinstance(f.dataType, odd) else F.col(f.name) for f in flat.schema])
 
     def place(batches):
-        at = starts[TaskContext.get().partitionId()]
+        part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(at, at + b.num_rows), pa.int64())], [*b.schema.names, "__place"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int64()), pa.array(range(at, at + b.num_rows), pa.int64())], [*b.schema.names, "__part", "__at"])
             at += b.num_rows
 
-    out = flat.mapInArrow(place, T.StructType([*flat.schema.fields, T.StructField("__place", T.LongType())]))
-    out._plumbline_held = flat
-    return out
+    placed = flat.mapInArrow(place, T.StructType([*flat.schema.fields, T.StructField("__part", T.LongType()), T.StructField("__at", T.LongType())]))
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path)
+    sizes = rows.groupBy("__part").agg((F.max("__at") + 1).alias("__n"))  # a row for each partition
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return rows.join(F.broadcast(before), "__part").withColumn("__place", F.col("__at") + F.col("__before")).drop("__part", "__at", "__before"), path
 
 
 def _same(gold: DataFrame, pred: DataFrame, mode: str, empty_matches: bool) -> bool:
     if len(gold.columns) != len(pred.columns):
         return False
     if mode == "strict":
-        sides = _placed(gold), _placed(pred)
+        (left, a), (right, b) = _placed(gold), _placed(pred)
         try:
-            return bool(strict_equal(*sides, "__place").first()["equal"])
+            return bool(strict_equal(left, right, "__place").first()["equal"])
         finally:
-            for x in sides:
-                x._plumbline_held.unpersist()
+            for path in (a, b):
+                delete(gold.sparkSession, path)
     if mode == "set" and not empty_matches and gold.isEmpty():
         return False
     return bool({"bag": bag_equal, "set": set_equal}[mode](gold, pred).first()["equal"])
