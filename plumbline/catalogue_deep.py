@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalogue import VOTES, ballots, query, table
 from .functions import response, tokens
 from .operators import cluster, compare, lookup, pairs, prompts, search, sketch, vote
-from .sources import blocks, cache
+from .sources import blocks, cache, readers
 from .sources.shared import scratch
 
 # ---- top pairs
@@ -209,3 +209,37 @@ SPLITTER = b'{"version": "1.0", "truncation": null, "padding": null, "added_toke
 def token_lengths(spark, sf):
     """Whole texts' lengths by a tokenizer that is plugged in."""
     return table(spark, sf, "documents").select("doc_id", tokens.counter(SPLITTER)(F.col("text")).alias("n_tokens"))
+
+
+# ---- items and schema metadata from long arrays
+
+def _arrays(spark, rows) -> str:
+    """Writes (part, order, value) as one JSON array for each part, elements in order."""
+    first = F.col("order") == F.min("order").over(Window.partitionBy("part"))
+    lines = rows.select("part", "order", F.concat(F.when(first, "[").otherwise(","), "value").alias("value"))
+    ends = rows.groupBy("part").agg((F.max("order") + 1).alias("order")).withColumn("value", F.lit("]"))
+    lines.unionAll(ends).repartition("part").sortWithinPartitions("part", "order").select("part", "value").write.partitionBy("part").text(path := scratch(spark))
+    return path
+
+
+@query("SELECT row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS sample_id, c_mktsegment AS db_id, c_name AS question, 'SELECT ' || c_custkey AS sql, 'none' AS difficulty FROM customer")
+def items_by_place(spark, sf):
+    """Items of each market segment, written as a JSON array, read by many tasks and numbered by place."""
+    query_ = F.concat(F.lit("SELECT "), F.col("c_custkey").cast("string"))
+    one = F.struct(F.col("c_mktsegment").alias("db_id"), F.col("c_name").alias("question"), F.when(F.col("c_custkey") % 2 == 0, query_).alias("SQL"), F.when(F.col("c_custkey") % 2 == 1, query_).alias("query"), F.lit("none").alias("difficulty"))
+    rows = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("part"), F.col("c_custkey").alias("order"), F.to_json(one).alias("value"))
+    return readers.items(spark, _arrays(spark, rows)).select("sample_id", "db_id", "question", F.col("SQL").alias("sql"), "difficulty")
+
+
+@query("SELECT 'c' || o_custkey AS db_id, 'o' || o_orderkey AS table_name, unnest(['id', o_orderpriority]) AS column_name, unnest(['NUMBER', 'TEXT']) AS col_type, unnest([true, false]) AS is_pk FROM orders")
+def metadata_read(spark, sf):
+    """Schema metadata of a database for each customer, whose orders are its tables, read from JSON arrays."""
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("a"))
+    name = lambda x: F.concat(F.lit("o"), x["o_orderkey"].cast("string"))
+    column = lambda x, i: F.array(F.array(i.cast("string"), F.lit("id")), F.array(i.cast("string"), x["o_orderpriority"]))
+    meta = F.struct(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("db_id"), F.transform("a", name).alias("table_names_original"), F.concat(F.array(F.array(F.lit("-1"), F.lit("*"))), F.flatten(F.transform("a", column))).alias("column_names_original"),
+        F.concat(F.array(F.lit("text")), F.flatten(F.transform("a", lambda x: F.array(F.lit("number"), F.lit("text"))))).alias("column_types"), F.transform("a", lambda x, i: i * 2 + 1).alias("primary_keys"), F.array().cast("array<array<int>>").alias("foreign_keys"),
+    )
+    rows = o.select((F.col("o_custkey") % 8).alias("part"), F.col("o_custkey").alias("order"), F.to_json(meta).alias("value"))
+    return readers.catalog_columns(readers.metadata(spark, _arrays(spark, rows))).select("db_id", "table_name", "column_name", "col_type", "is_pk")
