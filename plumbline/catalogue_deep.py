@@ -243,3 +243,16 @@ def metadata_read(spark, sf):
     )
     rows = o.select((F.col("o_custkey") % 8).alias("part"), F.col("o_custkey").alias("order"), F.to_json(meta).alias("value"))
     return readers.catalog_columns(readers.metadata(spark, _arrays(spark, rows))).select("db_id", "table_name", "column_name", "col_type", "is_pk")
+
+
+@query(r"""WITH p AS (SELECT (conv_id * 1000 + turn)::VARCHAR AS id, regexp_replace(text, '\s+$', '') || chr(10) AS prompt, regexp_replace(role, '^\s+|\s+$', '', 'g') AS chosen FROM conversations)
+  SELECT id, md5(prompt) AS prompt, chosen, row_number() OVER (ORDER BY md5(id || ':7'), id) <= ceil(count(*) OVER () * 0.1::DOUBLE) AS held_out FROM p""")
+def cached_split(spark, sf):
+    """Preference pairs in files, split once; the second time the split is read as it was kept."""
+    rows = table(spark, sf, "conversations").select(F.concat("text", F.lit(" \n ")).alias("prompt"), F.concat(F.lit(" "), "role").alias("chosen"), F.lit("x").alias("rejected"), F.lit(0.5).alias("margin"), (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("sample_id"))
+    folder, kept = scratch(spark), scratch(spark)
+    rows.write.json(folder)
+    cache.kept_split(spark, folder, kept, 0.1, 7, key="sample_id")
+    train, held = cache.kept_split(spark, folder, kept, 0.1, 7, key="sample_id")
+    both = train.withColumn("held_out", F.lit(False)).unionAll(held.withColumn("held_out", F.lit(True)))
+    return both.select(F.col("sample_id").alias("id"), F.md5("prompt").alias("prompt"), "chosen", "held_out")

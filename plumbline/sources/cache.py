@@ -1,11 +1,16 @@
-"""Samples of many files that are kept: only files that have changed are read again."""
+"""What is kept of files as long as they do not change: samples of each, and a split of them all."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.augment import holdout
+from ..operators.compare import digest
 from ..operators.sketch import least_hashes, merged
+from .blocks import numbered_lines, strict_lines
 
 KEY = ["path", "length", "modified"]
 FILES = "path string, length long, modified timestamp"
@@ -54,3 +59,31 @@ def samples(spark: SparkSession, folder: str, cache: str, k: int = 64) -> DataFr
     """(column_name, hash, value): the bottom-k sketch of all files of a folder as they are now, from what refresh() has kept."""
     now = listed(spark, folder).join(_kept(spark, f"{cache}/sketches", SKETCHES), KEY)
     return merged(now.select("column_name", "hash", "value"), k)
+
+
+PAIR = "prompt string, chosen string, rejected string, margin double, sample_id string"
+
+
+def preference_rows(spark: SparkSession, path: str, schema: str = PAIR) -> DataFrame:
+    """Preference pairs of JSON lines, for training: blank lines skipped, the prompt's end one line feed, chosen and rejected texts
+    trimmed. Adds key, the line's file and number. A line that is no JSON is an error that names both."""
+    strict_lines(spark, path, schema)  # the check alone
+    lines = numbered_lines(spark, path).filter("length(trim(value)) > 0")
+    rows = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), F.concat_ws(":", "file", "line_number").alias("key")).select("r.*", "key")
+    space = lambda c: F.regexp_replace(F.coalesce(c, F.lit("None")), r"^\s+|\s+$", "")
+    return rows.withColumns({"prompt": F.concat(F.regexp_replace(F.coalesce("prompt", F.lit("None")), r"\s+$", ""), F.lit("\n")), "chosen": space(F.col("chosen")), "rejected": space(F.col("rejected"))})
+
+
+def kept_split(spark: SparkSession, path: str, cache: str, ratio: float = 0.05, seed: int = 42, schema: str = PAIR, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """(train, held out): preference_rows split by augment.holdout, kept under the files' names, sizes and times, the ratio, the seed, the
+    schema and the key.
+
+    The same files give the kept split again without being read; a file that changes gives another one. A split counts as
+    kept when it is wholly written."""
+    name, n = digest(listed(spark, path)).first(), hashlib.sha256(repr((ratio, seed, schema, key)).encode()).hexdigest()[:16]
+    folder = f"{cache}/split-{name.n}-{name.a or 0}-{name.b or 0}-{n}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        holdout(preference_rows(spark, path, schema), ratio, seed, key).write.mode("overwrite").parquet(folder)
+    kept = spark.read.schema(f"{schema}, key string, held_out boolean").parquet(folder)
+    return kept.filter("not held_out").drop("held_out"), kept.filter("held_out").drop("held_out")

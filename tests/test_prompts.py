@@ -3,6 +3,7 @@
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import prompts, sketch
@@ -59,3 +60,21 @@ def test_a_cache_of_nothing(spark, tmp_path):
     assert cache.refresh(spark, str(tmp_path / "in"), f"file://{tmp_path}/kept", "a string") == 0
     assert cache.samples(spark, str(tmp_path / "in"), f"file://{tmp_path}/kept").collect() == []
     assert prompts.question_text(F.lit("q"), None) is not None
+
+
+def test_a_split_is_kept_until_a_file_changes(spark, tmp_path):
+    folder, kept = tmp_path / "in", f"file://{tmp_path}/kept"
+    folder.mkdir()
+    line = lambda i: f'{{"prompt": "p{i} \\n", "chosen": " a ", "rejected": "b\\t", "margin": {i}}}\n'
+    (folder / "a.jsonl").write_text("".join(map(line, range(20))) + "\n  \n")
+    train, held = cache.kept_split(spark, str(folder), kept, 0.2)
+    assert (train.count(), held.count()) == (16, 4) and {(r.chosen, r.rejected) for r in train.collect()} == {("a", "b")} and all(r.prompt == f"p{int(r.margin)}\n" for r in train.collect())
+    was = sorted(r.prompt for r in held.collect())
+    made = sorted(os.listdir(tmp_path / "kept"))
+    assert sorted(r.prompt for r in cache.kept_split(spark, str(folder), kept, 0.2)[1].collect()) == was and sorted(os.listdir(tmp_path / "kept")) == made
+    assert cache.kept_split(spark, str(folder), kept, 0.5)[1].count() == 10
+    (folder / "a.jsonl").write_text("".join(map(line, range(30))))
+    assert [x.count() for x in cache.kept_split(spark, str(folder), kept, 0.2)] == [24, 6]
+    (folder / "b.jsonl").write_text(line(1) + "{broken\n")
+    with pytest.raises(ValueError, match=r"b\.jsonl:2"):
+        cache.kept_split(spark, str(folder), kept, 0.2)
