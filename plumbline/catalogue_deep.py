@@ -136,10 +136,10 @@ def bad_line_numbers(spark, sf):
 def json_array_elements(spark, sf):
     """Events as one JSON array for each type, read by place."""
     events = table(spark, sf, "events")
-    first = F.col("event_id") == F.min("event_id").over(Window.partitionBy("event_type"))
-    rows = events.select("event_type", F.col("event_id").alias("order"), F.concat(F.when(first, "[").otherwise(","), _event(False)).alias("value"))
-    ends = events.groupBy("event_type").agg((F.max("event_id") + 1).alias("order")).withColumn("value", F.lit("]"))
-    found = blocks.json_elements(spark, _event_files(spark, sf, rows.unionAll(ends)))
+    whole = Window.partitionBy("event_type")
+    ends = F.when(F.col("event_id") == F.min("event_id").over(whole), "[").otherwise(""), F.when(F.col("event_id") == F.max("event_id").over(whole), "]").otherwise(",")
+    rows = events.select("event_type", F.col("event_id").alias("order"), F.concat(ends[0], _event(False), ends[1]).alias("value"))
+    found = blocks.json_elements(spark, _event_files(spark, sf, rows))
     return found.select("file", "place", F.from_json("value", "event_id long, value double, props string").alias("x")).select("x.event_id", F.regexp_extract("file", "event_type=([^/]*)/", 1).alias("event_type"), "place", "x.props", "x.value")
 
 
@@ -215,10 +215,10 @@ def token_lengths(spark, sf):
 
 def _arrays(spark, rows) -> str:
     """Writes (part, order, value) as one JSON array for each part, elements in order."""
-    first = F.col("order") == F.min("order").over(Window.partitionBy("part"))
-    lines = rows.select("part", "order", F.concat(F.when(first, "[").otherwise(","), "value").alias("value"))
-    ends = rows.groupBy("part").agg((F.max("order") + 1).alias("order")).withColumn("value", F.lit("]"))
-    lines.unionAll(ends).repartition("part").sortWithinPartitions("part", "order").select("part", "value").write.partitionBy("part").text(path := scratch(spark))
+    whole = Window.partitionBy("part")
+    ends = F.when(F.col("order") == F.min("order").over(whole), "[").otherwise(""), F.when(F.col("order") == F.max("order").over(whole), "]").otherwise(",")
+    lines = rows.select("part", "order", F.concat(ends[0], "value", ends[1]).alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "order").select("part", "value").write.partitionBy("part").text(path := scratch(spark))
     return path
 
 
