@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete, scratch
+
 #: Counters that a task keeps, and candidates that are counted exactly at most.
 COUNTERS, CANDIDATES = 2_000, 100_000
 
@@ -30,12 +32,15 @@ def _counted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array([None, *kept], kind), pa.array([lost, *[0] * len(kept)], pa.int64()), pa.array([0, *kept.values()], pa.int64()), pa.array([True, *[False] * len(kept)])], ["value", "lost", "n", "sum"])
 
 
-def heavy_candidates(df: DataFrame, column: str, counters: int = COUNTERS) -> tuple[DataFrame, int]:
-    """(value, least) and what all tasks have lost: a value occurs between least and least + lost times; others at most lost times."""
-    kind = df.schema[column].dataType.simpleString()
-    found = df.select(F.col(column).alias("value")).mapInArrow(lambda b: _counted(b, counters), f"value {kind}, lost long, n long, sum boolean")
+def heavy_candidates(df: DataFrame, column: str, counters: int = COUNTERS) -> tuple[DataFrame, int, str]:
+    """(value, least), what all tasks have lost, and where the counters lie that tasks have written: a value occurs between least and
+    least + lost times; others at most lost times."""
+    kind, spark = df.schema[column].dataType.simpleString(), df.sparkSession
+    schema = f"value {kind}, lost long, n long, sum boolean"
+    df.select(F.col(column).alias("value")).mapInArrow(lambda b: _counted(b, counters), schema).write.parquet(path := scratch(spark))
+    found = spark.read.schema(schema).parquet(path)
     lost = found.agg(F.coalesce(F.sum("lost"), F.lit(0))).first()[0]
-    return found.filter("not sum").groupBy("value").agg(F.sum("n").alias("least")), lost
+    return found.filter("not sum").groupBy("value").agg(F.sum("n").alias("least")), lost, path
 
 
 def top_values(df: DataFrame, column: str, n: int = 100, counters: int = COUNTERS, candidates: int = CANDIDATES) -> DataFrame:
@@ -43,20 +48,24 @@ def top_values(df: DataFrame, column: str, n: int = 100, counters: int = COUNTER
 
     Two passes: tasks keep `counters` values each, and what these sums prove to be possible winners is counted exactly. Where
     they prove nothing (values about as frequent as each other, over `candidates` of them possible) all values are counted. The
-    first pass runs at once, and only its totals come to the driver."""
+    first pass runs at once; its totals and at most `candidates` values come to the driver."""
     from .profile import top_values as all_counted
 
     if n <= 0:
         return all_counted(df, column, n)
-    found, lost = heavy_candidates(df, column, counters)
-    least = found.orderBy(F.desc("least")).limit(n).agg(F.min("least"), F.count("*")).first()
-    bound = least[0] if least[1] == n else 0  # n values occur as often as that
-    if lost and lost >= bound:
-        return all_counted(df, column, n)
-    possible = found.filter(F.col("least") + lost >= bound).select(F.col("value").alias("__v"))
-    if possible.limit(candidates + 1).count() > candidates:
+    found, lost, path = heavy_candidates(df, column, counters)
+    try:
+        least = found.orderBy(F.desc("least")).limit(n).agg(F.min("least"), F.count("*")).first()
+        bound = least[0] if least[1] == n else 0  # n values occur as often as that
+        if lost and lost >= bound:
+            return all_counted(df, column, n)
+        possible = found.filter(F.col("least") + lost >= bound).select(F.col("value").alias("__v")).limit(candidates + 1).toArrow()
+    finally:
+        delete(df.sparkSession, path)
+    if possible.num_rows > candidates:
         return all_counted(df, column, n)
-    rows = df.select(F.col(column).alias("value")).join(F.broadcast(possible), F.col("value").eqNullSafe(F.col("__v")), "left_semi")
+    some = df.sparkSession.createDataFrame(possible, df.select(F.col(column).alias("__v")).schema)
+    rows = df.select(F.col(column).alias("value")).join(F.broadcast(some), F.col("value").eqNullSafe(F.col("__v")), "left_semi")
     return all_counted(rows, "value", n)
 
 

@@ -24,12 +24,12 @@ def test_frequent_values_are_those_of_all_values(spark, n, counters, skewed):
 def test_candidates_bound_what_is_lost(spark):
     rng = random.Random(5)
     values = [int(rng.paretovariate(0.7)) for _ in range(5000)]
-    found, lost = sketch.heavy_candidates(frame(spark, values, "long").repartition(4), "v", 10)
+    found, lost, _ = sketch.heavy_candidates(frame(spark, values, "long").repartition(4), "v", 10)
     counts, least = Counter(values), {r.value: r.least for r in found.collect()}
     assert lost > 0 and all(least[v] <= counts[v] <= least[v] + lost for v in least) and all(counts[v] <= lost for v in counts if v not in least)
     # a value of a third of all rows is proven, so that all values are not counted
     hot = frame(spark, [*values, *[-1] * 2500, *[-2] * 2400], "long")
-    found, lost = sketch.heavy_candidates(hot, "v", 200)
+    found, lost, _ = sketch.heavy_candidates(hot, "v", 200)
     assert {r.value for r in found.filter(F.col("least") > lost).collect()} >= {-1, -2}
     assert [r.value for r in sketch.top_values(hot, "v", 2, 200).collect()] == [r.value for r in profile.top_values(hot, "v", 2).collect()]
 
