@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -13,23 +14,37 @@ from ..sources.shared import delete, scratch
 
 #: Counters that a task keeps, and candidates that are counted exactly at most.
 COUNTERS, CANDIDATES = 2_000, 100_000
+#: Values that a task counts at once.
+ROWS = 200_000
 
 
 def _counted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Misra-Gries over a task's values: what is left of `most` counters, and of how many each may have lost."""
-    kept: dict = {}
-    lost, kind = 0, None
+    """Misra-Gries over a task's values: what is left of `most` counters, and how many each may have lost. Counts of ROWS values are
+    added at once."""
+    held, rows, lost, kind = [], 0, 0, None
+
+    def merged_counts() -> pa.Table:
+        nonlocal lost
+        found = pa.concat_tables(held).group_by("v").aggregate([("n", "sum")]).rename_columns(["v", "n"])
+        n = found.column("n").to_numpy()
+        if len(n) <= most:
+            return found
+        cut = int(np.partition(n, len(n) - most - 1)[len(n) - most - 1])
+        lost += cut
+        stay = n > cut
+        return pa.table([found.column("v").filter(pa.array(stay)), pa.array(n[stay] - cut, pa.int64())], ["v", "n"])
+
     for batch in batches:
-        column = batch.column(0)
-        kind = column.type
-        for x in pc.value_counts(column).to_pylist():
-            kept[x["values"]] = kept.get(x["values"], 0) + x["counts"]
-        if len(kept) > most:
-            cut = sorted(kept.values(), reverse=True)[most]
-            lost += cut
-            kept = {v: n - cut for v, n in kept.items() if n > cut}
+        kind = batch.column(0).type
+        held.append(pa.table([batch.column(0), pa.array(np.ones(batch.num_rows, np.int64))], ["v", "n"]))
+        rows += batch.num_rows
+        if rows >= ROWS:
+            held, rows = [merged_counts()], 0
     if kind is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([None, *kept], kind), pa.array([lost, *[0] * len(kept)], pa.int64()), pa.array([0, *kept.values()], pa.int64()), pa.array([True, *[False] * len(kept)])], ["value", "lost", "n", "sum"])
+        kept = merged_counts()
+        m = kept.num_rows
+        values = pa.concat_arrays([pa.nulls(1, kind), *kept.column("v").chunks])
+        yield pa.RecordBatch.from_arrays([values, pa.array([lost, *[0] * m], pa.int64()), pa.array([0, *kept.column("n").to_pylist()], pa.int64()), pa.array([True, *[False] * m])], ["value", "lost", "n", "sum"])
 
 
 def heavy_candidates(df: DataFrame, column: str, counters: int = COUNTERS) -> tuple[DataFrame, int, str]:
