@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -152,28 +154,34 @@ def merge_prompt(question: Column, candidates: Column, schema: Column) -> Column
     return F.concat(F.lit("Database Schema:\n"), schema, F.lit("\n\nQuestion:\n"), question, F.lit("\n\nCandidate queries:\n"), listed, F.lit("\n\nReturn one query."))
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), the value computed once for a row: a Column that lambdas name is otherwise computed again for each of their elements."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def pruned_ddl(ddl: Column, tables: Column, columns: Column | None = None) -> Column:
     """CREATE TABLE text with the wanted tables alone (names, any case); all of it if none is found or none is wanted.
 
     With columns, map<string, array<string>> from lower-case table names, a table's lines stay that open or close it, declare
     keys, hold no comma, or declare a wanted column; a table without wanted columns stays whole."""
     mark = "CREATE TABLE "
-    parts = F.filter(F.split(ddl, mark), lambda p: F.contains(p, F.lit("(")))
     name = lambda p: F.lower(F.regexp_replace(F.trim(F.substring_index(p, "(", 1)), '[`"]', ""))
-    wanted = F.transform(tables, lambda t: F.lower(t))
-    kept = F.filter(parts, lambda p: F.array_contains(wanted, name(p)))
-    if columns is not None:
-
-        def slim(part):
-            need = F.transform(F.try_element_at(columns, name(part)), lambda c: F.lower(c))
-            lines = F.split(part, "\n")
-            own = lambda x: F.lower(F.regexp_extract(x, r"^\s*(?:`([^`]*)`|\"([^\"]*)\"|(\S+))", 0))
-            bare = lambda x: F.regexp_replace(F.trim(own(x)), '[`"]', "")
-            keep = lambda x, i: (i == 0) | (i == F.size(lines) - 1) | F.contains(F.upper(x), F.lit("PRIMARY KEY")) | F.contains(F.upper(x), F.lit("FOREIGN KEY")) | ~F.contains(x, F.lit(",")) | F.array_contains(need, bare(x))
-            return F.when(F.coalesce(F.size(need), F.lit(0)) > 0, F.array_join(F.filter(lines, keep), "\n")).otherwise(part)
-
-        kept = F.transform(kept, slim)
-    return F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, F.concat(F.lit(mark), F.array_join(kept, mark))).otherwise(ddl)
+    own = lambda x: F.lower(F.regexp_extract(x, r"^\s*(?:`([^`]*)`|\"([^\"]*)\"|(\S+))", 0))
+    bare = lambda x: F.regexp_replace(F.trim(own(x)), '[`"]', "")
+
+    def slim(part, need, lines):
+        keep = lambda x, i: (i == 0) | (i == F.size(lines) - 1) | F.contains(F.upper(x), F.lit("PRIMARY KEY")) | F.contains(F.upper(x), F.lit("FOREIGN KEY")) | ~F.contains(x, F.lit(",")) | F.array_contains(need, bare(x))
+        return F.when(F.coalesce(F.size(need), F.lit(0)) > 0, F.array_join(F.filter(lines, keep), "\n")).otherwise(part)
+
+    def chosen(parts):
+        kept = once(F.transform(tables, lambda t: F.lower(t)), lambda wanted: F.filter(parts, lambda p: F.array_contains(wanted, name(p))))
+        if columns is None:
+            return kept
+        need = lambda known, p: F.transform(F.try_element_at(known, name(p)), lambda c: F.lower(c))
+        return once(columns, lambda known: F.transform(kept, lambda p: once(need(known, p), lambda n: once(F.split(p, "\n"), lambda lines: slim(p, n, lines)))))
+
+    parts = lambda d: F.filter(F.split(d, mark), lambda p: F.contains(p, F.lit("(")))
+    return once(ddl, lambda d: once(chosen(parts(d)), lambda k: F.when(F.coalesce(F.size(k), F.lit(0)) > 0, F.concat(F.lit(mark), F.array_join(k, mark))).otherwise(d)))
 
 
 def schema_sequence(tables: Column, keys: Column) -> Column:

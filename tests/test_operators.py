@@ -3,6 +3,7 @@
 import decimal
 import random
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +64,14 @@ def test_pruned_ddl(spark):
     assert one(spark, text.pruned_ddl(F.col("d"), F.array(F.lit("none"))), d=(ddl, "string")) == ddl
 
 
+def test_pruned_ddl_of_a_wide_table(spark):
+    """What belongs to a table is worked out once, not for each of its lines."""
+    ddl = "CREATE TABLE a (\n" + "".join(f" c{i} INT,\n" for i in range(5000)) + ")"
+    began = time.perf_counter()
+    cut = one(spark, text.pruned_ddl(F.col("d"), F.array(F.lit("a")), F.create_map(F.lit("a"), F.transform(F.sequence(F.lit(0), F.lit(4999), F.lit(5)), lambda i: F.concat(F.lit("C"), i)))), d=(ddl, "string"))
+    assert cut.count("\n") == 1001 and time.perf_counter() - began < 10
+
+
 def test_prompts(spark):
     full = one(spark, text.prompt(F.lit("q?"), F.lit("Table t(a)"), F.lit(" hint "), "SQLite"))
     assert "q?\nhint\n" in full and full.startswith("Write one SQLite")
