@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators.linking import merged_columns, penalty, restored_columns
 from ..operators.metrics import WEIGHTS, component_f1
-from .analysis import columns_used, components, lineage, normalize, tables_used, tree_for
+from .analysis import columns_used, components, lineage, qualified, simplify, tables_used, tree_for
+from .shapes import Filled, Memo, bare, marked, shape
 from .sqltree import Node, SqlError, parse, text_of
 
 
@@ -81,33 +83,102 @@ COMPONENTS = "struct<" + ",".join(f"{k}:array<string>" for k in WEIGHTS) + ">"
 SIDE = f"struct<parsed:boolean,normalized:string,components:{COMPONENTS},tables:array<string>,columns:array<string>>"
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all tasks: a table may be one file, or a shuffle's result few partitions, whose texts one task would read."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _catalog(c) -> tuple | None:
+    return None if c is None else tuple((k, tuple(v)) for k, v in dict(c).items())
+
+
+def _described(tree: Node | None, text: str | None, parity: bool) -> tuple:
+    if tree is None:
+        return False, (text or "").strip(), {k: [] for k in WEIGHTS}, [], []
+    return True, text_of(tree), components(tree), tables_used(tree, parity), columns_used(tree, parity)
+
+
+def _simplified(tree: Node, catalog: dict | None) -> Node:
+    return simplify(qualified(tree, catalog))
+
+
+class Describer:
+    """What described() says of a query; queries of one shape are read once."""
+
+    def __init__(self, parity: bool = True) -> None:
+        self.parity, self.shapes, self.texts = parity, Memo(), Memo()
+
+    def _shape(self, between, at, literals, catalog) -> tuple | None:
+        tree = marked(between, at, literals)
+        if tree is None:
+            return None
+        _, text, parts, tables, columns = _described(_simplified(tree, catalog and dict(catalog)), None, self.parity)
+        if any("\x01" in x for x in (*tables, *columns)):
+            return None
+        return Filled(text), {k: [Filled(x) for x in xs] for k, xs in parts.items()}, tables, columns
+
+    def __call__(self, text: str | None, catalog: tuple | None) -> tuple:
+        cut = shape(text)
+        if cut:
+            [between], at, literals = cut
+            made = self.shapes((between, at, tuple(x[0] == "'" for x in literals), catalog), lambda: self._shape(between, at, literals, catalog))
+            if made:
+                plain, parts, tables, columns = made
+                values = bare(literals)
+                low = [x.lower() for x in values]
+                return True, plain(values), {k: [x(low) for x in xs] for k, xs in parts.items()}, tables, columns
+        return self.texts((text, catalog), lambda: _described(tree_for(text, catalog and dict(catalog)), text, self.parity))
+
+
 def described(df: DataFrame, sql: str, into: str, catalog: str | None = None, parity: bool = True) -> DataFrame:
     """Adds a struct: whether the query parses, its normal form, components, tables and columns. catalog names a column
     map<string, array<string>> of the tables that its database has."""
 
     @F.pandas_udf(SIDE)
-    def describe(texts: pd.Series, known: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, c in zip(texts, known, strict=True):
-            c = {k: list(v) for k, v in dict(c).items()} if c is not None else None
-            tree = tree_for(text, c)
-            rows.append((tree is not None, normalize(text, c), components(tree) or {k: [] for k in WEIGHTS}, tables_used(tree, parity) if tree else [], columns_used(tree, parity) if tree else []))
-        return pd.DataFrame(rows, columns=["parsed", "normalized", "components", "tables", "columns"])
+    def describe(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        describer = Describer(parity)
+        for texts, known in batches:
+            yield pd.DataFrame([describer(t, _catalog(c)) for t, c in zip(texts, known, strict=True)], columns=["parsed", "normalized", "components", "tables", "columns"])
 
     known = F.col(catalog) if catalog else F.lit(None).cast("map<string,array<string>>")
-    return df.withColumn(into, describe(F.col(sql), known))
+    return _spread(df).withColumn(into, describe(F.col(sql), known))
+
+
+class Measurer:
+    """normalized_edits of two queries; pairs of one shape, with the same literals equal, are compared once."""
+
+    def __init__(self) -> None:
+        self.shapes, self.texts = Memo(), Memo()
+
+    def _shape(self, between, at, literals, catalog) -> float | None:
+        n = len(between[0]) - 1
+        trees = [marked(between[0], at[:n], literals), marked(between[1], at[n:], literals)]
+        if None in trees:
+            return None
+        return normalized_edits(*[_simplified(t, catalog and dict(catalog)) for t in trees])
+
+    def __call__(self, a: str | None, b: str | None, catalog: tuple | None) -> float:
+        cut = shape(a, b)
+        if cut:
+            between, at, literals = cut
+            made = self.shapes((*between, at, tuple(x[0] == "'" for x in literals), catalog), lambda: self._shape(between, at, literals, catalog))
+            if made is not None:
+                return made
+        c = catalog and dict(catalog)
+        return self.texts((a, b, catalog), lambda: normalized_edits(tree_for(a, c), tree_for(b, c)))
 
 
 def edit_distances(df: DataFrame, a: str, b: str, into: str = "ted", catalog: str | None = None) -> DataFrame:
     """Adds the normalised tree edit distance of two queries."""
 
     @F.pandas_udf("double")
-    def edits(x: pd.Series, y: pd.Series, known: pd.Series) -> pd.Series:
-        read = lambda c: {k: list(v) for k, v in dict(c).items()} if c is not None else None
-        return pd.Series([normalized_edits(tree_for(p, read(c)), tree_for(q, read(c))) for p, q, c in zip(x, y, known, strict=True)], dtype="float64")
+    def edits(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        measure = Measurer()
+        for x, y, known in batches:
+            yield pd.Series([measure(p, q, _catalog(c)) for p, q, c in zip(x, y, known, strict=True)], dtype="float64")
 
     known = F.col(catalog) if catalog else F.lit(None).cast("map<string,array<string>>")
-    return df.withColumn(into, edits(F.col(a), F.col(b), known))
+    return _spread(df).withColumn(into, edits(F.col(a), F.col(b), known))
 
 
 def distances(pairs: DataFrame, pred: str = "sql", gold: str = "gold_sql", catalog: str | None = None, weights: Weights = Weights(), parity: bool = True) -> DataFrame:  # noqa: B008
@@ -136,31 +207,70 @@ def distances(pairs: DataFrame, pred: str = "sql", gold: str = "gold_sql", catal
     return joined.drop("__c", *[f"__k{i}" for i in range(len(same) + 1)])
 
 
+class Reader:
+    """(normalized_sql, error) of a text; queries of one shape are read once."""
+
+    def __init__(self) -> None:
+        self.shapes, self.texts = Memo(), Memo()
+
+    def _one(self, text: str | None) -> tuple:
+        try:
+            return text_of(parse(text)), None
+        except SqlError as e:
+            return None, {"type": "SqlError", "message": str(e)}
+
+    def __call__(self, text: str | None) -> tuple:
+        cut = shape(text)
+        if cut:
+            [between], at, literals = cut
+            made = self.shapes((between, at, tuple(x[0] == "'" for x in literals)), lambda: (tree := marked(between, at, literals)) and Filled(text_of(tree)))
+            if made:
+                return made(bare(literals)), None
+        return self.texts(text, lambda: self._one(text))
+
+
 def parsed_records(df: DataFrame, sql: str = "sql") -> DataFrame:
-    """Adds normalized_sql, or error (type and message) where the text is no query. Each distinct text is parsed once."""
+    """Adds normalized_sql, or error (type and message) where the text is no query. Texts that a task has read lately are not parsed again."""
 
     @F.pandas_udf("struct<normalized_sql:string,error:struct<type:string,message:string>>")
-    def read(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            try:
-                rows.append((text_of(parse(t)), None))
-            except SqlError as e:
-                rows.append((None, {"type": "SqlError", "message": str(e)}))
-        return pd.DataFrame(rows, columns=["normalized_sql", "error"])
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        reader = Reader()
+        for texts in batches:
+            yield pd.DataFrame([reader(t) for t in texts], columns=["normalized_sql", "error"])
+
+    return _spread(df).withColumn("__p", read(F.col(sql))).select("*", "__p.*").drop("__p")
+
+
+class Tracer:
+    """Table and column of all that a query reads, in order; queries of one shape are read once."""
+
+    def __init__(self) -> None:
+        self.shapes, self.texts = Memo(), Memo()
+
+    def _one(self, text: str | None, catalog: tuple) -> list[dict]:
+        return [{"table_name": t, "column_name": c} for t, cs in lineage(text, dict(catalog)).items() for c in cs]
 
-    once = df.select(F.col(sql).alias("__s")).distinct().withColumn("__p", read("__s")).select("__s", "__p.*")
-    return df.join(once, df[sql].eqNullSafe(once["__s"]), "left").drop("__s")
+    def __call__(self, text: str | None, catalog: tuple) -> list[dict]:
+        cut = shape(text)
+        if cut:
+            [between], at, literals = cut
+            key = between, at, tuple(x[0] == "'" for x in literals), catalog
+            made = self.shapes(key, lambda: None if marked(between, at, literals) is None else self._one(text, catalog))
+            if made is not None:
+                return made
+        return self.texts((text, catalog), lambda: self._one(text, catalog))
 
 
 def lineage_rows(df: DataFrame, keys: list[str], sql: str, pos: str, catalog: str) -> DataFrame:
     """(keys, pos, table_name, column_name): what each query reads of its database's tables (catalog: map<string, array<string>>), in order."""
 
     @F.pandas_udf("array<struct<table_name:string,column_name:string>>")
-    def trace(texts: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series([[{"table_name": t, "column_name": c} for t, cs in lineage(s, {k: list(v) for k, v in dict(m or {}).items()}).items() for c in cs] for s, m in zip(texts, known, strict=True)])
+    def trace(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tracer = Tracer()
+        for texts, known in batches:
+            yield pd.Series([tracer(s, _catalog(m) or ()) for s, m in zip(texts, known, strict=True)])
 
-    rows = df.select(*keys, F.struct(F.col(pos).alias("p")).alias("at"), trace(F.col(sql), F.col(catalog)).alias("r"))
+    rows = _spread(df).select(*keys, F.struct(F.col(pos).alias("p")).alias("at"), trace(F.col(sql), F.col(catalog)).alias("r"))
     return rows.select(*keys, "at", F.posexplode("r").alias("i", "r")).select(*keys, F.struct("at.p", "i").alias("pos"), "r.table_name", "r.column_name")
 
 
