@@ -24,8 +24,9 @@ def containing(values: DataFrame, column: str, needles: DataFrame, needle_id: st
 
     profile.value_exists for many needles in one job. A needle is no pattern; an empty one is in every value; null needles and values
     are left out. Each needle is looked up by the rarest of its runs of three characters (a shorter needle is a run itself), and
-    what is in that list is verified. A frequent run is met by a join that adaptive execution can split."""
-    index = grams(values, column)
+    what is in that list is verified. A frequent run is met by a join that adaptive execution can split. The postings are never
+    sent to the driver: Spark guesses their size from the table's, of which each value becomes dozens."""
+    index = grams(values, column).hint("merge")
     asked = needles.select(F.col(needle_id).alias("id"), F.lower(F.col(needle).cast("string")).alias("needle")).filter("needle is not null")
     texts = asked.select("needle").distinct()
     size = F.least(F.length("needle"), F.lit(LONGEST))
