@@ -43,9 +43,11 @@ def column_profile(df: DataFrame, columns: list[str] | None = None, keys: list[s
     return out.withColumn("kept", keep_rule(F.col("column_name"), F.col("sum_of_lengths"), F.col("average_length")))
 
 
-def unique_values(df: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
-    """(column_name, value): distinct values of the columns that the profile keeps."""
+def unique_values(df: DataFrame, keys: list[str] = [], every: bool = False) -> DataFrame:  # noqa: B006
+    """(column_name, value): distinct values of the columns that the profile keeps; with every, of all columns that it looks at, however many and long."""
     columns = profiled_columns(df, keys)
+    if every and columns:
+        return long_values(df, columns).distinct()
     kept = column_profile(df, columns).filter("kept").select("column_name")
     return long_values(df, columns).distinct().join(F.broadcast(kept), "column_name")  # a row for each column
 
