@@ -226,6 +226,21 @@ def test_profile(spark):
     assert profile.sample_rows(df, 2, 3, "user_id").collect() == profile.sample_rows(df.orderBy("note"), 2, 3, "user_id").collect()
 
 
+def test_every_unique_value(spark):
+    """Names of more than five million characters in all are not kept by the profile, but are values."""
+    df = spark.range(60).select(F.concat(F.repeat(F.lit("x"), 100_000), F.col("id").cast("string")).alias("name"))
+    assert profile.unique_values(df).count() == 0 and profile.unique_values(df, every=True).count() == 60
+
+
+def test_postings_of_values_stay_off_the_driver(spark):
+    from plumbline.operators import lookup
+
+    values = spark.createDataFrame([("Ann 7",), ("Bob 77",)], "v string")
+    found = lookup.containing(values, "v", spark.createDataFrame([(1, "7"), (2, "77"), (3, "b")], "id long, n string"), "id", "n")
+    assert sorted((r.id, r.value, r.matches) for r in found.collect()) == [(1, "Ann 7", 2), (2, "Bob 77", 1), (3, "Bob 77", 1)]
+    assert "strategy=merge" in found._jdf.queryExecution().logical().toString()
+
+
 def test_augmentation(spark):
     rows = [(0, "g1", 5, "g", "g", 0.0), (1, "a1", 1, "a", "g", 0.2), (2, "a2", 3, "a", "g", 0.2), (3, "bb", 2, "b", "g", 0.1), (4, "c", 2, None, "g", 0.1), (5, "d", 0, "d", "g", 0.1), (6, "e", 2, "e", "g", 0.9), (7, "f", None, "f", "g", 0.3)]
     df = spark.createDataFrame([(1, *r) for r in rows], "sample_id long, pos int, sql string, count int, normalized string, gold_normalized string, distance double")
