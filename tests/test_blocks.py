@@ -4,6 +4,8 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from plumbline.sources import blocks, readers
 
@@ -87,3 +89,60 @@ def test_files_of_metadata_grow_in_number(spark, monkeypatch):
     monkeypatch.setattr(deep.readers, "metadata", lambda s, path: paths.append(path) or s.createDataFrame([], deep.readers.METADATA))
     deep.metadata_read(spark, "/root/testdata/sf0.001")
     assert spark.read.text(paths[0]).select("part").distinct().count() > 8
+
+
+def test_places_go_on_through_files(spark, tmp_path, block_size):
+    """An array, or lines, that lie in several files are counted through them, whatever the files' last elements are."""
+    rng = random.Random(3)
+    parts = [[], ["a"], [1, "]", [2, []]], [], [[], {}], [value(rng) for _ in range(30)], ["x,", "[", [[]]]]
+    for i, a in enumerate(parts):
+        (tmp_path / f"k=1/part={i}").mkdir(parents=True)
+        (tmp_path / f"k=1/part={i}/a.json").write_text(json.dumps(a, indent=i % 3 or None) + "\n" * (i % 2))
+    (tmp_path / "k=2/part=0").mkdir(parents=True)
+    (tmp_path / "k=2/part=1").mkdir()
+    (tmp_path / "k=2/part=0/b.json").write_text("[7,\n8, ]")
+    (tmp_path / "k=2/part=1/c.json").write_text("[9]")
+    key = F.regexp_extract("file", "k=([^/]*)/", 1)
+    got = {"1": {}, "2": {}}
+    rows = blocks.json_elements(spark, str(tmp_path), key).select(key.alias("k"), "place", "value").collect()
+    for r in rows:
+        got[r.k][r.place] = json.loads(r.value)
+    assert len(rows) == sum(len(x) for x in got.values())
+    assert [got["1"][i] for i in range(len(got["1"]))] == [x for a in parts for x in a] and got["2"] == {0: 7, 1: 8, 2: 9}
+    lines = {(r.k, r.line_number): r.value for r in blocks.numbered_lines(spark, str(tmp_path), key).select(key.alias("k"), "line_number", "value").collect()}
+    want = "".join(f if f.endswith("\n") else f + "\n" for f in ((tmp_path / f"k=1/part={i}/a.json").read_text() for i in range(len(parts)))).split("\n")[:-1]
+    assert [lines["1", i] for i in range(1, len(want) + 1)] == want and lines["2", 3] == "[9]"
+
+
+@pytest.mark.parametrize("name", ["json_array_elements", "line_numbers", "bad_line_numbers"])
+def test_files_of_events_grow_in_number(spark, monkeypatch, name):
+    """More events of a type are more files, each of which one task writes; places are those of the type."""
+    from plumbline import catalogue_deep as deep
+
+    paths, written, sf = [], deep._event_files, "/root/testdata/sf0.001"
+    monkeypatch.setattr(deep, "LINES", 100, raising=False)
+    monkeypatch.setattr(deep, "_event_files", lambda *a, **k: paths.append(written(*a, **k)) or paths[-1])
+    got = getattr(deep, name)(spark, sf).collect()
+    assert spark.read.text(paths[0]).filter("event_type = 'click'").select(F.input_file_name()).distinct().count() > 5
+    w = Window.partitionBy("event_type").orderBy("event_id")
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("n", F.row_number().over(w))
+    if name == "bad_line_numbers":
+        want = events.filter("event_id % 7 = 0").groupBy("event_type").agg(F.min("n"), F.count("*"))
+    else:
+        want = events.select("event_id", "event_type", F.col("n") - 1, "props", "value") if name == "json_array_elements" else events.select("event_id", "event_type", "n")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect()))
+
+
+def test_blocks_are_scanned_once(spark, tmp_path, monkeypatch):
+    """What is summed for blocks is kept: counting them and sending them scans no text again."""
+    scans = spark.sparkContext.accumulator(0)
+    summed = blocks._summed
+
+    def counted(batches):
+        scans.add(1)
+        return summed(batches)
+
+    monkeypatch.setattr(blocks, "_summed", counted)
+    (tmp_path / "a.json").write_text("[1, 2, 3]")
+    assert blocks.json_elements(spark, str(tmp_path)).count() == 3
+    assert scans.value == 1
